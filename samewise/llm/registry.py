@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from samewise.llm import q_quality
+from samewise.llm import q_quality, q_simhash
 
-_MODULES = (q_quality,)
+_MODULES = (q_quality, q_simhash)
 
 
 def queries() -> dict:
