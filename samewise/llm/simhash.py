@@ -84,7 +84,8 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     keyed = prints.select("fp", _variants().alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    met = materialize(keyed.join(shared, "key"), "met")
+    # a merge join at every size: it can split crowded keys, and what it shuffles follows the input
+    met = materialize(keyed.join(shared.hint("merge"), "key"), "met")
     small = met.where(F.col("n") <= bucket).select("key", "fp")
     pairs = (
         small.withColumnRenamed("fp", "src").join(small.withColumnRenamed("fp", "dst"), "key")
