@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from samewise.llm import q_decontam, q_langid, q_mixing, q_quality, q_simhash
+from samewise.llm import q_decontam, q_html, q_langid, q_mixing, q_quality, q_simhash, q_urls
 
-_MODULES = (q_quality, q_langid, q_simhash, q_mixing, q_decontam)
+_MODULES = (q_quality, q_langid, q_html, q_urls, q_simhash, q_mixing, q_decontam)
 
 
 def queries() -> dict:
