@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from samewise.llm import q_decontam, q_html, q_langid, q_mixing, q_quality, q_simhash, q_urls
+from samewise.llm import q_decontam, q_html, q_langid, q_mixing, q_quality, q_simhash, q_urls, q_warc
 
-_MODULES = (q_quality, q_langid, q_html, q_urls, q_simhash, q_mixing, q_decontam)
+_MODULES = (q_quality, q_langid, q_html, q_warc, q_urls, q_simhash, q_mixing, q_decontam)
 
 
 def queries() -> dict:
