@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from samewise.errors import ConfigurationError
 from samewise.operators.pairs import first_rows
@@ -83,7 +84,7 @@ def consolidate(matches: DataFrame, df1: DataFrame, df2: DataFrame, id1: str, id
             chosen = pick(group)
             return group.assign(_rn=[1 if i == chosen.name else 2 for i in group.index])
 
-        ranked = rich.groupBy("df1_id").applyInPandas(run, rich.schema.add("_rn", "int"))
+        ranked = rich.groupBy("df1_id").applyInPandas(run, StructType([*rich.schema.fields, StructField("_rn", IntegerType())]))
     else:
         ranked = _main_rank(config, rich)
     entry = F.struct((-F.col("similarity_score")).alias("s"), F.col("df2_id").alias("id"), F.col("_rn").alias("rn"))
