@@ -14,7 +14,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", Q.features(F.col("text")).alias("f"))
     table = materialize(docs, "quality")
     labelled = table.join(Q._good(spark.read.parquet(f"{sf_dir}/labels.parquet")), "doc_id")
-    judged = Q.apply_cutoffs(table, "f", Q.choose(Q.certify(labelled)), "verdict")
+    judged = table.withColumn("verdict", Q.verdict(F.col("f"), Q.choose(Q.certify(labelled))))
     return judged.select(
         "doc_id", "f.n_words", "f.word_chars", "f.n_symbols", (F.col("f.lines.n") - F.col("f.lines.distinct")).alias("n_dup_lines"), "f.n_repeat_words",
         "verdict.base_failed", "verdict.kept", "f.n_upper", F.col("f.lines.n").alias("n_lines"),

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.text import fresh, let, without_space, words
+from samewise.sources.shared import materialize
 
 BINS = 50
 RISK, DELTA, COST = 0.01, 0.05, 10
@@ -148,17 +149,19 @@ def _good(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.max("quality") >= 1).alias("good"))
 
 
+def verdict(f: Column, cutoffs: dict[tuple[int, str], int]) -> Column:
+    """struct<f, base_failed, kept> of the features f, which should be a stored column or bound by let."""
+    base = base_failed(f)
+    return F.struct(f.alias("f"), base.alias("base_failed"), (~base & ~rejected(f, cutoffs)).alias("kept"))
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with one more column `verdict`: struct<f, base_failed, kept>, after fitting the cutoffs to labels.
 
-    The name is changed if docs has it already; it is always the last column.
+    The name is changed if docs has it already; it is always the last column. The features of labelled
+    documents are stored, and those of all are bound once per row: else the optimizer would put the whole
+    expression wherever a rule refers to it.
     """
-    name = fresh("verdict", docs.columns)
     labelled = docs.select("doc_id", "text").join(_good(labels), "doc_id").select(features(F.col("text")).alias("f"), "good")
-    return apply_cutoffs(docs.withColumn(name, F.struct(features(F.col("text")).alias("f"))), f"{name}.f", choose(certify(labelled)), name)
-
-
-def apply_cutoffs(df: DataFrame, f: str, cutoffs: dict[tuple[int, str], int], name: str) -> DataFrame:
-    """df with column `name` holding struct<f, base_failed, kept>."""
-    base = base_failed(F.col(f))
-    return df.withColumn(name, F.struct(F.col(f).alias("f"), base.alias("base_failed"), (~base & ~rejected(F.col(f), cutoffs)).alias("kept")))
+    cutoffs = choose(certify(materialize(labelled, "labelled")))
+    return docs.withColumn(fresh("verdict", docs.columns), let(features(F.col("text")), lambda f: verdict(f, cutoffs)))
