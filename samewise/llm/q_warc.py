@@ -15,7 +15,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     W.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     records = materialize(W.read_archives(spark, path, with_payload=False).drop("payload"), "records")
     page = F.try_element_at(F.element_at("metadata", 1)["fields"], F.lit("page-id")).cast("long")
-    found = materialize(W.captures(records).select("record_id", "response", page.alias("page_id")), "captures")
+    found = W.captures(records).select("record_id", "response", page.alias("page_id"))
     target = found.where("response.type = 'response'").select(F.col("record_id").alias("target"), F.col("page_id").alias("target_page"), F.col("response.payload_bytes").alias("target_bytes"), F.col("response.payload_sha1").alias("target_sha1"))
     joined = found.join(target, F.col("response.refers_to") == F.col("target"), "left")
     return joined.select(

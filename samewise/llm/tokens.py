@@ -19,6 +19,7 @@ results.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from math import log
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 MARK = "\u2581"
 UNKNOWN = 10.0
-MAX_NODES, MAX_DEPTH = 1_000_000, 64
+MAX_NODES, MAX_DEPTH, GROUP_BYTES = 1_000_000, 64, 1 << 20
 
 
 def load_vocabulary(path: str) -> dict[str, float]:
@@ -42,79 +43,132 @@ def load_vocabulary(path: str) -> dict[str, float]:
     return {p: log(1 / (2 - s)) for p, s in scores.items()} if ranks else scores
 
 
-class PrefixTrie:
-    """Forward scores by prefix; counts by pre-token."""
+class Pieces:
+    """The vocabulary as an automaton: a state is the longest end of what was read that begins a piece."""
 
     def __init__(self, vocabulary: dict[str, float]):
-        self.pieces = vocabulary
-        self.longest = max(map(len, vocabulary), default=1)
         self.unknown = min(vocabulary.values(), default=0.0) - UNKNOWN
+        goto: list[dict[str, int]] = [{}]
+        ends: dict[int, tuple[int, float]] = {}
+        for piece, score in vocabulary.items():
+            state = 0
+            for c in piece:
+                after = goto[state].get(c)
+                if after is None:
+                    after = goto[state][c] = len(goto)
+                    goto.append({})
+                state = after
+            if piece:
+                ends[state] = (len(piece), score)
+        self.goto, self.fail = goto, [0] * len(goto)
+        #: by state, length and score of every piece that ends there, the longest first
+        self.found: list[tuple[tuple[int, float], ...]] = [()] * len(goto)
+        level = [*goto[0].values()]
+        while level:
+            for state in level:
+                own = ends.get(state)
+                self.found[state] = ((own,) if own else ()) + self.found[self.fail[state]]
+                for c, after in goto[state].items():
+                    self.fail[after] = self.step(self.fail[state], c)
+            level = [after for state in level for after in goto[state].values()]
+
+    def step(self, state: int, c: str) -> int:
+        while state and c not in self.goto[state]:
+            state = self.fail[state]
+        return self.goto[state].get(c, 0)
+
+
+class PrefixTrie:
+    """Forward scores by prefix; counts by pre-token. Nodes are numbers; edges have one table, values one array each."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
         self.counts: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.score, self.count = [0.0], [0]
+        self.edges: dict[int, int] = {}
+        self.state, self.score, self.count = array("I", [0]), array("d", [0.0]), array("I", [0])
         self.counts.clear()
 
-    def _step(self, word: str, i: int, scores: list[float], counts: list[int]) -> tuple[float, int]:
-        """Best score of word[:i], and its number of pieces; scores and counts hold those of the shorter prefixes."""
-        best, n = -1e300, 0
-        for k in range(max(0, i - self.longest), i):
-            s = self.pieces.get(word[k:i])
-            if s is None:
-                if k < i - 1:
-                    continue
-                s, more = self.unknown, len(word[k].encode())
-            else:
-                more = 1
-            if scores[k] + s > best:
-                best, n = scores[k] + s, counts[k] + more
+    def _forward(self, state: int, c: str, i: int, scores: list[float], counts: list[int]) -> tuple[float, int]:
+        """Best score of the first i characters, of which c is the last, and its number of pieces."""
+        best, n, single = -1e300, 0, False
+        for length, s in self.pieces.found[state]:
+            v = scores[i - length] + s
+            if v > best:
+                best, n = v, counts[i - length] + 1
+            single = length == 1
+        if not single and scores[i - 1] + self.pieces.unknown > best:
+            best, n = scores[i - 1] + self.pieces.unknown, counts[i - 1] + len(c.encode())
         return best, n
 
-    def add(self, raw: bytes) -> int:
-        """The number of pieces of a pre-token, which is inserted if it is new."""
-        word = MARK + raw.decode()
-        node, scores, counts = 0, [0.0], [0]
-        for i in range(1, len(word) + 1):
-            if i <= MAX_DEPTH:
-                after = self.children[node].get(word[i - 1])
+    def insert(self, pre_tokens: list[bytes]) -> dict[bytes, int]:
+        """Count the pieces of sorted new pre-tokens; what a pre-token shares with the one before is not walked again.
+
+        Counts are kept, but for very long pre-tokens, whose counts are returned.
+        """
+        edges, step, long = self.edges, self.pieces.step, {}
+        last, nodes, states, scores, counts = "", [0], [0], [0.0], [0]
+        for raw in pre_tokens:
+            word = MARK + raw.decode()
+            i = 0
+            for x, y in zip(last, word, strict=False):
+                if x != y:
+                    break
+                i += 1
+            del nodes[i + 1 :], states[i + 1 :], scores[i + 1 :], counts[i + 1 :]
+            last = word
+            while i < len(word):
+                c = word[i]
+                i += 1
+                after = edges.get(nodes[-1] << 21 | ord(c)) if i <= MAX_DEPTH else None
                 if after is None:
-                    s, n = self._step(word, i, scores, counts)
-                    after = len(self.children)
-                    self.children[node][word[i - 1]] = after
-                    self.children.append({})
-                    self.score.append(s)
-                    self.count.append(n)
-                node = after
-                scores.append(self.score[node])
-                counts.append(self.count[node])
-            else:
-                s, n = self._step(word, i, scores, counts)
+                    state = step(states[-1], c)
+                    s, n = self._forward(state, c, i, scores, counts)
+                    if i <= MAX_DEPTH:
+                        after = edges[nodes[-1] << 21 | ord(c)] = len(self.score)
+                        self.state.append(state)
+                        self.score.append(s)
+                        self.count.append(n)
+                else:
+                    state, s, n = self.state[after], self.score[after], self.count[after]
+                nodes.append(after)
+                states.append(state)
                 scores.append(s)
                 counts.append(n)
-        if len(raw) <= 4 * MAX_DEPTH:
-            self.counts[raw] = counts[-1]
-        return counts[-1]
+            (self.counts if len(raw) <= 4 * MAX_DEPTH else long)[raw] = counts[-1]
+        return long
 
-    def total(self, words: list[bytes]) -> int:
-        if len(self.children) > MAX_NODES:
+    def totals(self, texts: list[list[bytes]]) -> list[int]:
+        """The number of pieces of each text, given as its pre-tokens."""
+        if len(self.score) > MAX_NODES:
             self.clear()
         known = self.counts
-        long = 0
-        for w in sorted(set(words) - known.keys()):
-            n = self.add(w)
-            if w not in known:  # too long to keep
-                long += n * words.count(w)
-        return long + sum(known.get(w, 0) for w in words)
+        long = self.insert(sorted(w for w in set().union(*texts) if w not in known))
+        if not long:
+            return [sum(map(known.__getitem__, t)) for t in texts]
+        return [sum(known[w] if w in known else long[w] for w in t) for t in texts]
 
 
-def _count(pieces) -> callable:
+def _count(pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = PrefixTrie(pieces.value)
+        trie = PrefixTrie(Pieces(pieces.value))
         for batch in batches:
-            texts = [(x.as_py() or b"").split() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in texts], pa.int64()), pa.array([trie.total(w) for w in texts], pa.int64())], ["doc_id", "n_words", "n_tokens"])
+            words: list[int] = []
+            tokens: list[int] = []
+            group: list[list[bytes]] = []
+            size = 0
+            for x in batch.column(1):
+                text = x.as_py() or b""
+                group.append(text.split())
+                words.append(len(group[-1]))
+                size += len(text)
+                if size >= GROUP_BYTES:
+                    tokens += trie.totals(group)
+                    group, size = [], 0
+            tokens += trie.totals(group)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     return run
 

@@ -28,8 +28,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from samewise.sources.shared import materialize
-
 REVISIT_BYTES, ARCHIVE_BYTES = 1000, 8 << 20
 _DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6f3c1f6e-64a5-4d5e-9d0a-3a6c1c1f8b57")
@@ -89,7 +87,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     light = base.groupBy("page_id", "pid", "digest", F.octet_length("payload").alias("bytes")).agg(F.lit(1).alias("one"))
     same = light.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
     refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.concat_ws("|", "keeper", "digest", F.lit("0")))
-    types = materialize(light.join(same, "digest", "left").select("pid", "digest", refers.alias("refers")), "types")
+    types = light.join(same, "digest", "left").select("pid", "digest", refers.alias("refers"))
     # payloads move once, keyed by page and digest, so that many copies of one payload do not meet
     turn = F.row_number().over(Window.partitionBy("pid", "digest").orderBy("url")) - 1
     keyed = base.join(types, ["pid", "digest"]).withColumn("key", F.concat_ws("|", "pid", "digest", turn))

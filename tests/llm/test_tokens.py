@@ -28,7 +28,7 @@ def expected(lib, text):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abcé d\n\u2581😀", max_size=60))
 def test_small_vocabulary(text):
-    assert T.PrefixTrie(SMALL).total(text.encode().split()) == expected(LIB_SMALL, text)
+    assert T.PrefixTrie(T.Pieces(SMALL)).totals([text.encode().split()]) == [expected(LIB_SMALL, text)]
 
 
 def test_query_against_the_library(spark):
@@ -43,12 +43,12 @@ def test_query_against_the_library(spark):
 
 def test_limits_do_not_change_counts(monkeypatch):
     words = [b"ab" * 300, b"abcabc", b"ab" * 300, b"\xc3\xa9a", b"abcabc", b"c" * 70]
-    want = T.PrefixTrie(SMALL).total(words)
+    want = T.PrefixTrie(T.Pieces(SMALL)).totals([words])
     monkeypatch.setattr(T, "MAX_NODES", 3)
     monkeypatch.setattr(T, "MAX_DEPTH", 2)
-    trie = T.PrefixTrie(SMALL)
-    assert [trie.total(words), trie.total(words)] == [want, want]
-    assert want == sum(len(LIB_SMALL.encode(T.MARK + w.decode()).ids) for w in words)
+    trie = T.PrefixTrie(T.Pieces(SMALL))
+    assert [trie.totals([words]), trie.totals([words])] == [want, want]
+    assert want[0] == sum(len(LIB_SMALL.encode(T.MARK + w.decode()).ids) for w in words)
 
 
 def test_edge_cases(spark):
