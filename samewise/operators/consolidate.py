@@ -67,8 +67,8 @@ def _main_rank(config: ConsolidationConfig, matches: DataFrame) -> DataFrame:
     raise ConfigurationError("priority_mode is strict or threshold", priority_mode=config.priority_mode)
 
 
-def consolidate(matches: DataFrame, df1: DataFrame, df2: DataFrame, id1: str, id2: str, config: ConsolidationConfig) -> DataFrame:
-    """One row per id of df1 (its first row) with main_<id2>, main_name, main_similarity_score, main_<priority>,
+def consolidate(matches: DataFrame, df1: DataFrame, df2: DataFrame, id1: str, id2: str, config: ConsolidationConfig, name2: str = "name") -> DataFrame:
+    """One row per id of df1 (its first row) with main_<id2>, main_<name2>, main_similarity_score, main_<priority>,
     other_candidates, total_matches and all_match_ids; nulls and 0 where nothing matches. Ids are joined by ', '
     in order of score."""
     if not config.enabled:
@@ -92,7 +92,7 @@ def consolidate(matches: DataFrame, df1: DataFrame, df2: DataFrame, id1: str, id
         F.min(F.when(F.col("_rn") == 1, F.struct("df2_id", "df2_name", "similarity_score", "_priority"))).alias("m"), F.count("*").alias("total_matches"), F.sort_array(F.collect_list(entry)).alias("all")
     )
     ids = lambda a: F.nullif(F.array_join(F.transform(a, lambda x: x["id"].cast("string")), ", "), F.lit(""))
-    columns = [F.col("m.df2_id").alias(f"main_{id2}"), F.col("m.df2_name").alias("main_name"), F.col("m.similarity_score").alias("main_similarity_score")]
+    columns = [F.col("m.df2_id").alias(f"main_{id2}"), F.col("m.df2_name").alias(f"main_{name2}"), F.col("m.similarity_score").alias("main_similarity_score")]
     if config.priority_column:
         columns.append(F.col("m._priority").alias(f"main_{config.priority_column}"))
     columns += [ids(F.filter("all", lambda x: x["rn"] != 1)).alias("other_candidates"), "total_matches"]

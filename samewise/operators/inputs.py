@@ -23,6 +23,46 @@ class CheckedInput:
     warnings: list[str] = field(default_factory=list)
 
 
+@dataclass
+class DeduplicationInput:
+    """Settings of a run within a table: columns are stripped, extra ones made unique in their order."""
+
+    id_column: str = "id"
+    name_column: str = "name"
+    threshold: float = 80.0
+    additional_columns: list[str] = field(default_factory=list)
+    min_entities: int = 2
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.threshold <= 100:
+            raise DataValidationError("threshold lies between 0 and 100", threshold=self.threshold)
+        self.additional_columns = list(dict.fromkeys(c.strip() for c in self.additional_columns if c.strip()))
+
+    def check(self, df: DataFrame) -> CheckedInput:
+        validate_structure(df, [self.id_column, self.name_column, *self.additional_columns], self.min_entities)
+        return validate_deduplication_input(df, self.id_column, self.name_column, self.threshold, self.min_entities)
+
+
+@dataclass
+class CrossDatasetInput:
+    """Settings of a run between two tables; each side needs one entity, and its name columns must exist."""
+
+    id_columns: tuple[str, str] = ("id", "id")
+    name_columns1: list[str] = field(default_factory=lambda: ["name"])
+    name_columns2: list[str] = field(default_factory=lambda: ["name"])
+    threshold: float = 80.0
+
+    def __post_init__(self) -> None:
+        self.name_columns1, self.name_columns2 = (list(dict.fromkeys(c.strip() for c in cs if c.strip())) for cs in (self.name_columns1, self.name_columns2))
+        if not self.name_columns1 or not self.name_columns2:
+            raise DataValidationError("each side needs a name column")
+
+    def check(self, df1: DataFrame, df2: DataFrame) -> tuple[CheckedInput, CheckedInput]:
+        for df, i, names in ((df1, self.id_columns[0], self.name_columns1), (df2, self.id_columns[1], self.name_columns2)):
+            validate_structure(df, [i, *names])
+        return tuple(validate_deduplication_input(df, i, names[0], self.threshold, 1) for df, i, names in ((df1, self.id_columns[0], self.name_columns1), (df2, self.id_columns[1], self.name_columns2)))
+
+
 def validate_structure(df: DataFrame, required: list[str], min_rows: int = 1, max_rows: int | None = None, null_policy: str = "warn") -> list[str]:
     """Raise for missing columns and row counts out of bounds, and for nulls in required columns if null_policy is
     strict; 'warn' returns them, 'ignore' does not look. One pass over the table."""

@@ -150,12 +150,16 @@ def candidate_prompt(rows: list[dict], instructions: str = "") -> str:
     )
 
 
-def consolidate_by_judge(matches: DataFrame, df1: DataFrame, id1: str, client: Callable[[], Client], id2: str = "df2_id", batch_size: int = 5, n_workers: int = 4, max_retries: int = 3, instructions: str = "", pause: float = 1.0) -> DataFrame:
+def consolidate_by_judge(matches: DataFrame, df1: DataFrame, id1: str, client: Callable[[], Client], id2: str = "df2_id", batch_size: int = 5, n_workers: int = 4, max_retries: int = 3, instructions: str = "", pause: float = 1.0, enabled: bool = True, decided: DataFrame | None = None) -> DataFrame:
     """One row per id of df1 with main_<id2>, main_name, main_similarity_score, llm_reasoning and total_matches.
 
     The candidate named by id is taken, else by index, else the first; ids are compared as strings. If the
-    judge fails, the best score is taken. Entities without a decision have no main match and total 0.
+    judge fails, the best score is taken. Entities without a decision have no main match and total 0, as all
+    have when it is not enabled. decided holds rows of an earlier result (df1's id as `_of` and the columns
+    added here); their entities are not asked about again.
     """
+    if not enabled:
+        matches = matches.limit(0)
     entry = F.struct((-F.col("similarity_score")).alias("s"), F.col("df2_id").cast("string").alias("df2_id"), "df2_name", "similarity_score")
     grouped = matches.groupBy("df1_id").agg(F.first("df1_name").alias("df1_name"), F.sort_array(F.collect_list(entry)).alias("candidates"))
 
@@ -181,5 +185,8 @@ def consolidate_by_judge(matches: DataFrame, df1: DataFrame, id1: str, client: C
                 yield pd.DataFrame(out, columns=["_of", f"main_{id2}", "main_name", "main_similarity_score", "llm_reasoning", "total_matches"])
 
     schema = f"_of {grouped.schema['df1_id'].dataType.simpleString()}, main_{id2} string, main_name string, main_similarity_score double, llm_reasoning string, total_matches long"
-    decided = materialize(grouped.repartition(n_workers).mapInPandas(run, schema), "selections")
-    return first_rows(df1, id1).join(decided, F.col(id1) == F.col("_of"), "left").drop("_of").fillna(0, ["total_matches"])
+    todo = grouped if decided is None else grouped.join(decided.select(F.col("_of").alias("df1_id")), "df1_id", "left_anti")
+    answers = materialize(todo.repartition(n_workers).mapInPandas(run, schema), "selections")
+    if decided is not None:
+        answers = answers.union(decided.select(*answers.columns))
+    return first_rows(df1, id1).join(answers, F.col(id1) == F.col("_of"), "left").drop("_of").fillna(0, ["total_matches"])

@@ -51,6 +51,19 @@ class CrossResult:
         return merge_datasets(self.cross_matches, df1, df2, self.df1_metadata["id_col"], self.df2_metadata["id_col"], how, suffix1, suffix2)
 
 
+    def consolidate(self, df1: DataFrame, df2: DataFrame, config) -> DataFrame:
+        """The main match of every entity of df1, by a ConsolidationConfig."""
+        from samewise.operators.consolidate import consolidate
+
+        return consolidate(self.cross_matches, df1, df2, self.df1_metadata["id_col"], self.df2_metadata["id_col"], config, self.df2_metadata["name_col"])
+
+    def consolidate_by_judge(self, df1: DataFrame, client, **how) -> DataFrame:
+        """The main match of every entity of df1, chosen by a language model."""
+        from samewise.operators.judge import consolidate_by_judge
+
+        return consolidate_by_judge(self.cross_matches, df1, self.df1_metadata["id_col"], client, self.df2_metadata["id_col"], **how)
+
+
 def cross_matches(pairs: DataFrame) -> DataFrame:
     """Pairs under the column names of a cross result."""
     names = {"id1": "df1_id", "name1": "df1_name", "id2": "df2_id", "name2": "df2_name"}

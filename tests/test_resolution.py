@@ -100,6 +100,7 @@ def test_cross_and_consolidation(spark):
     assert on(filter_function=F.col("df2_id") != "E1")["C1"].main_eid == "E2"
     assert on(selection_function=lambda g: g.sort_values("df2_id").iloc[-1])["C1"].main_eid == "E2"
     assert C.consolidate(result.cross_matches, left, right, "id", "eid", C.ConsolidationConfig()).count() == 4
+    assert {"main_eid", "main_name"} <= {*result.consolidate(left, right, C.ConsolidationConfig(enabled=True)).columns}
     with pytest.raises(ConfigurationError):
         on(**tier, priority_mode="odd")
 
@@ -123,6 +124,11 @@ def test_judge(spark, df):
     assert got["C1"].main_eid == "E1" and got["C1"].total_matches == 2 and got["C2"].total_matches == 0 and got["C3"].main_eid is None
     failed = {r.id: r for r in J.consolidate_by_judge(matches, left, "id", _judge("?"), "eid", max_retries=1).collect()}
     assert failed["C1"].main_eid == "E2"
+    off = J.consolidate_by_judge(matches, left, "id", _judge("?"), "eid", enabled=False).collect()
+    assert {r.total_matches for r in off} == {0} and {r.main_eid for r in off} == {None}
+    earlier = spark.createDataFrame([("C1", "E1", "x", 90.0, "before", 2)], "_of string, main_eid string, main_name string, main_similarity_score double, llm_reasoning string, total_matches long")
+    resumed = {r.id: r for r in J.consolidate_by_judge(matches, left, "id", _judge("?"), "eid", max_retries=1, decided=earlier).collect()}
+    assert resumed["C1"].llm_reasoning == "before" and resumed["C2"].main_eid == "E1"
     with pytest.raises(ConfigurationError):
         J.provider_client("odd", "m")
 
@@ -141,6 +147,12 @@ def test_inputs(spark):
         I.validate_deduplication_input(raw.limit(1))
     with pytest.raises(DataValidationError):
         I.validate_deduplication_input(raw, threshold=101)
+    assert I.DeduplicationInput(additional_columns=[" name", "name "]).additional_columns == ["name"]
+    assert [c.metadata["final_row_count"] for c in I.CrossDatasetInput().check(raw, raw)] == [2, 2]
+    with pytest.raises(DataValidationError):
+        I.CrossDatasetInput(name_columns1=["absent"]).check(raw, raw)
+    with pytest.raises(DataValidationError):
+        I.DeduplicationInput(threshold=-1)
     assert I.quality_score(raw.limit(0)).first()[0] == 0.0
     assert I.quality_score(spark.createDataFrame([("1", "a"), ("2", "b")], "id string, name string")).first()[0] == pytest.approx(1.0)
     assert G.statistics(spark.createDataFrame([], R.GROUPS)).first().total_entities == 0

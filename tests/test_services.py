@@ -169,3 +169,11 @@ def test_errors():
         except ConnectionError as x:
             E.reraise(x, "calling")
     assert isinstance(got.value.__cause__, ConnectionError)
+
+
+def test_audit(spark, tmp_path):
+    from samewise.runtime.audit import append_audit, audit_entry
+
+    append_audit(spark, [audit_entry("run", {"by": "<script>x</script>me"})], str(tmp_path / "audit"))
+    row = spark.read.parquet(str(tmp_path / "audit")).first()
+    assert row.details == {"by": "me"} and row.sanitized
