@@ -150,7 +150,7 @@ def _good(labels: DataFrame) -> DataFrame:
 
 
 def verdict(f: Column, cutoffs: dict[tuple[int, str], int]) -> Column:
-    """struct<f, base_failed, kept> of the features f, which should be a stored column or bound by let."""
+    """struct<f, base_failed, kept> of the features f, which should be a stored column."""
     base = base_failed(f)
     return F.struct(f.alias("f"), base.alias("base_failed"), (~base & ~rejected(f, cutoffs)).alias("kept"))
 
@@ -158,10 +158,11 @@ def verdict(f: Column, cutoffs: dict[tuple[int, str], int]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with one more column `verdict`: struct<f, base_failed, kept>, after fitting the cutoffs to labels.
 
-    The name is changed if docs has it already; it is always the last column. The features of labelled
-    documents are stored, and those of all are bound once per row: else the optimizer would put the whole
-    expression wherever a rule refers to it.
+    The name is changed if docs has it already; it is always the last column. docs is stored with its features
+    once, for counting the texts costs far more than a copy of them: labels then meet counts, not texts, and
+    the verdict reads a stored column.
     """
-    labelled = docs.select("doc_id", "text").join(_good(labels), "doc_id").select(features(F.col("text")).alias("f"), "good")
-    cutoffs = choose(certify(materialize(labelled, "labelled")))
-    return docs.withColumn(fresh("verdict", docs.columns), let(features(F.col("text")), lambda f: verdict(f, cutoffs)))
+    name = fresh("verdict", docs.columns)
+    stored = materialize(docs.withColumn(name, features(F.col("text"))), "features")
+    labelled = stored.select("doc_id", F.col(name).alias("f")).join(_good(labels), "doc_id")
+    return stored.withColumn(name, verdict(F.col(name), choose(certify(labelled))))
