@@ -17,10 +17,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.try_element_at(F.element_at("metadata", 1)["fields"], F.lit("page-id")).cast("long")
     found = W.captures(records).select("record_id", "response", page.alias("page_id"))
     target = found.where("response.type = 'response'").select(F.col("record_id").alias("target"), F.col("page_id").alias("target_page"), F.col("response.payload_bytes").alias("target_bytes"), F.col("response.payload_sha1").alias("target_sha1"))
-    joined = found.join(target, F.col("response.refers_to") == F.col("target"), "left")
+    # a response is its own target, so that rows that refer to nothing do not meet in one task
+    joined = found.join(target, F.coalesce("response.refers_to", "record_id") == F.col("target"), "left")
     return joined.select(
         "page_id", F.coalesce("response.payload_bytes", "target_bytes").alias("payload_bytes"), F.coalesce("response.payload_sha1", "target_sha1").alias("payload_digest"),
-        F.col("response.type").alias("record_type"), F.col("target_page").alias("refers_to"), (F.col("response.payload_digest") == F.concat(F.lit("sha1:"), F.coalesce("response.payload_sha1", "target_sha1"))).alias("digest_matches"),
+        F.col("response.type").alias("record_type"), F.when(F.col("response.refers_to").isNotNull(), F.col("target_page")).alias("refers_to"), (F.col("response.payload_digest") == F.concat(F.lit("sha1:"), F.coalesce("response.payload_sha1", "target_sha1"))).alias("digest_matches"),
     )
 
 
