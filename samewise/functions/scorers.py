@@ -153,6 +153,9 @@ def score(name: str, a: Column, b: Column) -> Column:
 
     @F.pandas_udf(DoubleType())
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else float(np.float32(f(p, q))) for p, q in zip(x, y, strict=True)], dtype="float64")
+        known: dict[tuple, float | None] = {}  # of this batch: metadata values repeat
+        for pair in set(zip(x, y, strict=True)):
+            known[pair] = None if pair[0] is None or pair[1] is None else float(np.float32(f(*pair)))
+        return pd.Series([known[pair] for pair in zip(x, y, strict=True)], dtype="float64")
 
     return run.asNondeterministic()(a, b)
