@@ -8,6 +8,13 @@ stopping at the first failure (fixed-sequence testing) needs no correction along
 by strata x rules (Bonferroni), and risk by the number of rules, so that with probability 1 - DELTA no
 stratum loses more than RISK of its good documents. Among certified cutoffs the one with the best
 (bad rejected - COST x good rejected) is taken, the loosest on ties. Too few labels certify nothing.
+That is what the query and its SQL do.
+
+Split over the rules, the risk asks for thousands of labels. `judge`, which the pipeline uses, therefore also
+tests the rejection by all rules together against the whole of RISK: one sequence of steps, fixed in advance,
+takes the rules in order and each from its loosest cutoff to its tightest, and a step rejects what any step up
+to it does. It gets one half of delta over the strata, the cutoffs by rule the other half; every stratum takes
+whichever of the two gains more on its labels.
 
 Edge cases: null text counts as empty (no words: base_failed); a label without document, or with null
 quality, is ignored; of several labels of one document the highest counts; repeated documents are judged
@@ -137,6 +144,39 @@ def choose(cells: DataFrame) -> dict[tuple[int, str], int]:
     return {(r.stratum, r.rule): r.best.cutoff for r in best.collect()}
 
 
+def certify_together(labelled: DataFrame, f: str = "f", good: str = "good", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """As certify, for the rules together: one row per stratum and step (at most strata x rules x BINS). Step
+    i x BINS + j holds the rules before RULES[i] at cutoff 1 and that rule at BINS - j."""
+    passed = labelled.where(~base_failed(F.col(f)))
+    first = F.least(*[F.when(b > 0, i * BINS + BINS - b) for i, b in enumerate(_bins(F.col(f)).values())])
+    counts = passed.select(_stratum(F.col(f)).alias("stratum"), F.col(good).alias("good"), first.alias("first")).groupBy("stratum", "first").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    spread = counts.select("stratum", "g", "b", "first", F.explode(F.sequence(F.lit(0), F.lit(len(RULES) * BINS - 1))).alias("step"))
+    within = F.col("first") <= F.col("step")
+    cells = spread.groupBy("stratum", "step").agg(F.sum("g").alias("n"), F.sum(F.when(within, F.col("g")).otherwise(0)).alias("k"), F.sum(F.when(within, F.col("b")).otherwise(0)).alias("bad"))
+    return cells.withColumn("tail", binomial_tail(F.col("k"), F.col("n"), risk)).withColumn("certified", F.col("tail") <= delta / len(STRATA))
+
+
+def choose_together(cells: DataFrame) -> dict[tuple[int, str], int]:
+    """The cutoff bin by stratum and rule of the best certified step, the first on ties."""
+    gain = F.struct((F.col("bad") - COST * F.col("k")).alias("gain"), (-F.col("step")).alias("back"))
+    best = cells.where("certified").groupBy("stratum").agg(F.max(gain).alias("best")).where("best.gain > 0")
+    out = {}
+    for r in best.collect():
+        at, j = divmod(-r.best.back, BINS)
+        out |= {(r.stratum, rule): 1 for rule in RULES[:at]} | {(r.stratum, RULES[at]): BINS - j}
+    return out
+
+
+def fit(labelled: DataFrame, f: str = "f", good: str = "good") -> dict[tuple[int, str], int]:
+    """The cutoffs of each stratum, of those certified together and those certified by rule: what gains more."""
+    ways = [choose_together(certify_together(labelled, f, good, delta=DELTA / 2)), choose(certify(labelled, f, good, delta=DELTA / 2))]
+    passed = labelled.where(~base_failed(F.col(f)))
+    worth = F.when(F.col(good), -COST).otherwise(1)
+    gains = passed.groupBy(_stratum(F.col(f)).alias("stratum")).agg(*[F.sum(F.when(rejected(F.col(f), w), worth).otherwise(0)).alias(f"way{i}") for i, w in enumerate(ways)])
+    best = {r.stratum: ways[r.way1 > r.way0] for r in gains.collect()} if any(ways) else {}
+    return {k: v for stratum, way in best.items() for k, v in way.items() if k[0] == stratum}
+
+
 def rejected(f: Column, cutoffs: dict[tuple[int, str], int]) -> Column:
     """The method's verdict: whether any rule's cutoff for the text's stratum is reached."""
     bins, out = _bins(f), F.lit(False)
@@ -164,5 +204,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     name = fresh("verdict", docs.columns)
     stored = materialize(docs.withColumn(name, features(F.col("text"))), "features")
-    labelled = stored.select("doc_id", F.col(name).alias("f")).join(_good(labels), "doc_id")
-    return stored.withColumn(name, verdict(F.col(name), choose(certify(labelled))))
+    labelled = materialize(stored.select("doc_id", F.col(name).alias("f")).join(_good(labels), "doc_id"), "labelled")
+    return stored.withColumn(name, verdict(F.col(name), fit(labelled)))

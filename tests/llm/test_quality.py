@@ -1,3 +1,4 @@
+import random
 import re
 from math import comb
 
@@ -76,3 +77,31 @@ def test_base_rules_and_nulls(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = sorted(((r.doc_id, r.verdict.base_failed, r.verdict.kept) for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()), key=str)
     assert got == [(1, True, False), (2, True, False), (3, True, False), (3, True, False), (None, False, True)]
+
+
+def test_hundreds_of_labels_certify_the_rules_together(spark):
+    # 480 clean good documents are enough for the whole risk, far from enough for a fifth of it
+    rows = [(i, " ".join(f"word{i}x{j}" + ("##%" if i >= 480 else "") for j in range(60))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 480), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.verdict.kept for r in Q.judge(docs, labels).collect()}
+    assert all(got[i] == (i < 480) for i in range(600))
+    assert all(r.verdict.kept for r in Q.judge(docs, labels.where("doc_id >= 10")).collect())  # 470 are too few
+
+
+def test_together_against_brute_force(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(1500):
+        words = [f"w{i}x{j}" for j in range(60)]
+        for _ in range(rnd.choice([0, 0, 2, 9, 30])):
+            words[rnd.randrange(60)] = rnd.choice(["##", "ABCDE", "x" * 30])
+        rows.append((i, " ".join(words), rnd.random() < 0.6))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, good boolean").withColumn("f", Q.features(F.col("text")))
+    bins = labelled.select("good", *[b.alias(r) for r, b in Q._bins(F.col("f")).items()]).collect()
+    n = sum(r.good for r in bins)
+    for c in Q.certify_together(labelled, risk=0.5).collect():
+        at, j = divmod(c.step, Q.BINS)
+        cut = {**{r: 1 for r in Q.RULES[:at]}, Q.RULES[at]: Q.BINS - j}
+        hit = [r.good for r in bins if any(r[k] >= v for k, v in cut.items())]
+        assert (c.stratum, c.n, c.k, c.bad) == (1, n, sum(hit), len(hit) - sum(hit))
