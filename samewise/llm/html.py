@@ -6,7 +6,8 @@ bad if most of it is link text; good if long with many stop words; bad if long w
 stands in an <article> or <main>; all else is undecided. Pass two gives an undecided block the label of
 the nearest decided neighbour: in an article or main element among those of the same element that were
 decided by their words or links (without any it is good), elsewhere among all (without any it is bad);
-at equal distance good wins. Scripts, styles, head and comments of the markup are no blocks.
+at equal distance good wins. Scripts, styles, head and comments of the markup are no blocks. Inside a line an element that names such a
+part is left out of its block, which else stays whole.
 
 Edge cases: null or empty html gives an empty text; markup may be cut off anywhere: an unfinished tag is
 dropped, an unfinished script, style or comment ends with the page; repeated rows are extracted each.
@@ -66,22 +67,22 @@ class _Blocks:
     def __init__(self) -> None:
         self.out: list[tuple[str, int, bool, int]] = []
         self.stack: list[tuple[str, bool, int]] = []
-        self.parts: list[str] = []
-        self.link, self.in_link, self.mains = 0, 0, 0
+        self.parts: list[tuple[str, int, bool]] = []
+        self.in_link, self.mains = 0, 0
 
     def text(self, s: str) -> None:
         if s:
             s = unescape(s)
-            self.parts.append(s)
-            if self.in_link:
-                self.link += len("".join(s.split()))
+            self.parts.append((s, len("".join(s.split())) if self.in_link else 0, bool(self.stack) and self.stack[-1][1]))
 
     def end_block(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            _, bad, main = self.stack[-1] if self.stack else ("", False, 0)
-            self.out.append((text, self.link, bad, main))
-        self.parts, self.link = [], 0
+        main = self.stack[-1][2] if self.stack else 0
+        for bad in (False, True):  # what is bad inside a line is left out of its block, and a block only if nothing else is there
+            text = " ".join("".join(s for s, _, b in self.parts if b == bad).split())
+            if text:
+                self.out.append((text, sum(n for _, n, b in self.parts if b == bad), bad, main))
+                break
+        self.parts = []
 
     def open(self, tag: str, attributes: str) -> None:
         _, bad, main = self.stack[-1] if self.stack else ("", False, 0)
@@ -91,7 +92,7 @@ class _Blocks:
                 self.stack.pop()
                 _, bad, main = self.stack[-1] if self.stack else ("", False, 0)
         elif tag == "br":
-            self.parts.append(" ")
+            self.text(" ")
         if tag == "a":
             self.in_link += 1
         hinted = False
@@ -111,8 +112,6 @@ class _Blocks:
             self.in_link = max(0, self.in_link - 1)
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                if self.stack[i][1] and tag not in _BLOCKS:
-                    self.end_block()
                 del self.stack[i:]
                 break
 
@@ -136,7 +135,7 @@ def blocks(html: str | None) -> list[tuple[str, int, bool, int]]:
         elif tag in _SKIP and not attributes.rstrip().endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else (n if tag != "head" else at)
-            page.parts.append(" ")
+            page.text(" ")
         else:
             page.open(tag, attributes)
     page.end_block()

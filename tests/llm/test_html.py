@@ -48,3 +48,12 @@ def test_edge_cases(spark):
     rnd = random.Random(1)
     for _ in range(300):  # any text is taken without error
         main_text("".join(rnd.choice(["<p>", "</p>", "<", ">", '"', "'", "<a href='", "&am", "p", " ", "<!--", "-->", "<article>", "</div>", "<div class=ad>"]) for _ in range(40)))
+
+
+def test_hinted_elements_inside_a_line():
+    for tag in ('<a class="share">', '<span class="ad">', '<a href="x" id="comment-3">', '<sup class="social">', "<x-y class=promo>"):
+        name = tag[1:-1].split()[0]
+        assert main_text(f"<article><p>Long article sentence {tag}Share</{name}> rest<br>of it</p><p>More</p></article>") == "Long article sentence rest of it\n\nMore"
+        assert main_text(f"<article><p>Text before {tag}Share<div>Inside</div></{name}> after</p></article>") == "Text before\n\nafter"
+    para = "The house is in the middle of the town and it was built by one of the people who had been there."
+    assert main_text(f'<p>{para}</p><p>Yes. <a class="share">Share</a></p><div><span class="ad">Advert</span></div>') == f"{para}\n\nYes."
