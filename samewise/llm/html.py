@@ -7,7 +7,9 @@ stands in an <article> or <main>; all else is undecided. Pass two gives an undec
 the nearest decided neighbour: in an article or main element among those of the same element that were
 decided by their words or links (without any it is good), elsewhere among all (without any it is bad);
 at equal distance good wins. Scripts, styles, head and comments of the markup are no blocks. Inside a line an element that names such a
-part is left out of its block, which else stays whole.
+part is left out of its block, which else stays whole. Names that only tell a state (has-sidebar, comments-open)
+are no hints, nor are those of an element around a main element or around nearly all of the long text with
+many stop words; a form counts as such an element.
 
 Edge cases: null or empty html gives an empty text; markup may be cut off anywhere: an unfinished tag is
 dropped, an unfinished script, style or comment ends with the page; repeated rows are extracted each.
@@ -18,13 +20,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-LONG_CHARS, STOP_SHARE, LINK_SHARE = 70, 0.15, 0.5
+LONG_CHARS, STOP_SHARE, LINK_SHARE, WRAPPED = 70, 0.15, 0.5, 0.1
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -44,66 +47,84 @@ HINTS = frozenset(
     breadcrumbs pagination pager toolbar masthead footer comment comments respond reply replies disqus social share
     sharing related recommended widget form search skip""".split()
 )
+# Parts of names that tell a state of an element around such a part.
+_STATES = frozenset("has have no not with without open opened close closed enable enabled disable disabled active inactive".split())
 # Elements of HTML by their part here.
 _BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer
     form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot
     th thead tr ul""".split()
 )
-_BAD = frozenset("nav footer aside form menu dialog".split())
+_BAD = frozenset("nav footer aside menu dialog".split())
 _SKIP = frozenset("script style noscript template svg math textarea select button iframe object head title".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _MAIN = frozenset("article main".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z)|\Z)""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _PART = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _hinted(attributes: str) -> bool:
+    """Whether a name in class, id or role holds a hint and no state."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role"):
+            for name in (m[2] or m[3] or m[4] or "").lower().split():
+                parts = _PART.findall(name)
+                if not HINTS.isdisjoint(parts) and _STATES.isdisjoint(parts):
+                    return True
+    return False
+
+
 class _Blocks:
-    """Collects blocks [text, link characters, bad, main]; main numbers the article or main element around, 0 if none."""
+    """Collects runs of text between block tags. Whether an element with a hint is bad is known at the end of the
+    page only, so every piece of text keeps the number (mark) of the innermost one around it, 0 if none."""
 
     def __init__(self) -> None:
-        self.out: list[tuple[str, int, bool, int]] = []
-        self.stack: list[tuple[str, bool, int]] = []
-        self.parts: list[tuple[str, int, bool]] = []
+        self.runs: list[tuple[list[tuple[str, int, bool, int]], int]] = []
+        self.stack: list[tuple[str, bool, int, int]] = []
+        self.parts: list[tuple[str, int, bool, int]] = []
         self.in_link, self.mains = 0, 0
+        self.around = [0]  # by mark the one around it
+        self.holds_main: set[int] = set()
+
+    def top(self) -> tuple[str, bool, int, int]:
+        return self.stack[-1] if self.stack else ("", False, 0, 0)
 
     def text(self, s: str) -> None:
         if s:
             s = unescape(s)
-            self.parts.append((s, len("".join(s.split())) if self.in_link else 0, bool(self.stack) and self.stack[-1][1]))
+            _, bad, _, mark = self.top()
+            self.parts.append((s, len("".join(s.split())) if self.in_link else 0, bad, mark))
 
     def end_block(self) -> None:
-        main = self.stack[-1][2] if self.stack else 0
-        for bad in (False, True):  # what is bad inside a line is left out of its block, and a block only if nothing else is there
-            text = " ".join("".join(s for s, _, b in self.parts if b == bad).split())
-            if text:
-                self.out.append((text, sum(n for _, n, b in self.parts if b == bad), bad, main))
-                break
-        self.parts = []
+        if self.parts:
+            self.runs.append((self.parts, self.top()[2]))
+            self.parts = []
 
     def open(self, tag: str, attributes: str) -> None:
-        _, bad, main = self.stack[-1] if self.stack else ("", False, 0)
         if tag in _BLOCKS:
             self.end_block()
             if self.stack and self.stack[-1][0] == "p":  # a paragraph ends where another block begins
                 self.stack.pop()
-                _, bad, main = self.stack[-1] if self.stack else ("", False, 0)
         elif tag == "br":
             self.text(" ")
+        _, bad, main, mark = self.top()
         if tag == "a":
             self.in_link += 1
-        hinted = False
-        if attributes and tag not in ("html", "body", "article", "main"):
-            hinted = any(x in HINTS for m in _NAMES.finditer(attributes) for x in _PART.findall((m[1] or m[2] or m[3] or "").lower()))
+        hinted = tag == "form" or bool(attributes) and tag not in ("html", "body", "article", "main") and _hinted(attributes)
         if tag in _MAIN:
             self.mains += 1
             main = self.mains
+        if tag == "main":
+            self.holds_main.add(mark)
         if hinted or tag in _BLOCKS and tag not in ("p", "li", "hr", "html", "body", "td", "tr", "th"):
             if tag not in _VOID and not attributes.rstrip().endswith("/"):
-                self.stack.append((tag, bad or hinted or tag in _BAD or tag == "header" and not main, main))
+                if hinted:
+                    self.around.append(mark)
+                    mark = len(self.around) - 1
+                self.stack.append((tag, bad or tag in _BAD or tag == "header" and not main, main, mark))
 
     def close(self, tag: str) -> None:
         if tag in _BLOCKS:
@@ -115,6 +136,57 @@ class _Blocks:
                 del self.stack[i:]
                 break
 
+    def bad_marks(self) -> list[bool]:
+        """By mark whether it or one around it is bad. Not bad are elements around a main element, and those that hold
+        all but at most WRAPPED of the long text with many stop words, unless an article or main element outside them
+        holds some."""
+        n = len(self.around)
+        out = [False] * n
+        if n == 1:
+            return out
+        held, held_main = [0] * n, [0] * n
+        for parts, main in self.runs:
+            for mark, group in groupby((x for x in parts if not x[2]), key=lambda x: x[3]):
+                pieces = list(group)
+                text = " ".join("".join(x[0] for x in pieces).split())
+                if _first_pass(text, sum(x[1] for x in pieces), False, 0):
+                    held[mark] += len(text)
+                    held_main[mark] += len(text) if main else 0
+        for mark in range(n - 1, 0, -1):  # from the inside out
+            held[self.around[mark]] += held[mark]
+            held_main[self.around[mark]] += held_main[mark]
+            if mark in self.holds_main:
+                self.holds_main.add(self.around[mark])
+        for mark in range(1, n):
+            wrapper = mark in self.holds_main or held[mark] > 0 and held[mark] >= (1 - WRAPPED) * held[0] and held_main[mark] == held_main[0]
+            out[mark] = not wrapper or out[self.around[mark]]
+        return out
+
+    def blocks(self) -> list[tuple[str, int, bool, int]]:
+        """[text, link characters, bad, main]; main numbers the article or main element around, 0 if none."""
+        out, bad_marks = [], self.bad_marks()
+        for parts, main in self.runs:
+            for bad in (False, True):  # what is bad inside a line is left out of its block, and a block only if nothing else is there
+                pieces = [x for x in parts if (x[2] or bad_marks[x[3]]) == bad]
+                text = " ".join("".join(x[0] for x in pieces).split())
+                if text:
+                    out.append((text, sum(x[1] for x in pieces), bad, main))
+                    break
+        return out
+
+
+def blocks(self) -> list[tuple[str, int, bool, int]]:
+        """[text, link characters, bad, main]; main numbers the article or main element around, 0 if none."""
+        out, free = [], self.wrappers()
+        for parts, main in self.runs:
+            bads = [b or any(i not in free for i in marks) for _, _, b, marks in parts]
+            for bad in (False, True):  # what is bad inside a line is left out of its block, and a block only if nothing else is there
+                text = " ".join("".join(x[0] for x, b in zip(parts, bads, strict=True) if b == bad).split())
+                if text:
+                    out.append((text, sum(x[1] for x, b in zip(parts, bads, strict=True) if b == bad), bad, main))
+                    break
+        return out
+
 
 def blocks(html: str | None) -> list[tuple[str, int, bool, int]]:
     """The blocks of a page in order: text, characters in links, whether in a part outside the article, main element."""
@@ -139,7 +211,7 @@ def blocks(html: str | None) -> list[tuple[str, int, bool, int]]:
         else:
             page.open(tag, attributes)
     page.end_block()
-    return page.out
+    return page.blocks()
 
 
 def _first_pass(text: str, link: int, bad: bool, main: int) -> bool | None:

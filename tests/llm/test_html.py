@@ -57,3 +57,19 @@ def test_hinted_elements_inside_a_line():
         assert main_text(f"<article><p>Text before {tag}Share<div>Inside</div></{name}> after</p></article>") == "Text before\n\nafter"
     para = "The house is in the middle of the town and it was built by one of the people who had been there."
     assert main_text(f'<p>{para}</p><p>Yes. <a class="share">Share</a></p><div><span class="ad">Advert</span></div>') == f"{para}\n\nYes."
+
+
+def test_hints_at_wrappers():
+    para = "The house is in the middle of the town and it was built by one of the people who had been there."
+    inner = f"<h1>Title</h1><p>{para}</p><p>Short.</p>"
+    want = f"Title\n\n{para}\n\nShort."
+    for tag in ("main", "article"):
+        page = f'<{tag}>{inner}<div class="ad">{para}</div></{tag}><div id="comments"><p>{para}</p><p>{para}</p><article class="comment"><p>{para}</p></article></div>'
+        for opening in ('<div class="layout has-sidebar">', '<div id="content" class="post comments-open">', '<div class="no-menu">', '<div data-id="menu">', '<div title="a class=ad">', "<div>"):
+            assert main_text(f"{opening}{page}</div>") == want, (tag, opening)
+        for opening in ('<div class="menu-layout">', '<div id="page" class="ad-free">', "<form id=f><div class=search-page>"):  # all of the text is inside
+            assert main_text(f'{opening}<{tag}>{inner}<div class="ad">{para}</div></{tag}></div>') == want, (tag, opening)
+    assert main_text(f'<div class="widget-page"><p>{para}</p><p>{para}</p></div><div class="menu">x</div>') == f"{para}\n\n{para}"
+    assert main_text(f'<article><p>{para}</p></article><div id="comments">' + f"<p>{para}</p>" * 20 + "</div>") == para  # more comments than article
+    deep = 20_000
+    assert main_text("<div class=ad>" * deep + f"<p>{para}</p>" + "</div>" * deep + f"<article><p>{para}</p></article>") == para
