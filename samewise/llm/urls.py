@@ -9,6 +9,12 @@ unnormalised, so that a host without links keeps (1 - DAMPING) times its seed, w
 hosts. A host is blocked if its distrust is at least THRESHOLD of a wholly blocked seed's own share and
 greater than its trust.
 
+That distrust is divided among all who link to a blocked host, so it fades as they get more. A host is also
+judged by what does not depend on their number: led, its blocked share or DAMPING times the mean of led over
+its out-links, if more; and known, its allowed share or DAMPING times the mean of known over its in-links, if
+more. Both are iterated until no host changes by more than TOLERANCE. A host with led of at least THRESHOLD is
+blocked if its distrust exceeds its trust, or if none of its pages is allowed by a rule and led exceeds known.
+
 Edge cases: a null url, or one without ://, has empty host and path, is in no graph and is allowed unless a
 rule fits; null html has no links; pages without page_id and repeated rows are judged each (repeats count
 in their host's shares); a link counts once per page and host; empty tables give empty results.
@@ -22,7 +28,7 @@ from pyspark.sql import functions as F
 from samewise.llm.text import ascii_lower
 from samewise.sources.shared import materialize
 
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.5
+DAMPING, ROUNDS, THRESHOLD, TOLERANCE = 0.85, 12, 0.5, 0.001
 _CUT_EVERY = 4
 
 
@@ -54,8 +60,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> tuple[Dat
     host, path = host_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), link_hosts(F.col("html")).alias("links")).withColumn("hit", match(F.col("host"), F.col("path"), rules))
     kept = materialize(parsed, "urls")
-    scores = propagate(*_graph(kept))
-    bad = scores.where((F.col("distrust") >= THRESHOLD * (1 - DAMPING)) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("by_host"))
+    seeds, edges = _graph(kept)
+    scores = propagate(seeds, edges).join(shares(seeds, edges), "host")
+    more = F.col("distrust") > F.col("trust")
+    led = (F.col("led") >= THRESHOLD) & (more | (F.col("good") == 0) & (F.col("led") > F.col("known")))
+    bad = scores.where((F.col("distrust") >= THRESHOLD * (1 - DAMPING)) & more | led).select("host", F.lit("block").alias("by_host"))
     judged = kept.join(bad, "host", "left").select("page_id", "host", "path", "hit.rule", F.coalesce("hit.verdict", "by_host", F.lit("allow")).alias("verdict"))
     return judged, scores
 
@@ -86,3 +95,23 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
         if (i + 1) % _CUT_EVERY == 0 or i + 1 == rounds:
             now = materialize(now, "rank")
     return now
+
+
+def shares(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Rows (host, good, led, known) from seeds(host, good, bad) over edges(src, dst, forth, back). Values only grow, and
+    by less each round by the factor damping, so the iteration ends."""
+    now = seeds.select("host", F.col("bad").alias("led"), F.col("good").alias("known"))
+    while not edges.isEmpty():
+        before = now
+        for _ in range(_CUT_EVERY):
+            forth = edges.join(now.withColumnRenamed("host", "dst"), "dst").select(F.col("src").alias("host"), (F.col("led") * F.col("forth")).alias("l"), F.lit(0.0).alias("k"))
+            back = edges.join(now.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), F.lit(0.0).alias("l"), (F.col("known") * F.col("back")).alias("k"))
+            got = forth.union(back).groupBy("host").agg(F.sum("l").alias("l"), F.sum("k").alias("k"))
+            step = lambda seed, x: F.greatest(F.col(seed), damping * F.coalesce(x, F.lit(0.0)))
+            now = seeds.join(got, "host", "left").select("host", step("bad", F.col("l")).alias("led"), step("good", F.col("k")).alias("known"))
+        now = materialize(now, "shares")
+        old = before.select("host", F.col("led").alias("led_"), F.col("known").alias("known_"))
+        change = F.max(F.greatest(F.abs(F.col("led") - F.col("led_")), F.abs(F.col("known") - F.col("known_"))))
+        if now.join(old, "host").agg(change).first()[0] <= tolerance:
+            break
+    return seeds.select("host", "good").join(now, "host")

@@ -72,3 +72,24 @@ def test_edge_cases(spark):
     assert sorted(((r.page_id, r.host, r.verdict) for r in judged.collect()), key=str) == sorted([(1, "", "allow"), (None, "a.org", "allow"), (2, "a.org", "allow"), (2, "a.org", "allow"), (3, "", "allow")], key=str)
     assert [r.host for r in scores.collect()] == ["a.org"]
     assert U.judge_urls(df.where("false"), RULES)[0].count() == 0
+
+
+def test_farms_of_any_size(spark):
+    pages, honest = [], set()
+    for m in (2, 10, 1000):
+        bad = f"bad{m}.net"
+        pages.append((0, f"http://{bad}/", ""))
+        pages += [(m, f"http://farm{m}-{i}.com/x", f'<a href="http://{bad}/">') for i in range(m)]
+        # an honest host with one such link among four, and one that farms link to
+        pages.append((m, f"http://honest{m}.com/x", "".join(f'<a href="http://{x}/">' for x in (bad, "a.com", "b.com", "c.com"))))
+        pages.append((m, f"http://farm{m}-0.com/y", f'<a href="http://liked{m}.com/"><a href="http://{bad}/">'))
+        honest |= {f"honest{m}.com", f"liked{m}.com"}
+        pages.append((m, f"http://liked{m}.com/x", ""))
+        # a step further from the blocked host
+        pages.append((m, f"http://outer{m}.com/x", f'<a href="http://farm{m}-1.com/">'))
+    judged, scores = U.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES)
+    for r in judged.collect():
+        assert (r.verdict == "allow") == (r.host in honest), r.host
+    led = {r.host: r.led for r in scores.collect()}
+    for m in (2, 10, 1000):
+        assert led[f"farm{m}-1.com"] == pytest.approx(0.85) and led[f"outer{m}.com"] == pytest.approx(0.85**2) and led[f"honest{m}.com"] == pytest.approx(0.85 / 4)
