@@ -1,8 +1,9 @@
 """Language identification by compression against per-language dictionaries.
 
 Training takes a bounded sample: per language SAMPLE_DOCS labelled rows (the least by a hash of id and
-text), SAMPLE_CHARS from the middle of each, at most DICT_BYTES in all, for at most MAX_LANGUAGES
-languages (those with most labelled rows). The sample, lower-cased and cut down to letters, is a zstandard
+text), SAMPLE_CHARS from the middle of each, at most DICT_BYTES in all. Every language is learned; beyond
+MAX_LANGUAGES of them rows and bytes per language shrink so that all dictionaries together stay as large as those
+of MAX_LANGUAGES (one row each at least). The sample, lower-cased and cut down to letters, is a zstandard
 raw-content dictionary. Prediction takes whole texts: normalised alike, cut into frames of FRAME bytes, each
 compressed against every dictionary; the language with the least total wins (the first by name on ties).
 The margin is the share by which the next best is larger; texts whose margin is under MARGIN are rejected.
@@ -39,16 +40,17 @@ def normalise(text: str | None) -> bytes:
 
 def train(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionaries by language from labelled(doc_id, text, lang). What reaches the driver is bounded by
-    MAX_LANGUAGES x SAMPLE_DOCS x SAMPLE_CHARS."""
+    MAX_LANGUAGES x SAMPLE_DOCS x SAMPLE_CHARS, or one row per language."""
     known = labelled.where("lang is not null and text is not null and doc_id is not null")
-    languages = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    n = max(MAX_LANGUAGES, known.agg(F.count_distinct("lang")).first()[0])
+    most, size = max(1, SAMPLE_DOCS * MAX_LANGUAGES // n), max(1, DICT_BYTES * MAX_LANGUAGES // n)
     start = F.greatest(F.lit(1), F.floor((F.length("text") - SAMPLE_CHARS) / 2).cast("int") + 1)
-    own = known.where(F.col("lang").isin(languages)).select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("part"))
+    own = known.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("part"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
     sample: dict[str, list[bytes]] = {}
-    for r in own.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).orderBy("lang", "rank").collect():
+    for r in own.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("lang", "rank").collect():
         sample.setdefault(r.lang, []).append(normalise(r.part))
-    return {k: b" ".join(v)[:DICT_BYTES] for k, v in sorted(sample.items()) if any(v)}
+    return {k: b" ".join(v)[:size] for k, v in sorted(sample.items()) if any(v)}
 
 
 class Classifier:

@@ -46,3 +46,16 @@ def test_edge_cases(spark):
     assert {r.language_.lang_pred for r in L.identify(df, {}).collect()} == {"und"}
     assert L.identify(df.where("false"), dicts).count() == 0
     assert [r.language_.lang_pred for r in L.identify(df.where("doc_id = 1"), {"de": dicts["de"]}).collect()] == ["de"]
+
+
+def test_every_language_is_learned(spark):
+    # more languages than MAX_LANGUAGES, each of its own words; the last has the fewest rows
+    n, letters = L.MAX_LANGUAGES + 20, "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i, j: "".join(letters[(i * 7 + j * 11 + k * (i + 3)) % 26] + letters[(i // 26 + j + k * j) % 26] for k in range(4))
+    text = lambda i: " ".join(word(i, j) for j in range(40))
+    rows = [(i * 2 + c, text(i), f"l{i:03}") for i in range(n) for c in range(1 if i == n - 1 else 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dicts = L.train(df)
+    assert len(dicts) == n and sum(map(len, dicts.values())) <= L.MAX_LANGUAGES * L.DICT_BYTES
+    got = {r.doc_id: r.language.lang_pred for r in L.identify(df.where("doc_id % 60 = 0 or lang = 'l275'"), dicts).collect()}
+    assert all(v == f"l{i // 2:03}" for i, v in got.items()) and got[(n - 1) * 2] == "l275"
