@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. Pass one decides blocks: bad inside menus, headers, footers,
 sidebars, forms and elements whose class or id names such a part, an advert, a notice or reader comments;
 bad if most of it is link text; good if long with many stop words; bad if long with few of them, unless it
-stands in an <article> or <main>; all else is undecided. Pass two gives an undecided block the label of
+stands in an <article> or <main>; on a page with no good block and under KNOWN_SHARE of stop words, which
+is in none of their languages, long blocks are good without them; all else is undecided. Pass two gives an undecided block the label of
 the nearest decided neighbour: in an article or main element among those of the same element that were
 decided by their words or links (without any it is good), elsewhere among all (without any it is bad);
 at equal distance good wins. Scripts, styles, head and comments of the markup are no blocks. Inside a line an element that names such a
@@ -18,7 +19,7 @@ dropped, an unfinished script, style or comment ends with the page; repeated row
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 from itertools import groupby
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-LONG_CHARS, STOP_SHARE, LINK_SHARE, WRAPPED = 70, 0.15, 0.5, 0.1
+LONG_CHARS, STOP_SHARE, LINK_SHARE, WRAPPED, KNOWN_SHARE = 70, 0.15, 0.5, 0.1, 0.05
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -144,14 +145,16 @@ class _Blocks:
         out = [False] * n
         if n == 1:
             return out
-        held, held_main = [0] * n, [0] * n
+        held, held_main, found = [0] * n, [0] * n, []
         for parts, main in self.runs:
             for mark, group in groupby((x for x in parts if not x[2]), key=lambda x: x[3]):
                 pieces = list(group)
-                text = " ".join("".join(x[0] for x in pieces).split())
-                if _first_pass(text, sum(x[1] for x in pieces), False, 0):
-                    held[mark] += len(text)
-                    held_main[mark] += len(text) if main else 0
+                found.append((" ".join("".join(x[0] for x in pieces).split()), sum(x[1] for x in pieces), mark, main))
+        known = any(_first_pass(text, link, False, 0) for text, link, _, _ in found) or _known(x[0] for x in found)
+        for text, link, mark, main in found:
+            if _first_pass(text, link, False, 0, known):
+                held[mark] += len(text)
+                held_main[mark] += len(text) if main else 0
         for mark in range(n - 1, 0, -1):  # from the inside out
             held[self.around[mark]] += held[mark]
             held_main[self.around[mark]] += held_main[mark]
@@ -214,22 +217,36 @@ def blocks(html: str | None) -> list[tuple[str, int, bool, int]]:
     return page.blocks()
 
 
-def _first_pass(text: str, link: int, bad: bool, main: int) -> bool | None:
+def _first_pass(text: str, link: int, bad: bool, main: int, known: bool = True) -> bool | None:
     chars = len(text.replace(" ", ""))
     if bad or link > LINK_SHARE * chars:
         return False
     if len(text) < LONG_CHARS:
         return None
+    if not known:
+        return True
     found = _WORD.findall(text.lower())
     if found and sum(w in STOP_WORDS for w in found) >= STOP_SHARE * len(found):
         return True
     return None if main else False
 
 
+def _known(texts: Iterable[str]) -> bool:
+    """Whether the words of texts are of a language of STOP_WORDS: at least KNOWN_SHARE of them are stop words."""
+    found = stops = 0
+    for text in texts:
+        for w in _WORD.findall(text.lower()):
+            found += 1
+            stops += w in STOP_WORDS
+    return stops >= KNOWN_SHARE * found
+
+
 def main_text(html: str | None) -> str:
     """The good blocks of a page, joined by an empty line."""
     cut = blocks(html)
     first = [_first_pass(*b) for b in cut]
+    if True not in first and not _known(b[0] for b in cut if not b[2]):
+        first = [_first_pass(*b, known=False) for b in cut]
 
     def nearest(keep) -> list[tuple[int, bool] | None]:
         """Distance and badness of the nearest decided block with the same keep, good first at equal distance."""

@@ -73,3 +73,14 @@ def test_hints_at_wrappers():
     assert main_text(f'<article><p>{para}</p></article><div id="comments">' + f"<p>{para}</p>" * 20 + "</div>") == para  # more comments than article
     deep = 20_000
     assert main_text("<div class=ad>" * deep + f"<p>{para}</p>" + "</div>" * deep + f"<article><p>{para}</p></article>") == para
+
+
+def test_languages_without_stop_words():
+    finnish = "Vanha talo seisoo keskellä kaupunkia ja sen rakensivat ihmiset jotka olivat asuneet siellä kauan ennen sotaa."
+    chinese = "这座房子位于城市的中心由曾经住在那里的人们建造" * 4
+    for para in (finnish, chinese):
+        html = f'<div><a href="/a">{para}</a></div><div class="menu">{para}</div><h2>Otsikko</h2><p>{para}</p><p>{para}</p><footer>{para}</footer>'
+        assert main_text(html) == f"Otsikko\n\n{para}\n\n{para}"
+        assert main_text(f'<div class="menu-page">{html}</div>') == f"Otsikko\n\n{para}\n\n{para}"
+    english = "The house is in the middle of the town and it was built by one of the people who had been there."
+    assert main_text(f"<div>{english}</div><div>{finnish}</div>") == english
