@@ -1,27 +1,32 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. Pass one decides blocks: bad inside menus, headers, footers,
-sidebars, forms and elements whose class or id names such a part, an advert, a notice or reader comments;
+sidebars, forms and elements whose class, id or role names such a part, an advert, a notice or reader comments;
 bad if most of it is link text; good if long with many stop words; bad if long with few of them, unless it
 stands in an <article> or <main>; on a page with no good block and under KNOWN_SHARE of stop words, which
-is in none of their languages, long blocks are good without them; all else is undecided. Pass two gives an undecided block the label of
-the nearest decided neighbour: in an article or main element among those of the same element that were
-decided by their words or links (without any it is good), elsewhere among all (without any it is bad);
-at equal distance good wins. Scripts, styles, head and comments of the markup are no blocks. Inside a line an element that names such a
-part is left out of its block, which else stays whole. Names that only tell a state (has-sidebar, comments-open)
-are no hints, nor are those of an element around a main element or around nearly all of the long text with
-many stop words; a form counts as such an element.
+is in none of their languages, long blocks are good without them; all else is undecided. Pass two gives an
+undecided block the label of the nearest decided neighbour: in an article or main element among those of the
+same element that were decided by their words or links (without any it is good), elsewhere among all (without
+any it is bad); at equal distance good wins. Scripts, styles, head and comments of the markup are no blocks.
+
+A name hints at a part if it consists of hint words, numbers and words like "box" or "left" only (sidebar-2,
+adBox; not related-work, has-sidebar or data-id). Inside a line an element with a hint is left out of its block,
+which else stays whole. An element with a hint, or a form, is no such part if it holds the page's main element, nearly
+all of its long text, or its articles with half of that text. Paragraphs, list items, table cells and rows end where the next begins.
 
 Edge cases: null or empty html gives an empty text; markup may be cut off anywhere: an unfinished tag is
-dropped, an unfinished script, style or comment ends with the page; repeated rows are extracted each.
+dropped, an unfinished script, style or comment ends with the page; repeated rows are extracted each; very long
+pages take time in proportion to their length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
 from itertools import groupby
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,8 +53,14 @@ HINTS = frozenset(
     breadcrumbs pagination pager toolbar masthead footer comment comments respond reply replies disqus social share
     sharing related recommended widget form search skip""".split()
 )
-# Parts of names that tell a state of an element around such a part.
-_STATES = frozenset("has have no not with without open opened close closed enable enabled disable disabled active inactive".split())
+# Parts that a name of such a part may have besides.
+_BESIDES = frozenset(
+    """area bar block body bottom box col column container content entry extra fixed global group header heading inner item
+    items left link links list main outer page panel post posts primary right row secondary section site small sticky text
+    title top unit wrap wrapper zone""".split()
+)
+# Hints at reader comments.
+_COMMENTS = frozenset("comment comments respond reply replies disqus".split())
 # Elements of HTML by their part here.
 _BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer
@@ -60,87 +71,119 @@ _BAD = frozenset("nav footer aside menu dialog".split())
 _SKIP = frozenset("script style noscript template svg math textarea select button iframe object head title".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _MAIN = frozenset("article main".split())
+# Elements whose end tag may be left out, by the group of which one begins where another ends, and the
+# elements that the search for an open one does not look beyond.
+_ITEMS = {"p": "p", "li": "li", "dt": "dl", "dd": "dl", "tr": "tr", "td": "td", "th": "td"}
+_SCOPES = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dl": ("dl",), "table": ("tr", "td"), "tr": ("td",)}
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z)|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _hinted(attributes: str) -> bool:
-    """Whether a name in class, id or role holds a hint and no state."""
+def _hint(attributes: str) -> frozenset[str]:
+    """The hints of the first name in class, id or role that consists of hints, numbers and what may stand besides."""
     for m in _ATTRIBUTE.finditer(attributes):
         if m[1].lower() in ("class", "id", "role"):
-            for name in (m[2] or m[3] or m[4] or "").lower().split():
-                parts = _PART.findall(name)
-                if not HINTS.isdisjoint(parts) and _STATES.isdisjoint(parts):
-                    return True
-    return False
+            for name in (m[2] or m[3] or m[4] or "").split():
+                parts = {x.lower() for x in _PART.findall(name)}
+                if (hints := parts & HINTS) and parts - hints <= _BESIDES:
+                    return frozenset(hints)
+    return frozenset()
+
+
+class _Open(NamedTuple):
+    """An open element: whether it stands in a bad one, the main element and the mark around, and by group of _ITEMS the
+    place in the stack of the open element that a new one of the group would end."""
+
+    tag: str = ""
+    bad: bool = False
+    main: int = 0
+    mark: int = 0
+    items: dict[str, int] = {}  # never changed in place
 
 
 class _Blocks:
     """Collects runs of text between block tags. Whether an element with a hint is bad is known at the end of the
-    page only, so every piece of text keeps the number (mark) of the innermost one around it, 0 if none."""
+    page only, so every piece of text keeps the number (mark) of the innermost one around it, 0 if none.
+
+    Every tag costs constant time but for the elements it ends."""
 
     def __init__(self) -> None:
         self.runs: list[tuple[list[tuple[str, int, bool, int]], int]] = []
-        self.stack: list[tuple[str, bool, int, int]] = []
+        self.stack: list[_Open] = [_Open()]
+        self.count: Counter[str] = Counter()  # open elements by tag
         self.parts: list[tuple[str, int, bool, int]] = []
         self.in_link, self.mains = 0, 0
         self.around = [0]  # by mark the one around it
+        self.comments = [False]  # by mark whether it hints at reader comments
         self.holds_main: set[int] = set()
 
-    def top(self) -> tuple[str, bool, int, int]:
-        return self.stack[-1] if self.stack else ("", False, 0, 0)
-
     def text(self, s: str) -> None:
         if s:
             s = unescape(s)
-            _, bad, _, mark = self.top()
-            self.parts.append((s, len("".join(s.split())) if self.in_link else 0, bad, mark))
+            top = self.stack[-1]
+            self.parts.append((s, len("".join(s.split())) if self.in_link else 0, top.bad, top.mark))
 
     def end_block(self) -> None:
         if self.parts:
-            self.runs.append((self.parts, self.top()[2]))
+            self.runs.append((self.parts, self.stack[-1].main))
             self.parts = []
 
+    def _cut(self, at: int) -> None:
+        self.count.subtract(x.tag for x in self.stack[at:])
+        del self.stack[at:]
+
     def open(self, tag: str, attributes: str) -> None:
         if tag in _BLOCKS:
             self.end_block()
-            if self.stack and self.stack[-1][0] == "p":  # a paragraph ends where another block begins
-                self.stack.pop()
+            if self.stack[-1].items:
+                for group in ("p", _ITEMS.get(tag, "p"), *(("td",) if tag == "tr" else ())):
+                    if (at := self.stack[-1].items.get(group)) is not None:
+                        self._cut(at)
         elif tag == "br":
             self.text(" ")
-        _, bad, main, mark = self.top()
+        top = self.stack[-1]
+        main, mark = top.main, top.mark
         if tag == "a":
             self.in_link += 1
-        hinted = tag == "form" or bool(attributes) and tag not in ("html", "body", "article", "main") and _hinted(attributes)
+        hint = _hint(attributes) if attributes and tag not in ("html", "body", "article", "main") else frozenset()
+        hinted = tag == "form" or bool(hint)
         if tag in _MAIN:
             self.mains += 1
             main = self.mains
         if tag == "main":
             self.holds_main.add(mark)
-        if hinted or tag in _BLOCKS and tag not in ("p", "li", "hr", "html", "body", "td", "tr", "th"):
-            if tag not in _VOID and not attributes.rstrip().endswith("/"):
-                if hinted:
-                    self.around.append(mark)
-                    mark = len(self.around) - 1
-                self.stack.append((tag, bad or tag in _BAD or tag == "header" and not main, main, mark))
+        plain = tag not in _BLOCKS or tag in _ITEMS or tag in ("hr", "html", "body")
+        if (hinted or not plain) and tag not in _VOID and not attributes.rstrip().endswith("/"):
+            if hinted:
+                self.around.append(mark)
+                self.comments.append(not hint.isdisjoint(_COMMENTS))
+                mark = len(self.around) - 1
+            items = top.items
+            if tag in _SCOPES:
+                items = {k: v for k, v in items.items() if k not in _SCOPES[tag]}
+            if tag in _ITEMS:
+                items = {**items, _ITEMS[tag]: len(self.stack)}
+            self.stack.append(_Open(tag, top.bad or tag in _BAD or tag == "header" and not main, main, mark, items))
+            self.count[tag] += 1
 
     def close(self, tag: str) -> None:
         if tag in _BLOCKS:
             self.end_block()
         if tag == "a":
             self.in_link = max(0, self.in_link - 1)
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
+        if self.count[tag] > 0:
+            at = len(self.stack) - 1
+            while self.stack[at].tag != tag:
+                at -= 1
+            self._cut(at)
 
     def bad_marks(self) -> list[bool]:
         """By mark whether it or one around it is bad. Not bad are elements around a main element, and those that hold
-        all but at most WRAPPED of the long text with many stop words, unless an article or main element outside them
-        holds some."""
+        all but at most WRAPPED of the long text with many stop words (half of it if an article in them holds some, and
+        they hint at no reader comments), unless an article or main element outside them holds some."""
         n = len(self.around)
         out = [False] * n
         if n == 1:
@@ -161,7 +204,8 @@ class _Blocks:
             if mark in self.holds_main:
                 self.holds_main.add(self.around[mark])
         for mark in range(1, n):
-            wrapper = mark in self.holds_main or held[mark] > 0 and held[mark] >= (1 - WRAPPED) * held[0] and held_main[mark] == held_main[0]
+            share = 0.5 if held_main[0] and not self.comments[mark] else 1 - WRAPPED
+            wrapper = mark in self.holds_main or held[mark] > 0 and held[mark] >= share * held[0] and held_main[mark] == held_main[0]
             out[mark] = not wrapper or out[self.around[mark]]
         return out
 
@@ -178,23 +222,11 @@ class _Blocks:
         return out
 
 
-def blocks(self) -> list[tuple[str, int, bool, int]]:
-        """[text, link characters, bad, main]; main numbers the article or main element around, 0 if none."""
-        out, free = [], self.wrappers()
-        for parts, main in self.runs:
-            bads = [b or any(i not in free for i in marks) for _, _, b, marks in parts]
-            for bad in (False, True):  # what is bad inside a line is left out of its block, and a block only if nothing else is there
-                text = " ".join("".join(x[0] for x, b in zip(parts, bads, strict=True) if b == bad).split())
-                if text:
-                    out.append((text, sum(x[1] for x, b in zip(parts, bads, strict=True) if b == bad), bad, main))
-                    break
-        return out
-
-
 def blocks(html: str | None) -> list[tuple[str, int, bool, int]]:
     """The blocks of a page in order: text, characters in links, whether in a part outside the article, main element."""
     html = html or ""
     page, at, n = _Blocks(), 0, len(html)
+    endless: set[str] = set()
     while at < n:
         m = _TAG.search(html, at)
         if m is None or m.start() == n:
@@ -208,7 +240,9 @@ def blocks(html: str | None) -> list[tuple[str, int, bool, int]]:
         if m[1] or m[4]:
             page.close(tag)
         elif tag in _SKIP and not attributes.rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            if end is None:
+                endless.add(tag)
             at = end.end() if end else (n if tag != "head" else at)
             page.text(" ")
         else:

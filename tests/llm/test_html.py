@@ -1,9 +1,11 @@
 import random
 import re
+import time
 from html import unescape
 
 from samewise.llm.html import main_text
 from samewise.llm.q_html import op5_html_text
+from tests.llm.html_slow import slow_text
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,7 +23,7 @@ def test_pages_against_their_article(spark):
     assert len(got) == len(pages)
     for r in got:
         assert r.n_chars == len(r.text)
-        assert r.text == article(pages[r.page_id].html)
+        assert r.text == article(pages[r.page_id].html) == slow_text(pages[r.page_id].html)
 
 
 def test_parts_outside_the_article():
@@ -84,3 +86,59 @@ def test_languages_without_stop_words():
         assert main_text(f'<div class="menu-page">{html}</div>') == f"Otsikko\n\n{para}\n\n{para}"
     english = "The house is in the middle of the town and it was built by one of the people who had been there."
     assert main_text(f"<div>{english}</div><div>{finnish}</div>") == english
+
+
+def generated(rnd, landmarks):
+    """A random page of nested elements, with and without hints, links and long texts in several languages."""
+    texts = [
+        "The house is in the middle of the town and it was built by one of the people who had been there.", "Das Haus ist in der Mitte der Stadt und wurde von den Leuten gebaut, die nicht mehr da sind.",
+        "Vanha talo seisoo keskellä kaupunkia ja sen rakensivat ihmiset jotka olivat asuneet siellä kauan.", "Yes.", "Read more", "A short line of it", "x &amp; y", "",
+    ]
+    names = ["", "", "", ' class="post-body"', ' class="ad"', ' class="cookie-notice"', ' id="comments"', ' class="sidebarLeft top"', ' class="related-work"', ' class="has-menu"', ' data-id="share"', " role=navigation"]
+    blocks = ["div", "section", "p", "h2", "ul", "form"] + (["article", "main", "nav", "footer", "header", "aside"] if landmarks else [])
+
+    def element(depth):
+        if depth > 4 or rnd.random() < 0.3:
+            text = rnd.choice(texts)
+            kind = rnd.random()
+            return f"<a href='/x'>{text}</a>" if kind < 0.15 else f"<span{rnd.choice(names)}>{text}</span> " if kind < 0.3 else f"{text}<br>" if kind < 0.4 else text
+        tag = rnd.choice(blocks)
+        inner = "".join(element(5 if tag in ("p", "h2") else depth + 1) for _ in range(rnd.randint(1, 5)))
+        return f"<{tag}{rnd.choice(names)}>{inner}</{tag}>"
+
+    return "<html><head><title>T</title></head><body>" + "".join(element(0) for _ in range(rnd.randint(1, 8))) + "</body></html>"
+
+
+def test_against_the_slow_version():
+    rnd, kept = random.Random(7), 0
+    for i in range(1500):
+        page = generated(rnd, i % 3 == 0)
+        got = main_text(page)
+        assert got == slow_text(page), page
+        kept += bool(got)
+    assert 300 < kept < 1400
+
+
+def test_names():
+    para = "The house is in the middle of the town and it was built by one of the people who had been there."
+    for name in ("related-work", "ad-free", "has-sidebar", "comments-open", "formula", "adverbs", "no-menu"):
+        assert main_text(f'<article><p>{para}</p><section class="{name}"><p>{para}</p></section></article>') == f"{para}\n\n{para}", name
+    for name in ("ad", "sidebar-2", "adBox", "x related-posts", "comment-37", "mainNav", "AD", "social_links"):
+        assert main_text(f'<article><p>{para}</p><section class="{name}"><p>{para}</p></section></article>') == para, name
+
+
+def test_end_tags_left_out():
+    assert main_text("<article><ul><li class=ad>x<li>one<ul><li>in<li id=promo>y</ul><li>two</ul><p class=ad>z<p>a<table><tr class=ad><td>z<tr><td>b<td class=promo>c<td>d</table></article>") == "\n\n".join(["one", "in", "two", "a", "b", "d"])
+    assert main_text("<article><dl><dt class=ad>x<dd>y<dt>z</dl><p class=ad>a <span class=promo>b<p>c</article>") == "y\n\nz\n\nc"
+
+
+def test_hostile_pages_take_linear_time():
+    pages = [
+        "<div>" * 100_000 + "</b>" * 100_000, "<head>" * 160_000, "<li class=ad><ul>" + "<div>" * 100_000 + "<li>" * 100_000, "<a '" * 250_000, "<!--" * 250_000, '<a href="' * 100_000, "<p class=ad>" * 80_000,
+        "<td class=ad><table>" * 50_000, "&" * 1_000_000, "<" * 1_000_000, "<div>x" * 150_000, "<head>x</head " * 70_000, "<article>" * 100_000,
+    ]
+    for page in pages:
+        start = time.process_time()
+        main_text(page)
+        main_text(page[: len(page) // 2])
+        assert time.process_time() - start < 12, page[:20]
