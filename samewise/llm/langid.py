@@ -1,17 +1,19 @@
 """Language identification by compression against per-language dictionaries.
 
-Training takes a bounded sample: per language SAMPLE_DOCS labelled rows (the least by a hash of id and
-text), SAMPLE_CHARS from the middle of each, at most DICT_BYTES in all. Every language is learned; beyond
-MAX_LANGUAGES of them rows and bytes per language shrink so that all dictionaries together stay as large as those
-of MAX_LANGUAGES (one row each at least). The sample, lower-cased and cut down to letters, is a zstandard
+Training takes a bounded sample of rows: per language the whole texts of SAMPLE_DOCS distinct ones, the least by a
+hash of the text, those of at most SAMPLE_CHARS characters first. Every language is learned; beyond
+MAX_LANGUAGES of them rows per language shrink so that all dictionaries together stay as large as those of
+MAX_LANGUAGES (one row each at least). The sample, lower-cased and cut down to letters, is a zstandard
 raw-content dictionary. Prediction takes whole texts: normalised alike, cut into frames of FRAME bytes, each
 compressed against every dictionary; the language with the least total wins (the first by name on ties).
+zstandard stores what it can hardly shorten as it is, so texts under LEAST bytes are told again until they have as many.
 The margin is the share by which the next best is larger; texts whose margin is under MARGIN are rejected.
 With one language the next best is compression without a dictionary.
 
 Edge cases: null text, or text without a letter, is `und` with score 0, as is everything when nothing was
-learned; rows with null lang, text or doc_id are not learned from; repeated rows are predicted each, alike;
-empty tables give empty results.
+learned; rows with null lang or text are not learned from; other columns, doc_id among them, play no part;
+repeated rows are learned once and predicted each, alike; very long texts are compressed frame by frame, and learned
+only where a language has too few others; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samewise.llm.text import fresh
+from samewise.sources.shared import materialize
 
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, MAX_LANGUAGES = 128, 1000, 65_536, 256
-LEVEL, FRAME = 6, 1024
+SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 48, 8192, 256
+LEVEL, FRAME, LEAST = 6, 1024, 64
 MARGIN = 0.03
 _NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -39,18 +42,26 @@ def normalise(text: str | None) -> bytes:
 
 
 def train(labelled: DataFrame) -> dict[str, bytes]:
-    """Dictionaries by language from labelled(doc_id, text, lang). What reaches the driver is bounded by
-    MAX_LANGUAGES x SAMPLE_DOCS x SAMPLE_CHARS, or one row per language."""
-    known = labelled.where("lang is not null and text is not null and doc_id is not null")
-    n = max(MAX_LANGUAGES, known.agg(F.count_distinct("lang")).first()[0])
-    most, size = max(1, SAMPLE_DOCS * MAX_LANGUAGES // n), max(1, DICT_BYTES * MAX_LANGUAGES // n)
-    start = F.greatest(F.lit(1), F.floor((F.length("text") - SAMPLE_CHARS) / 2).cast("int") + 1)
-    own = known.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("part"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
+    """Dictionaries by language from labelled(text, lang). What reaches the driver is bounded by MAX_LANGUAGES x
+    SAMPLE_DOCS texts, or one per language."""
+    own = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), (F.length("text") > SAMPLE_CHARS).alias("long"), "text")
+    n = max(MAX_LANGUAGES, own.agg(F.count_distinct("lang")).first()[0])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))
+    # copies of a text are one before they are ranked; texts are only read for the hashes that were drawn
+    drawn = own.groupBy("lang", "long", "h").agg(F.lit(1).alias("one")).withColumn("rank", rank).where(F.col("rank") <= max(1, SAMPLE_DOCS * MAX_LANGUAGES // n))
+    drawn = materialize(drawn.select("lang", "h", "rank"), "drawn")
+    texts = own.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
     sample: dict[str, list[bytes]] = {}
-    for r in own.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("lang", "rank").collect():
-        sample.setdefault(r.lang, []).append(normalise(r.part))
-    return {k: b" ".join(v)[:size] for k, v in sorted(sample.items()) if any(v)}
+    for r in texts.orderBy("lang", "rank").collect():
+        sample.setdefault(r.lang, []).append(normalise(r.text))
+    return {k: b" ".join(v) for k, v in sorted(sample.items()) if any(v)}
+
+
+def frames_of(plain: bytes) -> list[bytes]:
+    """What is compressed of a normalised text that is not empty."""
+    if len(plain) < LEAST:
+        return [b" %b " % b" ".join([plain] * -(-LEAST // (len(plain) + 1)))]
+    return [plain[i : i + FRAME] for i in range(0, len(plain), FRAME)]
 
 
 class Classifier:
@@ -69,7 +80,7 @@ class Classifier:
         plain = normalise(text)
         if not plain or not self.by_lang:
             return "und", 0.0
-        frames = [plain[i : i + FRAME] for i in range(0, len(plain), FRAME)]
+        frames = frames_of(plain)
         sizes = sorted((sum(len(c.compress(f)) for f in frames), lang) for lang, c in self.by_lang.items())
         other = sizes[1][0] if len(sizes) > 1 else sum(len(self.plain.compress(f)) for f in frames)
         return sizes[0][1], max(0.0, (other - sizes[0][0]) / other)
