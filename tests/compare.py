@@ -25,6 +25,8 @@ def compare(spark, name, query, sql, sf_dir):
     db = duckdb.connect()
     for t in TABLES:
         path = f"{sf_dir}/{t}.parquet"
+        if not os.path.exists(path):  # a folder of a test may hold some tables only
+            continue
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     cursor = db.execute(sql)
     want = pd.DataFrame(cursor.fetchall(), columns=[c[0] for c in cursor.description], dtype=object)
