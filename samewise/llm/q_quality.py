@@ -21,8 +21,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LEVEL = Q.DELTA / (len(Q.STRATA) * len(Q.RULES))
-_P = Q.RISK / len(Q.RULES)
+_LEVEL = Q.DELTA / len(Q.STRATA)
 
 OP1_SQL = rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -46,18 +45,16 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
          least({Q.BINS}, coalesce({Q.BINS} * n_repeat_words // nullif(n_words, 0), 0)),
          least({Q.BINS}, coalesce(2 * word_chars // nullif(n_words, 0), 0))] AS bins FROM f),
 good AS (SELECT doc_id, max(quality) >= 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-cells AS (SELECT stratum, rule, c, count(*) FILTER (good) AS n, count(*) FILTER (good AND bins[rule] >= c) AS k,
-            count(*) FILTER (NOT good AND bins[rule] >= c) AS bad
-          FROM b JOIN good USING (doc_id), range(1, {len(Q.RULES) + 1}) AS rr(rule), range(1, {Q.BINS + 1}) AS cc(c)
-          WHERE NOT base_failed GROUP BY ALL),
-tails AS (SELECT *, CASE WHEN k >= n * {_P!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
-            exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P!r}) + (n - i) * ln(1 - {_P!r})))) END AS tail FROM cells),
-cut AS (SELECT stratum, rule, max({{'gain': bad - {Q.COST} * k, 'c': c}}) AS best FROM tails WHERE tail <= {_LEVEL!r} GROUP BY ALL HAVING max(bad - {Q.COST} * k) > 0),
-rej AS (SELECT DISTINCT b.r FROM b JOIN cut ON b.stratum = cut.stratum AND b.bins[cut.rule] >= cut.best.c)
+st AS (SELECT *, list_min(list_transform(range(1, {len(Q.RULES) + 1}), lambda i: CASE WHEN bins[i] > 0 THEN i * {Q.BINS} - bins[i] END)) AS first FROM b),
+cells AS (SELECT stratum, step, count(*) FILTER (good) AS n, count(*) FILTER (good AND first <= step) AS k, count(*) FILTER (NOT good AND first <= step) AS bad
+          FROM st JOIN good USING (doc_id), range(0, {len(Q.RULES) * Q.BINS}) AS ss(step) WHERE NOT base_failed GROUP BY ALL),
+tails AS (SELECT *, CASE WHEN k >= n * {Q.RISK!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+            exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({Q.RISK!r}) + (n - i) * ln(1 - {Q.RISK!r})))) END AS tail FROM cells),
+cut AS (SELECT stratum, -max({{'gain': bad - {Q.COST} * k, 'back': -step}}).back AS chosen FROM tails WHERE tail <= {_LEVEL!r} GROUP BY stratum HAVING max(bad - {Q.COST} * k) > 0)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM rej) AS kept,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(first <= chosen, false) AS kept,
   n_upper::BIGINT AS n_upper, n_lines::BIGINT AS n_lines
-FROM b
+FROM st LEFT JOIN cut USING (stratum)
 """
 QUERIES = {"op1_quality_rules": op1_quality_rules}
 ORACLES = {"op1_quality_rules": OP1_SQL}

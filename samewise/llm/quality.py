@@ -1,24 +1,20 @@
 """Quality rules whose cutoffs are certified on labelled documents. DataFrame functions only.
 
-Each rule is a share or rate cut into BINS steps. For every length stratum and rule the labelled good
-documents that pass the base rules are a holdout: a cutoff is certified if the exact binomial tail
-P(Bin(n, risk) <= k) is at most delta, k being the number of good documents among n that it rejects.
-That tail grows with k, and k grows as the cutoff tightens, so testing cutoffs from the loosest on and
-stopping at the first failure (fixed-sequence testing) needs no correction along a rule; delta is divided
-by strata x rules (Bonferroni), and risk by the number of rules, so that with probability 1 - DELTA no
-stratum loses more than RISK of its good documents. Among certified cutoffs the one with the best
-(bad rejected - COST x good rejected) is taken, the loosest on ties. Too few labels certify nothing.
-That is what the query and its SQL do.
-
-Split over the rules, the risk asks for thousands of labels. `judge`, which the pipeline uses, therefore also
-tests the rejection by all rules together against the whole of RISK: one sequence of steps, fixed in advance,
-takes the rules in order and each from its loosest cutoff to its tightest, and a step rejects what any step up
-to it does. It gets one half of delta over the strata, the cutoffs by rule the other half; every stratum takes
-whichever of the two gains more on its labels.
+Each rule is a share or rate cut into BINS steps. The rejection by all rules together is tested in one sequence
+of steps that is fixed in advance: it takes the rules in order and each from its loosest cutoff to its tightest,
+and a step rejects what any step up to it does. For every length stratum the labelled good documents that pass
+the base rules are a holdout: a step is certified if the exact binomial tail P(Bin(n, RISK) <= k) is at most its
+level, k being the number of good documents among n that it rejects. That tail grows with k, and k grows along
+the sequence, so testing from the first step on and stopping at the first failure (fixed-sequence testing) needs
+no correction along it; DELTA is divided by the number of strata (Bonferroni), so that with probability 1 - DELTA
+no stratum loses more than RISK of its good documents. Among certified steps the one with the best
+(bad rejected - COST x good rejected) is taken, the first on ties. A stratum needs 162 labelled good documents
+without a false rejection; fewer certify nothing.
 
 Edge cases: null text counts as empty (no words: base_failed); a label without document, or with null
 quality, is ignored; of several labels of one document the highest counts; repeated documents are judged
-each; nulls in other columns do not matter; empty tables give empty results.
+each; nulls in other columns do not matter; a very long text takes memory in proportion to its words, in one row;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,24 +22,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samewise.llm.text import fresh, let, without_space, words
+from samewise.llm.text import SPACE, WORD, fresh, let, words
 from samewise.sources.shared import materialize
 
 BINS = 50
-RISK, DELTA, COST = 0.01, 0.05, 10
+RISK, DELTA, COST = 0.025, 0.05, 10
 #: Lower bounds of the length strata, in words; what is shorter than the first fails the base rules.
 STRATA = (50, 200, 1000)
 RULES = ("symbols", "upper", "dup_lines", "repeats", "word_length")
-_SYMBOLS = "#*$%&|<>"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+def _repeat_words(w: Column) -> Column:
+    """Words in 3-word windows that occur twice or more; windows are compared by a 64-bit hash within one text.
 
+    Positions are only looked at where some window occurs twice.
+    """
+    hashes = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h)).otherwise(F.lit(0).cast("long")))
 
-def _repeat_words(w: Column) -> Column:
-    """Words in 3-word windows that occur twice or more; windows are compared by a 64-bit hash within one text."""
-    hashes = F.transform(
-        F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))),
-        lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-    )
+
+def _covered(hashes: Column) -> Column:
+    """Words in the windows whose hash occurs twice or more."""
 
     def positions(s: Column) -> Column:
         def same(i: Column, h: Column) -> Column:
@@ -52,7 +49,7 @@ def _repeat_words(w: Column) -> Column:
         return F.transform(F.filter(s, lambda x, i: same(i - 1, x["h"]) | same(i + 1, x["h"])), lambda x: x["i"])
 
     return F.aggregate(
-        F.sort_array(let(F.sort_array(hashes), positions)),
+        F.sort_array(let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), positions)),
         F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")),
         lambda a: a["n"],
@@ -62,16 +59,16 @@ def _repeat_words(w: Column) -> Column:
 def features(text: Column) -> Column:
     """struct of counts (long) of one whole text."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(without_space(x)) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     return let(
         words(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(without_space(text)).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("distinct"))).alias("lines"),
             _repeat_words(w).alias("n_repeat_words"),
-            (F.length(text) - F.length(F.translate(text, _UPPER, ""))).cast("long").alias("n_upper"),
+            F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long").alias("n_upper"),
         ),
     )
 
@@ -105,94 +102,69 @@ def _log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - back
 
 
-def binomial_tail(k: Column, n: Column, p: float, terms: int = 4000) -> Column:
-    """P(Bin(n, p) <= k): the terms from k downwards, each got from the one before; past `terms` of them
-    a geometric series that bounds the rest from above. 1 where k >= n p, where it is no use."""
+def binomial_tail(k: Column, n: Column, p: float) -> Column:
+    """P(Bin(n, p) <= k), 1 where k >= n p, where it is no use: the terms from k downwards, each got from the one before.
+
+    Below n p the j-th of them is at most exp(-j^2 / 2k) of the first, so those beyond 10 sqrt(k) + 60 are left out:
+    together they are far below the rounding of a double.
+    """
     k, n = k.cast("double"), n.cast("double")
     first = F.exp(_log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p)))
-    ratio = lambda i: i * (1 - p) / ((n - i + 1) * p)
     rest = F.aggregate(
-        F.sequence(F.lit(0), F.least(k, F.lit(float(terms))).cast("int")),
+        F.sequence(F.lit(0), F.least(k, F.floor(10 * F.sqrt(k)) + 60).cast("int")),
         F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")),
-        lambda a, j: F.struct((a["term"] * ratio(k - j)).alias("term"), (a["sum"] + a["term"]).alias("sum")),
-        lambda a: a["sum"] + F.when(k > terms, a["term"] / (1 - ratio(k - terms))).otherwise(0.0),
+        lambda a, j: F.struct((a["term"] * (k - j) * (1 - p) / ((n - k + j + 1) * p)).alias("term"), (a["sum"] + a["term"]).alias("sum")),
+        lambda a: a["sum"],
     )
     return F.when(k >= n * p, 1.0).otherwise(F.least(F.lit(1.0), first * rest))
 
 
-def certify(labelled: DataFrame, f: str = "f", good: str = "good", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """From rows with the features `f` and the boolean `good`: one row per stratum, rule and cutoff bin
-    (at most strata x rules x BINS) with n, k, bad rejected, tail and whether it is certified.
+def first_step(f: Column) -> Column:
+    """The first step of the sequence that rejects a text, null if none does. Step i x BINS + j holds the rules before
+    RULES[i] at cutoff 1 and that rule at BINS - j; a cutoff at b rejects what has b or more."""
+    return F.least(*[F.when(b > 0, i * BINS + BINS - b) for i, b in enumerate(_bins(f).values())])
 
-    A cutoff at bin b rejects what has b or more.
-    """
-    passed = labelled.where(~base_failed(F.col(f)))
-    binned = passed.select(_stratum(F.col(f)).alias("stratum"), F.col(good).alias("good"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), b.alias("bin")) for r, b in _bins(F.col(f)).items()])).alias("x"))
-    counts = binned.groupBy("stratum", "x.rule", "x.bin").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
-    # bin v is rejected by the cutoffs 1..v; every stratum keeps a row at each cutoff
-    spread = counts.select("stratum", "rule", "g", "b", "bin", F.explode(F.sequence(F.lit(1), F.lit(BINS))).alias("cutoff"))
-    beyond = F.col("bin") >= F.col("cutoff")
-    cells = spread.groupBy("stratum", "rule", "cutoff").agg(F.sum("g").alias("n"), F.sum(F.when(beyond, F.col("g")).otherwise(0)).alias("k"), F.sum(F.when(beyond, F.col("b")).otherwise(0)).alias("bad"))
-    level = delta / (len(STRATA) * len(RULES))
-    return cells.withColumn("tail", binomial_tail(F.col("k"), F.col("n"), risk / len(RULES))).withColumn("certified", F.col("tail") <= level)
-
-
-def choose(cells: DataFrame) -> dict[tuple[int, str], int]:
-    """The cutoff bin by stratum and rule; at most strata x rules entries reach the driver."""
-    gain = F.struct((F.col("bad") - COST * F.col("k")).alias("gain"), F.col("cutoff"))
-    best = cells.where("certified").groupBy("stratum", "rule").agg(F.max(gain).alias("best")).where("best.gain > 0")
-    return {(r.stratum, r.rule): r.best.cutoff for r in best.collect()}
-
-
-def certify_together(labelled: DataFrame, f: str = "f", good: str = "good", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """As certify, for the rules together: one row per stratum and step (at most strata x rules x BINS). Step
-    i x BINS + j holds the rules before RULES[i] at cutoff 1 and that rule at BINS - j."""
+
+def cutoffs(step: int) -> dict[str, int]:
+    """The cutoff bins by rule of a step."""
+    at, j = divmod(step, BINS)
+    return {**{rule: 1 for rule in RULES[:at]}, RULES[at]: BINS - j}
+
+
+def certify(labelled: DataFrame, f: str = "f", good: str = "good", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """From rows with the features `f` and the boolean `good`: one row per stratum and step (at most strata x rules x
+    BINS) with n, k, bad rejected, tail and whether it is certified."""
     passed = labelled.where(~base_failed(F.col(f)))
-    first = F.least(*[F.when(b > 0, i * BINS + BINS - b) for i, b in enumerate(_bins(F.col(f)).values())])
-    counts = passed.select(_stratum(F.col(f)).alias("stratum"), F.col(good).alias("good"), first.alias("first")).groupBy("stratum", "first").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    counts = passed.select(_stratum(F.col(f)).alias("stratum"), F.col(good).alias("good"), first_step(F.col(f)).alias("first")).groupBy("stratum", "first").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
     spread = counts.select("stratum", "g", "b", "first", F.explode(F.sequence(F.lit(0), F.lit(len(RULES) * BINS - 1))).alias("step"))
     within = F.col("first") <= F.col("step")
     cells = spread.groupBy("stratum", "step").agg(F.sum("g").alias("n"), F.sum(F.when(within, F.col("g")).otherwise(0)).alias("k"), F.sum(F.when(within, F.col("b")).otherwise(0)).alias("bad"))
     return cells.withColumn("tail", binomial_tail(F.col("k"), F.col("n"), risk)).withColumn("certified", F.col("tail") <= delta / len(STRATA))
 
 
-def choose_together(cells: DataFrame) -> dict[tuple[int, str], int]:
-    """The cutoff bin by stratum and rule of the best certified step, the first on ties."""
+def choose(cells: DataFrame) -> dict[int, int]:
+    """The best certified step by stratum; at most one entry per stratum reaches the driver."""
     gain = F.struct((F.col("bad") - COST * F.col("k")).alias("gain"), (-F.col("step")).alias("back"))
     best = cells.where("certified").groupBy("stratum").agg(F.max(gain).alias("best")).where("best.gain > 0")
-    out = {}
-    for r in best.collect():
-        at, j = divmod(-r.best.back, BINS)
-        out |= {(r.stratum, rule): 1 for rule in RULES[:at]} | {(r.stratum, RULES[at]): BINS - j}
-    return out
-
-
-def fit(labelled: DataFrame, f: str = "f", good: str = "good") -> dict[tuple[int, str], int]:
-    """The cutoffs of each stratum, of those certified together and those certified by rule: what gains more."""
-    ways = [choose_together(certify_together(labelled, f, good, delta=DELTA / 2)), choose(certify(labelled, f, good, delta=DELTA / 2))]
-    passed = labelled.where(~base_failed(F.col(f)))
-    worth = F.when(F.col(good), -COST).otherwise(1)
-    gains = passed.groupBy(_stratum(F.col(f)).alias("stratum")).agg(*[F.sum(F.when(rejected(F.col(f), w), worth).otherwise(0)).alias(f"way{i}") for i, w in enumerate(ways)])
-    best = {r.stratum: ways[r.way1 > r.way0] for r in gains.collect()} if any(ways) else {}
-    return {k: v for stratum, way in best.items() for k, v in way.items() if k[0] == stratum}
+    return {r.stratum: -r.best.back for r in best.collect()}
 
 
-def rejected(f: Column, cutoffs: dict[tuple[int, str], int]) -> Column:
-    """The method's verdict: whether any rule's cutoff for the text's stratum is reached."""
-    bins, out = _bins(f), F.lit(False)
-    for (stratum, rule), cutoff in sorted(cutoffs.items()):
-        out = out | ((_stratum(f) == stratum) & (bins[rule] >= cutoff))
-    return out
+def rejected(f: Column, steps: dict[int, int]) -> Column:
+    """The method's verdict: whether the chosen step of the text's stratum rejects it."""
+    step = F.lit(None).cast("int")
+    for stratum, chosen in sorted(steps.items()):
+        step = F.when(_stratum(f) == stratum, chosen).otherwise(step)
+    return F.coalesce(first_step(f) <= step, F.lit(False))
 
 
 def _good(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.max("quality") >= 1).alias("good"))
 
 
-def verdict(f: Column, cutoffs: dict[tuple[int, str], int]) -> Column:
+def verdict(f: Column, steps: dict[int, int]) -> Column:
     """struct<f, base_failed, kept> of the features f, which should be a stored column."""
     base = base_failed(f)
-    return F.struct(f.alias("f"), base.alias("base_failed"), (~base & ~rejected(f, cutoffs)).alias("kept"))
+    return F.struct(f.alias("f"), base.alias("base_failed"), (~base & ~rejected(f, steps)).alias("kept"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,4 +177,4 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     name = fresh("verdict", docs.columns)
     stored = materialize(docs.withColumn(name, features(F.col("text"))), "features")
     labelled = materialize(stored.select("doc_id", F.col(name).alias("f")).join(_good(labels), "doc_id"), "labelled")
-    return stored.withColumn(name, verdict(F.col(name), fit(labelled)))
+    return stored.withColumn(name, verdict(F.col(name), choose(certify(labelled))))

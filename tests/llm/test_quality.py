@@ -1,6 +1,7 @@
 import random
 import re
-from math import comb
+from math import comb, exp, fsum, lgamma, log1p
+from math import log as log_
 
 import pytest
 from hypothesis import given, settings
@@ -8,6 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from samewise.llm import quality as Q
+from samewise.llm.q_quality import OP1_SQL, op1_quality_rules
+from tests.compare import compare
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -45,9 +48,12 @@ def test_binomial_tail(spark):
         for r in df.select("k", "n", Q.binomial_tail(F.col("k"), F.col("n"), p).alias("t")).collect():
             if r.n * p < 600:
                 assert r.t == pytest.approx(exact_tail(r.k, r.n, p), rel=1e-9, abs=1e-300)
-    # cut off after few terms it is an upper bound, and close
-    few, full = (df.select(Q.binomial_tail(F.col("k"), F.col("n"), 0.02, t).alias("t")).collect() for t in (10, 4000))
-    assert all(a.t >= b.t * (1 - 1e-9) and a.t <= 2 * b.t + 1e-12 for a, b in zip(few, full, strict=True))
+    # many terms: against logarithms summed by math.fsum
+    n, p = 3_000_000, 0.02
+    for k in (0, 50_000, 59_000, 59_900, 59_999):
+        log = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log_(p) + (n - i) * log1p(-p) for i in range(k + 1)]
+        got = spark.createDataFrame([(k, n)], "k long, n long").select(Q.binomial_tail(F.col("k"), F.col("n"), p).alias("t")).first().t
+        assert got == pytest.approx(fsum(map(exp, log)), rel=1e-6, abs=1e-300)
 
 
 def test_certified_cutoffs_limit_false_rejection(spark):
@@ -79,17 +85,45 @@ def test_base_rules_and_nulls(spark):
     assert got == [(1, True, False), (2, True, False), (3, True, False), (3, True, False), (None, False, True)]
 
 
-def test_hundreds_of_labels_certify_the_rules_together(spark):
-    # 480 clean good documents are enough for the whole risk, far from enough for a fifth of it
-    rows = [(i, " ".join(f"word{i}x{j}" + ("##%" if i >= 480 else "") for j in range(60))) for i in range(600)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i < 480), 0) for i in range(600)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.verdict.kept for r in Q.judge(docs, labels).collect()}
-    assert all(got[i] == (i < 480) for i in range(600))
-    assert all(r.verdict.kept for r in Q.judge(docs, labels.where("doc_id >= 10")).collect())  # 470 are too few
+def words_of(i, n, extra=""):
+    return " ".join(f"word{i}x{j}{extra}" for j in range(n))
 
 
-def test_together_against_brute_force(spark):
+def test_how_many_labels_certify(spark):
+    # 162 good documents without a false rejection certify; 161 do not
+    rows = [(i, words_of(i, 60, "##%" if i >= 162 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 162), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.verdict.kept for r in Q.judge(docs, labels).collect()}
+    assert all(got[i] == (i < 162) for i in range(300))
+    assert all(r.verdict.kept for r in Q.judge(docs, labels.where("doc_id > 0")).collect())
+
+
+def test_query_certifies_in_every_stratum(spark, tmp_path):
+    """op1 over written tables, held against its SQL; bad documents differ by another rule in each stratum."""
+    rows, labels = [], []
+    for stratum, (size, n) in enumerate(((60, 300), (220, 280), (1010, 250))):
+        for i in range(n):
+            bad = i % 5 == 0
+            text = words_of(i, size)
+            if bad:
+                text = (text.replace("word", "##%"), text.upper(), "\n".join(text.split() + ["again"] * size))[stratum]
+            doc_id = stratum * 1000 + i
+            rows.append((doc_id, text if i % 50 != 1 else text.replace("word", "w#rd", 1), "x"))
+            if i % 7:
+                labels.append((doc_id, int(not bad), 0))
+    rows += [(None, None, None), (1, rows[1][1], "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    compare(spark, "op1", op1_quality_rules, OP1_SQL, str(tmp_path))
+    got = {r.doc_id: r for r in op1_quality_rules(spark, str(tmp_path)).collect()}
+    for i, t, _ in rows:
+        if i is not None and not got[i].base_failed:
+            assert got[i].kept == (i % 1000 % 5 != 0), (i, t[:80])
+    assert {len(x[1].split()) >= 1000 for x in rows if x[0] and not got[x[0]].kept and not got[x[0]].base_failed} == {True, False}
+
+
+def test_against_brute_force(spark):
     rnd = random.Random(3)
     rows = []
     for i in range(1500):
@@ -98,10 +132,11 @@ def test_together_against_brute_force(spark):
             words[rnd.randrange(60)] = rnd.choice(["##", "ABCDE", "x" * 30])
         rows.append((i, " ".join(words), rnd.random() < 0.6))
     labelled = spark.createDataFrame(rows, "doc_id long, text string, good boolean").withColumn("f", Q.features(F.col("text")))
-    bins = labelled.select("good", *[b.alias(r) for r, b in Q._bins(F.col("f")).items()]).collect()
+    bins = labelled.select("doc_id", "good", *[b.alias(r) for r, b in Q._bins(F.col("f")).items()]).collect()
     n = sum(r.good for r in bins)
-    for c in Q.certify_together(labelled, risk=0.5).collect():
-        at, j = divmod(c.step, Q.BINS)
-        cut = {**{r: 1 for r in Q.RULES[:at]}, Q.RULES[at]: Q.BINS - j}
-        hit = [r.good for r in bins if any(r[k] >= v for k, v in cut.items())]
-        assert (c.stratum, c.n, c.k, c.bad) == (1, n, sum(hit), len(hit) - sum(hit))
+    hit = lambda step: [r for r in bins if any(r[k] >= v for k, v in Q.cutoffs(step).items())]
+    for c in Q.certify(labelled, risk=0.5).collect():
+        assert (c.stratum, c.n, c.k, c.bad) == (1, n, sum(r.good for r in hit(c.step)), sum(not r.good for r in hit(c.step)))
+    for step in (0, 17, 49, 50, 120, 249):
+        got = labelled.where(Q.rejected(F.col("f"), {1: step, 2: 0})).collect()
+        assert {r.doc_id for r in got} == {r.doc_id for r in hit(step)}
