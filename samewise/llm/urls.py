@@ -12,12 +12,16 @@ greater than its trust.
 That distrust is divided among all who link to a blocked host, so it fades as they get more. A host is also
 judged by what does not depend on their number: led, its blocked share or DAMPING times the mean of led over
 its out-links, if more; and known, its allowed share or DAMPING times the mean of known over its in-links, if
-more. Both are iterated until no host changes by more than TOLERANCE. A host with led of at least THRESHOLD is
-blocked if its distrust exceeds its trust, or if none of its pages is allowed by a rule and led exceeds known.
+more. A host with led of at least THRESHOLD is blocked if its distrust exceeds its trust, or if none of its pages is
+allowed by a rule and led exceeds known.
+
+All four are iterated together until what further rounds could still change is at most TOLERANCE: for trust and
+distrust of all seeds' mass, for the others of any host's value. A round shrinks that by DAMPING, so some 40 do.
 
 Edge cases: a null url, or one without ://, has empty host and path, is in no graph and is allowed unless a
 rule fits; null html has no links; pages without page_id and repeated rows are judged each (repeats count
-in their host's shares); a link counts once per page and host; empty tables give empty results.
+in their host's shares); a link counts once per page and host; other columns are ignored; very long pages are searched
+whole; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 from samewise.llm.text import ascii_lower
 from samewise.sources.shared import materialize
 
-DAMPING, ROUNDS, THRESHOLD, TOLERANCE = 0.85, 12, 0.5, 0.001
-_CUT_EVERY = 4
+DAMPING, THRESHOLD, TOLERANCE = 0.85, 0.5, 0.001
+_CUT_EVERY, _SALTS = 4, 16
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -60,58 +64,55 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> tuple[Dat
     host, path = host_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), link_hosts(F.col("html")).alias("links")).withColumn("hit", match(F.col("host"), F.col("path"), rules))
     kept = materialize(parsed, "urls")
-    seeds, edges = _graph(kept)
-    scores = propagate(seeds, edges).join(shares(seeds, edges), "host")
+    scores = propagate(*_graph(kept))
     more = F.col("distrust") > F.col("trust")
     led = (F.col("led") >= THRESHOLD) & (more | (F.col("good") == 0) & (F.col("led") > F.col("known")))
     bad = scores.where((F.col("distrust") >= THRESHOLD * (1 - DAMPING)) & more | led).select("host", F.lit("block").alias("by_host"))
-    judged = kept.join(bad, "host", "left").select("page_id", "host", "path", "hit.rule", F.coalesce("hit.verdict", "by_host", F.lit("allow")).alias("verdict"))
-    return judged, scores
+    # a host may have most pages, so its pages are dealt to several tasks
+    salted = kept.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(_SALTS)))
+    found = salted.join(bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<long>"))), ["host", "salt"], "left")
+    return found.select("page_id", "host", "path", "hit.rule", F.coalesce("hit.verdict", "by_host", F.lit("allow")).alias("verdict")), scores
 
 
 def _graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(seeds, edges): every host with its two seeds; edges with the shares of their ends."""
+    """(seeds, steps): every host with its two seeds; every link in both directions from host a to host b, with the
+    weights of what goes that way: trust and known along links, distrust and led against them."""
     own = parsed.where("host <> ''")
     shares = own.groupBy("host").agg(F.avg(F.when(F.col("hit.verdict") == "allow", 1.0).otherwise(0.0)).alias("good"), F.avg(F.when(F.col("hit.verdict") == "block", 1.0).otherwise(0.0)).alias("bad"))
     raw = own.select(F.col("host").alias("src"), F.explode("links").alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
     raw = materialize(raw, "links")
     out = raw.groupBy("src").agg(F.sum("n").alias("out"))
     into = raw.groupBy("dst").agg(F.sum("n").alias("into"))
-    edges = raw.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("into")).alias("back"))
+    zero, forth, back = F.lit(0.0), F.col("n") / F.col("out"), F.col("n") / F.col("into")
+    along = F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), forth.alias("trust_w"), zero.alias("distrust_w"), zero.alias("led_w"), back.alias("known_w"))
+    against = F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), zero.alias("trust_w"), back.alias("distrust_w"), forth.alias("led_w"), zero.alias("known_w"))
+    steps = raw.join(out, "src").join(into, "dst").select(F.explode(F.array(along, against)).alias("x")).select("x.*")
     others = raw.select(F.col("dst").alias("host"), F.lit(0.0).alias("good"), F.lit(0.0).alias("bad"))
     seeds = shares.union(others).groupBy("host").agg(F.max("good").alias("good"), F.max("bad").alias("bad"))
-    return materialize(seeds, "seeds"), materialize(edges, "edges")
-
-
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Rows (host, trust, distrust) after `rounds` steps from seeds(host, good, bad) over edges(src, dst, forth, back)."""
-    now = seeds.select("host", ((1 - damping) * F.col("good")).alias("trust"), ((1 - damping) * F.col("bad")).alias("distrust"))
-    for i in range(rounds):
-        forth = edges.join(now.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
-        back = edges.join(now.withColumnRenamed("host", "dst"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
-        got = forth.union(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        step = lambda seed, x: ((1 - damping) * F.col(seed) + damping * F.coalesce(x, F.lit(0.0)))
-        now = seeds.join(got, "host", "left").select("host", step("good", F.col("t")).alias("trust"), step("bad", F.col("d")).alias("distrust"))
-        if (i + 1) % _CUT_EVERY == 0 or i + 1 == rounds:
-            now = materialize(now, "rank")
-    return now
-
-
-def shares(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """Rows (host, good, led, known) from seeds(host, good, bad) over edges(src, dst, forth, back). Values only grow, and
-    by less each round by the factor damping, so the iteration ends."""
-    now = seeds.select("host", F.col("bad").alias("led"), F.col("good").alias("known"))
-    while not edges.isEmpty():
-        before = now
+    return materialize(seeds, "seeds"), materialize(steps, "steps")
+
+
+_SCORES = ("trust", "distrust", "led", "known")
+
+
+def propagate(seeds: DataFrame, steps: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Rows (host, good, bad, trust, distrust, led, known) from seeds(host, good, bad) over steps as of _graph."""
+    seed = {"trust": (1 - damping) * F.col("good"), "distrust": (1 - damping) * F.col("bad"), "led": F.col("bad"), "known": F.col("good")}
+    now = seeds.select("host", "good", "bad", *[v.alias(k) for k, v in seed.items()])
+    if steps.isEmpty():
+        return now
+    mass = seeds.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    while True:
         for _ in range(_CUT_EVERY):
-            forth = edges.join(now.withColumnRenamed("host", "dst"), "dst").select(F.col("src").alias("host"), (F.col("led") * F.col("forth")).alias("l"), F.lit(0.0).alias("k"))
-            back = edges.join(now.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), F.lit(0.0).alias("l"), (F.col("known") * F.col("back")).alias("k"))
-            got = forth.union(back).groupBy("host").agg(F.sum("l").alias("l"), F.sum("k").alias("k"))
-            step = lambda seed, x: F.greatest(F.col(seed), damping * F.coalesce(x, F.lit(0.0)))
-            now = seeds.join(got, "host", "left").select("host", step("bad", F.col("l")).alias("led"), step("good", F.col("k")).alias("known"))
-        now = materialize(now, "shares")
-        old = before.select("host", F.col("led").alias("led_"), F.col("known").alias("known_"))
-        change = F.max(F.greatest(F.abs(F.col("led") - F.col("led_")), F.abs(F.col("known") - F.col("known_"))))
-        if now.join(old, "host").agg(change).first()[0] <= tolerance:
-            break
-    return seeds.select("host", "good").join(now, "host")
+            came = steps.join(now, F.col("a") == F.col("host")).groupBy("b").agg(*[F.sum(F.col(k) * F.col(f"{k}_w")).alias(f"{k}_") for k in _SCORES])
+            got = {k: damping * F.coalesce(f"{k}_", F.lit(0.0)) for k in _SCORES}
+            new = {k: seed[k] + got[k] if k in ("trust", "distrust") else F.greatest(seed[k], got[k]) for k in _SCORES}
+            joined = now.join(came, F.col("host") == F.col("b"), "left")
+            now = joined.select("host", "good", "bad", *[v.alias(k) for k, v in new.items()], *[F.abs(v - F.col(k)).alias(f"{k}_change") for k, v in new.items()])
+            changes, now = now, now.select("host", "good", "bad", *_SCORES)
+        changes = materialize(changes, "rank")
+        now = changes.select("host", "good", "bad", *_SCORES)
+        c = changes.agg(F.sum("trust_change"), F.sum("distrust_change"), F.max("led_change"), F.max("known_change")).first()
+        left = damping / (1 - damping)
+        if c[0] * left <= tolerance * mass.good and c[1] * left <= tolerance * mass.bad and max(c[2], c[3]) * left <= tolerance:
+            return now
