@@ -11,79 +11,77 @@ source is cut where its target is reached, so what it gives is its target rounde
 Targets: source k in code point order (null last) weighs weights[k mod 3]; targets are proportional to
 weights, at most `passes` times a source's size, what is above being dealt to the others again.
 
-Running sums are taken in two steps, over buckets of a source and inside each bucket, ranks likewise over
-ranges of slots, so that a source with most of the rows is not gathered in one task.
+Ranks of sources and of slots and running sums of sizes are taken over ranges of the whole order, so that neither a
+source with most of the rows nor a great number of sources is gathered in one task; tables with one row per source
+are joined to documents and slots under salted keys.
 
 Edge cases: null or blank text has size 0 and nothing is taken of it; null source is a source of its own;
-null doc_id sorts as an empty one; repeated rows are documents of their own; empty tables and tables
-without words give targets of 0.
+rows with null doc_id are shuffled by their text; repeated rows are documents of their own; very long texts are told
+whole, over many blocks; other columns are ignored; empty tables and tables without words give targets of 0.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.text import count_words
+from samewise.operators.order import running
 from samewise.sources.shared import materialize
 
 RATIO, WEIGHTS, PASSES = 1.5, (5, 2, 1), 2
 BLOCK = 1024
 _RATIO = Fraction("0.61803398874989484820458683436563811772")  # 1 / golden ratio
 _GOLDEN, _GOLDEN_20 = float(_RATIO), float(_RATIO * 2**20 % 1)  # the latter for the upper bits of a slot number
-_CELLS, _RANGE = 1024, 1 << 16
+_CELLS, _SALTS = 1024, 64
+
+
+def _join(rows: DataFrame, small: DataFrame, column: str, salt) -> DataFrame:
+    """rows with the columns of the row of small that has the same `column` (nulls are equal); the many rows of one
+    value are dealt to _SALTS tasks by the expression salt."""
+    a = rows.withColumn("_salt", F.pmod(salt, F.lit(_SALTS))).alias("a")
+    b = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))).alias("b")
+    joined = a.join(b, F.col(f"a.{column}").eqNullSafe(F.col(f"b.{column}")) & (F.col("a._salt") == F.col("b._salt")))
+    return joined.select(*[F.col(f"a.{c}") for c in rows.columns], *[F.col(f"b.{c}") for c in small.columns if c != column])
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, source, size, key, bucket): words of the whole text; key orders a source's documents."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), key.alias("key"), F.substring(key, 1, 3).alias("bucket"))
+    """Rows (doc_id, source, size, key): words of the whole text; key orders a source's documents."""
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+    return docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), key.alias("key"))
 
 
 def targets(sources: DataFrame, ratio: float = RATIO, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
-    """sources(source, source_size) with sid, target (double) and quota (whole words).
-
-    One row per source is ranked here; documents are not.
-    """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    cap = passes * F.col("source_size")
-    ranked = sources.withColumn("sid", F.row_number().over(order)).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("sid") - 1, F.lit(len(weights))) + 1))
-    tight = Window.orderBy((cap / F.col("weight")).asc(), F.col("sid"))
-    everything = Window.partitionBy(F.lit(0))
-    rest = ratio * F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(tight.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    weight = F.sum("weight").over(tight.rowsBetween(0, Window.unboundedFollowing))
-    level = ranked.withColumn("level", rest / weight)
-    # the sources that stop at their cap come first in that order; the first that does not sets the level
-    free = level.withColumn("free", F.col("level") * F.col("weight") <= cap)
-    final = free.withColumn("level", F.first(F.when(F.col("free"), F.col("level")), ignorenulls=True).over(tight.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    before = F.max(F.when(F.col("free"), 1).otherwise(0)).over(tight.rowsBetween(Window.unboundedPreceding, 0)) == 0
-    target = F.when(before, cap.cast("double")).otherwise(F.least(F.col("level") * F.col("weight"), cap.cast("double")))
-    return final.select("source", "source_size", "sid", target.alias("target")).withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
+    """sources(source, source_size) with sid, source_start (the size of those before it), target (double) and quota
+    (whole words)."""
+    numbered = running(sources, [F.col("source").asc_nulls_last()], {"sid": F.lit(1), "source_start": F.col("source_size")}).withColumn("sid", (F.col("sid") + 1).cast("int"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("sid") - 1, F.lit(len(weights))) + 1)
+    capped = numbered.withColumn("weight", weight).withColumn("cap", passes * F.col("source_size"))
+    # the sources that stop at their cap come first in this order; the first that does not sets the level of all others
+    tight = running(capped, [F.col("cap") / F.col("weight"), F.col("sid")], {"at": F.lit(1), "caps": F.col("cap"), "weights": F.col("weight")})
+    size, every = tight.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = tight.withColumn("level", (ratio * F.lit(size or 0) - F.col("caps")) / (F.lit(every or 0) - F.col("weights")))
+    first = level.where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min("at"), F.min_by("level", "at")).first()
+    cap = F.col("cap").cast("double")
+    target = cap if first[0] is None else F.when(F.col("at") < first[0], cap).otherwise(F.least(F.lit(first[1]) * F.col("weight"), cap))
+    return level.select("source", "source_size", "sid", "source_start", target.alias("target")).withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
 
 
 def place(sized: DataFrame, **how) -> DataFrame:
     """sized with source_size, sid, target, quota and start: the words of its source that come before a document."""
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    by_source = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), **how)
-    b, s = buckets.alias("b"), by_source.alias("s")
-    ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = b.join(s, F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "bucket", "source_size", "sid", "target", "quota", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("offset"))
-    offsets = materialize(offsets, "offsets")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    run = sized.withColumn("run", F.sum("size").over(inside)).alias("d")
-    o = offsets.alias("o")
-    joined = run.join(o, F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket")))
-    return joined.select("d.doc_id", "d.source", "size", "source_size", "sid", "target", "quota", (F.col("offset") + F.col("run") - F.col("size")).alias("start"))
+    by_source = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **how), "targets")
+    joined = _join(sized, by_source, "source", F.xxhash64("key"))
+    run = running(joined, [F.col("sid"), F.col("key"), F.col("doc_id"), F.col("size")], {"before": F.col("size")})
+    return run.select("doc_id", "source", "size", "source_size", "sid", "target", "quota", (F.col("before") - F.col("source_start")).alias("start"))
 
 
 def schedule(quotas: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows (slot, sid, rank) from quotas(sid, quota): each source has the ranks 0 to ceil(quota / block) - 1 once."""
     spark = quotas.sparkSession
-    need = F.ceil(F.col("quota") / block).cast("long")
-    run = F.sum("need").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
-    share = materialize(quotas.select("sid", need.alias("need")).where("need > 0").withColumn("high", run).withColumn("low", F.col("high") - F.col("need")), "shares")
+    needs = quotas.select("sid", F.ceil(F.col("quota") / block).cast("long").alias("need")).where("need > 0")
+    share = materialize(running(needs, [F.col("sid")], {"low": F.col("need")}).withColumn("high", F.col("low") + F.col("need")), "shares")
     n = share.agg(F.max("high")).first()[0] or 0
     cell = lambda c: F.least(F.lit(_CELLS - 1), F.floor(c * _CELLS / F.lit(max(n, 1)))).cast("int")
     cells = share.select("sid", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
@@ -91,15 +89,13 @@ def schedule(quotas: DataFrame, block: int = BLOCK) -> DataFrame:
     whole = F.shiftright(t, 20)
     point = F.pmod((t - whole * (1 << 20) + 0.5) * _GOLDEN + F.pmod(whole * F.lit(_GOLDEN_20), F.lit(1.0)), F.lit(1.0))
     points = spark.range(n).select(t.alias("slot"), (point * n).alias("x")).withColumn("cell", cell(F.col("x")))
-    drawn = points.join(cells, "cell").where("low <= x and x < high").select("slot", "sid", F.floor(F.col("slot") / _RANGE).alias("range"))
-    counted = drawn.groupBy("sid", "range").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.withColumn("offset", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    inside = Window.partitionBy("sid", "range").orderBy("slot")
-    ranked = drawn.withColumn("i", F.row_number().over(inside)).join(offsets, ["sid", "range"]).select("slot", "sid", (F.col("offset") + F.col("i") - 1).alias("rank"))
-    kept = ranked.join(share.select("sid", "need"), "sid").where("rank < need").select("slot", "sid", "rank")
-    had = share.join(counted.groupBy("sid").agg(F.sum("n").alias("had")), "sid", "left").select("sid", "need", F.least(F.coalesce("had", F.lit(0)), F.col("need")).alias("had"))
-    late = had.withColumn("after", F.sum(F.col("need") - F.col("had")).over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)) - (F.col("need") - F.col("had"))).where("had < need")
+    drawn = running(points.join(cells, "cell").where("low <= x and x < high").select("sid", "slot"), [F.col("sid"), F.col("slot")], {"at": F.lit(1)})
+    drawn = materialize(drawn, "drawn")
+    firsts = drawn.groupBy("sid").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    known = materialize(share.join(firsts, "sid", "left").select("sid", "need", "first", F.least(F.coalesce("n", F.lit(0)), F.col("need")).alias("had")), "known")
+    ranked = _join(drawn, known.where("first is not null"), "sid", F.col("slot")).withColumn("rank", F.col("at") - F.col("first"))
+    kept = ranked.where("rank < need").select("slot", "sid", "rank")
+    late = running(known.where("had < need"), [F.col("sid")], {"after": F.col("need") - F.col("had")})
     tail = late.select("sid", "had", "after", F.explode(F.sequence(F.col("had"), F.col("need") - 1)).alias("rank")).select((F.lit(n) + F.col("after") + F.col("rank") - F.col("had")).alias("slot"), "sid", "rank")
     return kept.union(tail)
 
@@ -124,8 +120,11 @@ def mix(docs: DataFrame, block: int = BLOCK, **how) -> tuple[DataFrame, DataFram
 
 
 def taken(placed: DataFrame, mixed: DataFrame) -> DataFrame:
-    """placed with `taken`: the words that the mix takes of each document. (sid, start) tells documents with words apart."""
-    sums = mixed.groupBy("sid", "start").agg(F.sum("n").alias("taken"))
+    """placed with `taken`, the words that the mix takes of each document, `first_slot`, where it first comes in the mix
+    (null if it does not), and `n_slots`, in how many slots. (sid, start) tells documents with words apart."""
+    sums = mixed.groupBy("sid", "start").agg(F.sum("n").alias("taken"), F.min("slot").alias("first_slot"), F.count_distinct("slot").alias("n_slots"))
     some = placed.where("size > 0").join(sums, ["sid", "start"], "left")
-    columns = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
-    return some.select(*columns).union(placed.where("size = 0").withColumn("taken", F.lit(0)).select(*columns))
+    none = placed.where("size = 0").withColumns({"taken": F.lit(0), "first_slot": F.lit(None), "n_slots": F.lit(0)})
+    long = lambda c: F.col(c).cast("long").alias(c)
+    columns = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), long("first_slot"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots")]
+    return some.select(*columns).union(none.select(*columns))

@@ -1,9 +1,13 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from samewise.llm import mixing as M
+from samewise.llm.q_mixing import OP9_SQL, op9_mixing
+from samewise.operators.order import running
+from tests.compare import compare
 
 
 def brute_targets(sizes, ratio=1.5, weights=(5, 2, 1), passes=2):
@@ -66,3 +70,27 @@ def test_schedule_skips_and_appends(spark):
     counts = {r.sid: (r.n, r.m) for r in got.groupBy("sid").agg(F.count("*").alias("n"), F.max("rank").alias("m")).collect()}
     assert counts == {1: (312_500, 312_499), 2: (1, 0), 4: (4375, 4374)}
     assert got.select("slot").distinct().count() == got.count()
+
+
+def test_query_against_sql(spark, tmp_path):
+    """op9 itself over written rows: a source with most rows, ties, nulls, many sources, empty texts."""
+    rows = [(i, " ".join(["w"] * (1 + i * 37 % 900)), "big") for i in range(700)] + [(2000 + i, "a b c", f"s{i % 90}") for i in range(200)] + ROWS
+    rows += [(None, f"null id {i}", "big") for i in range(50)] + [(5000 + i, "", "blank") for i in range(5)]
+    spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, source string, slot int, target int, at int").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    compare(spark, "op9", op9_mixing, OP9_SQL, str(tmp_path))
+    got = op9_mixing(spark, str(tmp_path)).collect()
+    assert len({r.first_slot for r in got}) > 100 and any(r.n_slots > 30 for r in got)
+
+
+def test_running(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice([None, "a", "b", "c"]), rnd.randint(0, 5), rnd.randint(0, 9)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    got = running(df, [F.col("k").asc_nulls_last(), F.col("i"), F.col("v")], {"before": F.col("v"), "at": F.lit(1)}).collect()
+    total = 0
+    for n, r in enumerate(sorted(got, key=lambda r: r["at"])):
+        assert (r["at"], r.before) == (n, total)
+        total += r.v
+    order = [(r.k is None, r.k or "", r.i, r.v) for r in sorted(got, key=lambda r: r["at"])]
+    assert order == sorted(order) and len(got) == 500
+    assert running(df.where("false"), [F.col("i")], {"x": F.col("v")}).count() == 0
