@@ -9,12 +9,15 @@ gzip readers take as padding), so archives can be written to any store that Spar
 
 Reading: archives are read as binary files, member by member; payload length and SHA-1 are taken anew from
 the payload read. Assembly joins request, response or revisit, and metadata records through the
-concurrent-to identifiers into one nested row per capture.
+concurrent-to identifiers, of which a record may have several, into one nested row per capture; it takes
+links of either direction, so archives of other writers are assembled too.
 
 Edge cases: null html is an empty payload; null urls have no target URI; null page_id is no field; among
 equal payloads a null page_id refers to the largest that is there, and if all are null all are responses;
 several rows with the same page_id and payload are captures each, all responses if that page_id is the
-largest; an empty table writes no archive and reads back as no record.
+largest; captures may lack the request or metadata, or have several; other columns are ignored; a task holds an
+archive and a record in memory, so a very long page takes memory in proportion; an empty table writes no archive and
+reads back as no record.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ _SPACE = uuid.UUID("6f3c1f6e-64a5-4d5e-9d0a-3a6c1c1f8b57")
 _WINDOW, _BATCH_BYTES = 1 << 14, 4 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORD = "record_id string, type string, uri string, concurrent_to string, refers_to string, payload_digest string, payload_bytes long, payload_sha1 string, fields map<string,string>, payload binary"
+RECORD = "record_id string, type string, uri string, concurrent_to array<string>, refers_to string, payload_digest string, payload_bytes long, payload_sha1 string, fields map<string,string>, payload binary"
 
 
 def record_id(key: str) -> str:
@@ -129,7 +132,8 @@ def parse(record: bytes) -> tuple:
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    h = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    headers = [(k.lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])]
+    h = dict(headers)
     content = rest[: int(h["content-length"])]
     fields, payload = None, None
     if h.get("content-type", "").startswith("application/http"):
@@ -138,12 +142,12 @@ def parse(record: bytes) -> tuple:
         fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in content.decode().split("\r\n")) if k]
     own = h["warc-type"] == "response"
     return (
-        h["warc-record-id"], h["warc-type"], h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-payload-digest"),
+        h["warc-record-id"], h["warc-type"], h.get("warc-target-uri"), [v for k, v in headers if k == "warc-concurrent-to"], h.get("warc-refers-to"), h.get("warc-payload-digest"),
         len(payload) if own else None, hashlib.sha1(payload).hexdigest() if own else None, fields, payload if own else None,
     )
 
 
-_ARROW = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+_ARROW = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 
 
 def _unpack(with_payload: bool):
@@ -173,15 +177,18 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 def captures(records: DataFrame) -> DataFrame:
     """One row per capture: struct response (the response or revisit record), and arrays of the request and
-    metadata records that name it as concurrent to them (empty if there are none)."""
+    metadata records that name it as concurrent to them, or that it names (empty if there are none). Records of null
+    or unknown identifiers are in no capture."""
     body = F.struct(*records.columns)
-
-    def beside(kind: str) -> DataFrame:
-        return records.where(F.col("type") == kind).groupBy(F.col("concurrent_to").alias(f"of_{kind}")).agg(F.collect_list(body).alias(kind))
-
-    main = records.where(F.col("type").isin("response", "revisit")).select("record_id", body.alias("response"))
-    joined = main
-    for kind in ("request", "metadata"):
-        joined = joined.join(beside(kind), F.col("record_id") == F.col(f"of_{kind}"), "left")
+    main = records.where(F.col("type").isin("response", "revisit"))
+    others = records.where(F.col("type").isin("request", "metadata"))
+    linked = others.select(F.explode(F.array_distinct("concurrent_to")).alias("of"), body.alias("record"))
+    named = main.select("record_id", F.explode("concurrent_to").alias("to"))
+    if not named.isEmpty():  # responses that name their request: in archives of other writers
+        back = named.alias("m").join(others.alias("o"), F.col("m.to") == F.col("o.record_id")).select(F.col("m.record_id").alias("of"), F.struct(*[F.col(f"o.{c}") for c in records.columns]).alias("record"))
+        linked = linked.union(back.where(~F.array_contains("record.concurrent_to", F.col("of"))))
+    of = {k: F.collect_list(F.when(F.col("record.type") == k, F.col("record"))).alias(k) for k in ("request", "metadata")}
+    beside = linked.where("of is not null").groupBy("of").agg(*of.values())
+    joined = main.select("record_id", body.alias("response")).join(beside, F.col("record_id") == F.col("of"), "left")
     empty = F.array().cast(joined.schema["request"].dataType)
-    return joined.select("record_id", "response", F.coalesce("request", empty).alias("request"), F.coalesce("metadata", empty).alias("metadata"))
+    return joined.select("record_id", "response", *[F.coalesce(k, empty).alias(k) for k in of])

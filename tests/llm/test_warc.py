@@ -60,3 +60,27 @@ def test_small_archives(spark, monkeypatch):
 
 def test_query(spark):
     assert q_warc.op6_warc(spark, "/root/testdata/sf0.001").where("not digest_matches").count() == 0
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Several metadata records, a repeated header, links from the response, missing requests, null and unknown identifiers."""
+    def record(kind, own, to=(), body=b"HTTP/1.1 200 OK\r\n\r\nhello", content="application/http"):
+        head = "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), ("WARC-Record-ID", own), *[("WARC-Concurrent-To", x) for x in to], ("Content-Type", content), ("Content-Length", len(body))])
+        return gzip.compress(f"WARC/1.0\r\n{head}\r\n".encode() + body + b"\r\n\r\n")
+
+    fields = {"body": b"a: 1\r\n", "content": "application/warc-fields"}
+    parts = [
+        record("warcinfo", "<i>", **fields), record("request", "<q1>", ["<r1>", "<r2>"]), record("response", "<r1>"), record("metadata", "<m1>", ["<r1>"], **fields), record("metadata", "<m2>", ["<x>", "<r1>", "<r1>"], **fields),
+        record("revisit", "<r2>", ["<q2>", "<m3>", "<q1>"]), record("request", "<q2>"), record("metadata", "<m3>", **fields), record("response", "<r3>", ["<gone>"]), record("request", "<q9>", ["<unknown>"]), record("metadata", "<m9>", **fields),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts[:6]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(parts[6:]))
+    got = {c.record_id: (sorted(x.record_id for x in c.request), sorted(x.record_id for x in c.metadata)) for c in W.captures(W.read_archives(spark, f"file://{tmp_path}")).collect()}
+    assert got == {"<r1>": (["<q1>"], ["<m1>", "<m2>"]), "<r2>": (["<q1>", "<q2>"], ["<m3>"]), "<r3>": ([], [])}
+
+
+def test_long_page_and_other_columns(spark):
+    path = new_path(spark, "warc")
+    pages = spark.createDataFrame([(1, "http://a/", 7, "d")], "page_id long, url string, pid int, digest string").withColumn("html", F.repeat(F.lit("<p>é</p>"), 2_000_000))
+    W.write_archives(pages, path)
+    assert [r.payload_bytes for r in W.read_archives(spark, path, with_payload=False).where("type = 'response'").collect()] == [18_000_000]
