@@ -16,7 +16,8 @@ fewer words make one shingle, none give fingerprint zero.
 
 Edge cases: null text counts as empty; rows without doc_id are fingerprinted and linked as others and get
 the smallest doc_id of their component (null if it has none); repeated rows and several texts under one
-doc_id are separate rows; empty tables give empty results.
+doc_id are separate rows; other columns are carried along or ignored; a very long text is hashed in chunks; empty
+tables give empty results. Rows of one fingerprint are dealt to many tasks where they are joined to its component.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from samewise.sources.shared import materialize
 
 SEGMENTS, WIDTH, DISTANCE = 2, 32, 2
 BUCKET = 32
-_CHUNK = 1 << 15
+_CHUNK, _DEALS = 1 << 15, 1009
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -110,8 +111,10 @@ def components(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Rows (doc_id, fp, component_id), one per row of docs(doc_id, text)."""
-    prints = materialize(fingerprints(docs, ["doc_id"]), "fp")
-    return prints.join(components(prints, bucket).drop("root"), "fp").select("doc_id", "fp", "component_id")
+    prints = materialize(fingerprints(docs, ["doc_id"]).withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(_DEALS))), "fp")
+    # a fingerprint that is there once has one deal, one that most rows share has _DEALS of them
+    dealt = prints.select("fp", "deal").distinct().join(components(prints, bucket).select("fp", "component_id"), "fp")
+    return prints.join(dealt, ["fp", "deal"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
