@@ -2,40 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samewise.sources.shared import materialize
 
+#: So few open pairs are scanned in order by one task.
+FINISH = 20_000
+
+
+def _scan(k: int):
+    """Takes the open pairs (_n, _a, _b, _ua, _ub) of one task in order; _ua and _ub are the places taken before."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used: dict[str, int] = {}
+        for frame in batches:
+            taken = []
+            for n, a, b, ua, ub in frame[["_n", "_a", "_b", "_ua", "_ub"]].itertuples(index=False):
+                x, y = used.get(a, ua), used.get(b, ub)
+                if x < k and y < k:
+                    used[a] = x + 1
+                    used[b] = used.get(b, ub) + 1
+                    taken.append(n)
+            yield pd.DataFrame({"_n": pd.Series(taken, dtype="int64")})
 
-def degree_cap(pairs: DataFrame, k: int, left: list[str], right: list[str], order: Column, two_sided: bool = False, max_rounds: int = 200) -> DataFrame:
+    return run
+
+
+def degree_cap(pairs: DataFrame, k: int, left: list[str | Column], right: list[str | Column], order: Column, two_sided: bool = False, finish: int = FINISH) -> DataFrame:
     """The pairs that a scan in `order` would accept if it took a pair exactly while both its ends have fewer than k.
 
     Each round ranks the open pairs at both ends: those within the free places of both are what the scan
-    takes next whatever comes later, so they are accepted; ends that are full drop their open pairs. With
-    two_sided the ends of either side are counted apart, else equal values on both sides are one end.
+    takes next whatever comes later, so they are accepted; ends that are full drop their open pairs. The first open
+    pair is always decided, so the rounds end; a few usually do. Once at most `finish` pairs are open, one task scans
+    them, so that long chains of pairs, of which a round decides a few each, need no round for every link. With
+    two_sided the ends of either side are counted apart, else equal values on both sides are one end. Pairs that are
+    equal in order are taken in any order; null ends are ends of their own.
     """
-    def end(columns: list[str], side: str) -> Column:
-        return F.concat_ws("\x1f", F.lit(side if two_sided else ""), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
-
-    todo = materialize(pairs.withColumn("_a", end(left, "1")).withColumn("_b", end(right, "2")).withColumn("_o", order), "open")
-    kept = None
-    full = todo.select(F.col("_a").alias("end")).limit(0).withColumn("used", F.lit(0).cast("long"))
-    for _ in range(max_rounds):
-        if not todo.limit(1).count():
+    def end(columns: list[str | Column], side: str) -> Column:
+        cols = [F.col(c) if isinstance(c, str) else c for c in columns]
+        return F.concat_ws("\x1f", F.lit(side if two_sided else ""), *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in cols])
+
+    named = pairs.withColumn("_a", end(left, "1")).withColumn("_b", end(right, "2")).withColumn("_o", order).withColumn("_n", F.monotonically_increasing_id())
+    every = materialize(named, "pairs")
+    todo = every.select("_n", "_a", "_b", "_o", F.lit(0).cast("long").alias("_ua"), F.lit(0).cast("long").alias("_ub"))
+    taken = []
+    while n := todo.count():
+        if n <= finish:
+            # one task: the rows of a bounded rest
+            rest = todo.orderBy("_o", "_n").coalesce(1)
+            taken.append(materialize(rest.mapInPandas(_scan(k), "_n long"), "taken"))
             break
-        used = todo.join(full.select(F.col("end").alias("_a"), F.col("used").alias("_ua")), "_a", "left").join(full.select(F.col("end").alias("_b"), F.col("used").alias("_ub")), "_b", "left").fillna(0, ["_ua", "_ub"])
-        live = used.where((F.col("_ua") < k) & (F.col("_ub") < k))
-        both = live.select(F.col("_a").alias("end"), "_o").union(live.where("_a <> _b").select(F.col("_b").alias("end"), "_o"))
-        ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("end").orderBy("_o")))
+        live = todo.where((F.col("_ua") < k) & (F.col("_ub") < k))
+        both = live.select("_n", "_o", F.col("_a").alias("end")).union(live.where("_a <> _b").select("_n", "_o", F.col("_b").alias("end")))
+        ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("end").orderBy("_o", "_n")))
         # a pair whose ends are one end takes two of its places when it is accepted, but needs one
-        a = ranked.select(F.col("end").alias("_a"), "_o", F.col("rank").alias("_ra"))
-        b = ranked.select(F.col("end").alias("_b"), "_o", F.col("rank").alias("_rb"))
-        marked = materialize(live.join(a, ["_a", "_o"]).join(b, ["_b", "_o"]).withColumn("_take", (F.col("_ra") + F.col("_ua") <= k) & (F.col("_rb") + F.col("_ub") <= k)), "round")
+        a = ranked.select("_n", F.col("end").alias("_a"), F.col("rank").alias("_ra"))
+        b = ranked.select("_n", F.col("end").alias("_b"), F.col("rank").alias("_rb"))
+        fits = (F.col("_ra") + F.col("_ua") <= k) & (F.col("_rb") + F.col("_ub") <= k)
+        marked = materialize(live.join(a, ["_n", "_a"]).join(b, ["_n", "_b"]).withColumn("_take", fits), "round")
         took = marked.where("_take")
-        kept = took.select(*pairs.columns, "_a", "_b") if kept is None else kept.union(took.select(*pairs.columns, "_a", "_b"))
-        full = materialize(kept.select(F.col("_a").alias("end")).union(kept.select(F.col("_b").alias("end"))).groupBy("end").agg(F.count("*").alias("used")), "degrees")
-        todo = materialize(marked.where("not _take").select(*pairs.columns, "_a", "_b", "_o"), "open")
-    else:
-        raise RuntimeError(f"the degree cap did not settle in {max_rounds} rounds")
-    return pairs.limit(0) if kept is None else kept.select(*pairs.columns)
+        taken.append(took.select("_n"))
+        gained = took.select(F.col("_a").alias("end")).union(took.select(F.col("_b").alias("end"))).groupBy("end").agg(F.count("*").alias("gain"))
+        rest = marked.where("not _take")
+        for side in ("_a", "_b"):
+            more = gained.select(F.col("end").alias(side), F.col("gain").alias(f"{side}_gain"))
+            rest = rest.join(more, side, "left").withColumn(f"_u{side[1]}", F.col(f"_u{side[1]}") + F.coalesce(f"{side}_gain", F.lit(0)))
+        todo = materialize(rest.where((F.col("_ua") < k) & (F.col("_ub") < k)).select("_n", "_a", "_b", "_o", "_ua", "_ub"), "open")
+    if not taken:
+        return pairs.limit(0)
+    chosen = taken[0]
+    for t in taken[1:]:
+        chosen = chosen.union(t)
+    return every.join(chosen, "_n", "left_semi").select(*pairs.columns)

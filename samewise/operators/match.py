@@ -2,10 +2,8 @@
 
 Names are normalised and equal ones collapsed, so the work is on distinct strings. These are sorted by
 length into tiles of TILE strings; pairs of tiles whose lengths can reach the threshold meet in tasks (each
-tile is a row; a stated set of tiles against tiles, no cross join of rows). In a tile pair numpy drops pairs
-that cannot reach the threshold: a pair's common characters, counted with repeats in BAGS hash classes,
-bound the common subsequence from above. What is left is scored exactly. Nothing is lost: the bounds hold
-for ratio and token_sort_ratio; other scorers have their own or none, and then every pair is scored.
+tile is a row; a stated set of tiles against tiles, no cross join of rows), where samewise.functions.tiles scores
+them by arrays: bounds that hold for every pair drop most of them, what is left is compared exactly.
 
 The pair predicate: raw score >= threshold, its float32 not 0, and float32 x multiplier >= threshold.
 """
@@ -23,10 +21,11 @@ from pyspark.sql import functions as F
 from samewise.errors import DataValidationError
 from samewise.functions import normalize as N
 from samewise.functions import scorers as S
+from samewise.functions.tiles import least_share, score_tiles
 from samewise.operators.cap import degree_cap
 from samewise.sources.shared import materialize
 
-TILE, BAGS = 512, 48
+TILE = 512
 
 
 @dataclass
@@ -37,45 +36,14 @@ class MatchResult:
     metadata: dict = field(default_factory=dict)
 
 
-def _bag(text: str) -> np.ndarray:
-    bag = np.zeros(BAGS, np.uint8)
-    for c in text:
-        i = ord(c) % BAGS
-        if bag[i] < 255:
-            bag[i] += 1
-    return bag
-
-
-def _candidates(a: list[str], b: list[str], name: str, threshold: float) -> Iterator[tuple[int, int]]:
-    """Index pairs that may reach the threshold."""
-    if name not in ("ratio", "token_sort_ratio") or max(map(len, a + b), default=0) > 255:
-        yield from ((i, j) for i in range(len(a)) for j in range(len(b)))
-        return
-    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    bags_a, bags_b = np.stack([_bag(x) for x in a]), np.stack([_bag(x) for x in b])
-    for i in range(len(a)):
-        n = la[i] + lb
-        common = np.minimum(bags_a[i], bags_b).sum(axis=1, dtype=np.int32)
-        # a little below the threshold, so that rounding loses nothing
-        for j in np.nonzero(2 * common * 100 >= (threshold - 1e-6) * n)[0]:
-            yield i, int(j)
-
-
 def _score_tiles(name: str, threshold: float, cutoff: float, multiplier: float, self_join: bool):
-    score = S.scorer("ratio" if name == "token_sort_ratio" else name)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for tiles in batches:
             for t in tiles.itertuples(index=False):
-                a, b, out = list(t.texts_a), list(t.texts_b), []
-                for i, j in _candidates(a, b, name, cutoff):
-                    if self_join and t.tile_a == t.tile_b and j <= i:
-                        continue
-                    raw = score(a[i], b[j])
-                    got = float(np.float32(raw))
-                    if raw >= cutoff and got != 0 and got * multiplier >= threshold:
-                        out.append((t.names_a[i], t.names_b[j], got * multiplier))
-                yield pd.DataFrame(out, columns=["name_a", "name_b", "similarity_score"])
+                i, j, raw = score_tiles(name, list(t.texts_a), list(t.texts_b), cutoff, self_join and t.tile_a == t.tile_b)
+                got = raw.astype(np.float32).astype(np.float64)
+                kept = (got != 0) & (got * multiplier >= threshold)
+                yield pd.DataFrame({"name_a": np.asarray(t.names_a, object)[i[kept]], "name_b": np.asarray(t.names_b, object)[j[kept]], "similarity_score": got[kept] * multiplier})
 
     return run
 
@@ -112,8 +80,7 @@ def name_pairs(left: DataFrame, right: DataFrame | None, scorer: str, threshold:
     tiles_a = materialize(a, "tiles")
     renamed = {c: c[:-1] + "b" for c in tiles_a.columns}
     tiles_b = tiles_a.withColumnsRenamed(renamed) if right is None else materialize(_tiles(right.select("name").distinct(), scorer, "b"), "tiles")
-    # lengths that can meet: for ratio the shorter is at least t / (200 - t) of the longer
-    least = max(0.0, min(cutoff, 100.0) / (200.0 - min(cutoff, 100.0))) if scorer in ("ratio", "token_sort_ratio") else 0.0
+    least = least_share(scorer, cutoff)  # lengths that can meet
     longest = tiles_b.agg(F.max("length_b")).first()[0] or 0
     low, high = F.ceil(F.col("length_a") * least - 1e-6), F.least(F.lit(longest), F.floor(F.col("length_a") / least + 1e-6)) if least else F.lit(longest)
     reach = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -126,6 +93,11 @@ def name_pairs(left: DataFrame, right: DataFrame | None, scorer: str, threshold:
     return spread.mapInPandas(_score_tiles(scorer, threshold, cutoff, multiplier, right is None), "name_a string, name_b string, similarity_score double")
 
 
+def _order(order_by: str, id_column: str, *more: Column) -> Column:
+    """A total order of rows, the same for the same rows once stored; structs compare field by field, nulls first."""
+    return F.struct(F.col(order_by).alias("by"), F.col(id_column).alias("id"), *[c.alias(f"more{i}") for i, c in enumerate(more)], F.monotonically_increasing_id().alias("row")).alias("_ord")
+
+
 @dataclass
 class FuzzyMatcher:
     """Finds pairs of rows whose names are alike. Options as in the reference: see the README."""
@@ -153,7 +125,7 @@ class FuzzyMatcher:
         for c in (id_column, name_column):
             if c not in df.columns:
                 raise DataValidationError(f"column {c} is missing", columns=df.columns)
-        ordered = df.select(F.col(id_column).alias("id"), F.col(name_column).alias("raw"), F.col(order_by or id_column).alias("_ord"))
+        ordered = df.select(F.col(id_column).alias("id"), F.col(name_column).alias("raw"), _order(order_by or id_column, id_column, F.col(name_column)))
         return ordered.where("raw is not null").withColumn("name", self.normalised(F.col("raw"))).where("name <> ''")
 
     def _describe(self, **more) -> dict:
@@ -165,7 +137,8 @@ class FuzzyMatcher:
         return name_pairs(names, None, self.scorer, self.threshold, self.score_multiplier, self.scale_cutoff)
 
     def find_matches(self, df: DataFrame, id_column: str = "id", name_column: str = "name", order_by: str | None = None) -> MatchResult:
-        """Pairs (id1, id2, name1, name2, similarity_score) of rows, the earlier row (by order_by, else id) first.
+        """Pairs (id1, id2, name1, name2, similarity_score) of rows, the earlier row (by order_by, else id; nulls first,
+        then by id and name; wholly equal rows in any order) first. Repeated ids are rows of their own.
 
         This expands equal names into all their pairs, as the reference does; for large groups of equal names
         take find_name_pairs or the pipeline, which cluster names and join ids afterwards.
@@ -179,7 +152,7 @@ class FuzzyMatcher:
         b = rows.select(F.col("id").alias("id2"), F.col("raw").alias("name2"), F.col("_ord").alias("o2"), F.col("name").alias("name_b"))
         pairs = a.join(edges, "name_a").join(b, "name_b").where("o1 < o2").select("id1", "id2", "name1", "name2", "similarity_score", "o1", "o2")
         if self.max_matches_per_entity is not None:
-            pairs = degree_cap(pairs, self.max_matches_per_entity, ["o1"], ["o2"], F.struct(-F.col("similarity_score"), "o1", "o2"))
+            pairs = degree_cap(pairs, self.max_matches_per_entity, [F.col("o1.row")], [F.col("o2.row")], F.struct(-F.col("similarity_score"), "o1", "o2"))
         return MatchResult(pairs.drop("o1", "o2"), self._describe())
 
     def _same(self) -> Column:
@@ -203,7 +176,7 @@ class FuzzyMatcher:
         if single:
             pairs = pairs.withColumn("matched_column1", F.lit("name")).withColumn("matched_column2", F.lit("name"))
             if self.max_matches_per_entity is not None:
-                keys = (["o1"], ["o2"])
+                keys = ([F.col("o1.row")], [F.col("o2.row")])
                 pairs = degree_cap(pairs, self.max_matches_per_entity, *keys, F.struct(-F.col("similarity_score"), "o1", "o2"), two_sided=not self.shared_degrees)
         else:
             best = Window.partitionBy("id1", "id2").orderBy(F.desc("similarity_score"), "at1", "at2")
@@ -217,5 +190,5 @@ class FuzzyMatcher:
             if c not in df.columns:
                 raise DataValidationError(f"column {c} is missing", columns=df.columns)
         texts = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(c).alias("col"), F.col(c).cast("string").alias("raw")) for i, c in enumerate(columns)]) if columns else F.array().cast("array<struct<at:int,col:string,raw:string>>")
-        long = df.select(F.col(id_column).alias("id"), F.col(order_by or id_column).alias("_ord"), F.explode(texts).alias("t")).select("id", "_ord", "t.at", "t.col", "t.raw")
+        long = df.select(F.col(id_column).alias("id"), _order(order_by or id_column, id_column), F.explode(texts).alias("t")).select("id", "_ord", "t.at", "t.col", "t.raw")
         return long.where("raw is not null").withColumn("name", self.normalised(F.col("raw"))).where("name <> ''")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from samewise.errors import DataValidationError, MatchingError
 from samewise.functions import scorers as S
+from samewise.functions.tiles import score_tiles
 from samewise.operators import match as M
 from samewise.operators.cap import degree_cap
 
@@ -78,8 +79,45 @@ def test_degree_cap_equals_the_scan(spark):
         edges = {(min(a, b), max(a, b)) for a, b in ((rnd.randrange(12), rnd.randrange(12)) for _ in range(40)) if a != b}
         pairs = [(a, b, float(rnd.randint(60, 70))) for a, b in edges]
         df = spark.createDataFrame(pairs, "id1 long, id2 long, similarity_score double")
-        got = {(r.id1, r.id2) for r in degree_cap(df, k, ["id1"], ["id2"], F.struct(-F.col("similarity_score"), "id1", "id2")).collect()}
-        assert got == greedy(pairs, k)
+        for finish in (0, 5, 20_000):
+            got = {(r.id1, r.id2) for r in degree_cap(df, k, ["id1"], ["id2"], F.struct(-F.col("similarity_score"), "id1", "id2"), finish=finish).collect()}
+            assert got == greedy(pairs, k)
+
+
+def test_degree_cap_of_a_long_chain(spark):
+    df = spark.range(1000).selectExpr("id AS a", "id + 1 AS b")
+    got = {r.a for r in degree_cap(df, 1, ["a"], ["b"], F.struct("a")).collect()}
+    assert got == set(range(0, 1000, 2))
+    loops = spark.createDataFrame([("x", "x"), ("x", "y"), (None, "x"), ("x", "x")], "a string, b string")
+    assert degree_cap(loops, 3, ["a"], ["b"], F.struct("a", "b")).count() == 2 and degree_cap(loops.limit(0), 3, ["a"], ["b"], F.struct("a")).count() == 0
+
+
+def test_tiles_equal_the_scorers():
+    rnd = random.Random(5)
+    words = ["red", "green", "big", "small", "bolt", "bolts", "gear", "x", "widget", "supply", "supplies", "ltd", "a", "İz", "日本", "company", "global "]
+    name = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(1, rnd.choice([2, 4, 16])))).strip()
+    for round_ in range(4):
+        a, b = sorted({name() for _ in range(60)}), sorted({name() for _ in range(50)})
+        a, b = [*a, "bolt bolt"], [*b, "big bolts big x"]
+        if round_ == 3:
+            a, b = [*a, "", "q" * 300 + " red"], [*b, "", "q" * 290 + " red big", "z" * 70]
+        for scorer in S.SCORERS:
+            f = S.scorer(scorer)
+            texts = [[" ".join(sorted(x.split())) for x in side] if scorer == "token_sort_ratio" else side for side in (a, b)]
+            scores = {(i, j): f(x, y) for i, x in enumerate(a) for j, y in enumerate(b)}
+            for cutoff in (0.7, 0.8, 0.95) if scorer.startswith("jaro") else (60, 75, 86):
+                i, j, raw = score_tiles(scorer, *texts, cutoff, False)
+                assert dict(zip(zip(i.tolist(), j.tolist(), strict=True), raw.tolist(), strict=True)) == {k: v for k, v in scores.items() if v >= cutoff}, scorer
+
+
+def test_ties_nulls_and_repeated_ids_pair(spark):
+    rows = [(1, "red bolt", 5), (2, "red bolts", 5), (3, "red boltz", 5), (None, "red bolt", None), (1, "red bolt", 5), (1, "red bolt", 5)]
+    df = spark.createDataFrame(rows, "id long, name string, at int")
+    for order in ("at", None, "name"):
+        got = M.FuzzyMatcher(threshold=80, scorer="ratio").find_matches(df, order_by=order).pairs.collect()
+        assert len(got) == 15  # every pair of the six rows
+    capped = M.FuzzyMatcher(threshold=80, scorer="ratio", max_matches_per_entity=1).find_matches(df, order_by="at").pairs.collect()
+    assert len(capped) == 3
 
 
 def test_cross(spark):
