@@ -34,6 +34,8 @@ def _parser() -> argparse.ArgumentParser:
         x.add_argument("--threshold", type=float)
         x.add_argument("--scorer", default="ratio")
         x.add_argument("--validate", action="store_true")
+        x.add_argument("--validator", choices=["rules", "none"], default="rules", help="what --validate uses")
+        x.add_argument("-v", "--verbose", action="store_true", help="print the settings and counts of the run")
         x.add_argument("--no-resume", action="store_true")
     init = sub.add_parser("init", help="write a sample configuration")
     init.add_argument("-o", "--output", default="config.json")
@@ -58,8 +60,10 @@ def _pipeline(args) -> R.DeduplicationPipeline:
     if args.threshold is not None:
         matching["threshold"] = args.threshold
     rules = config.get("validation", {}).get("rules", {})
-    validator = RuleBasedValidator(rules.get("min_score", 90.0), rules.get("metadata_rules", {})) if args.validate else None
+    validator = RuleBasedValidator(rules.get("min_score", 90.0), rules.get("metadata_rules", {})) if args.validate and args.validator == "rules" else None
     own = config.get("pipeline", {})
+    if args.verbose:
+        print(json.dumps({"matching": matching, "validator": args.validator if args.validate else "none", "pipeline": own}), file=sys.stderr)
     return R.DeduplicationPipeline(FuzzyMatcher(**matching), validator, bool(own.get("checkpoint", False)), own.get("checkpoint_dir", ".samewise_checkpoints"))
 
 

@@ -125,13 +125,18 @@ def sanitize_secure(text: Column, **how) -> Column:
 
 
 def find_secrets(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """Rows keys, type, value, nth: every secret that a detector finds in the text column, in order within its type."""
+    """Rows keys, type, value, nth, position: every secret that a detector finds in the text column, in order within its
+    type; position counts the characters before what the detector matched."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+
     def of(kind: str, pattern: str) -> Column:
-        values = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?i){pattern}"), F.lit(1 if "(" in pattern else 0))
-        return F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("type"), v.alias("value"), (i + 1).alias("nth")))
+        found = F.lit(f"(?i){pattern}")
+        values, hits, between = F.regexp_extract_all(whole, found, F.lit(1 if "(" in pattern else 0)), F.regexp_extract_all(whole, found, F.lit(0)), F.split(whole, f"(?i){pattern}")
+        before = lambda i: F.length(F.array_join(F.slice(between, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(hits, F.lit(1), i), ""))
+        return F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("type"), v.alias("value"), (i + 1).alias("nth"), before(i).alias("position")))
 
     found = [of(*x) for x in SECRETS.items()]
-    return df.select(*keys, F.explode(F.flatten(F.array(*found))).alias("s")).select(*keys, "s.type", "s.value", "s.nth")
+    return df.select(*keys, F.explode(F.flatten(F.array(*found))).alias("s")).select(*keys, "s.type", "s.value", "s.nth", "s.position")
 
 
 def extract_json(text: Column) -> Column:

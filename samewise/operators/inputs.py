@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from samewise.errors import DataValidationError
 from samewise.functions.normalize import _WS, sanitize_columns
+from samewise.operators.pairs import first_rows
 
 MAX_NAME = 10_000
 
@@ -63,6 +64,17 @@ class CrossDatasetInput:
         return tuple(validate_deduplication_input(df, i, names[0], self.threshold, 1) for df, i, names in ((df1, self.id_columns[0], self.name_columns1), (df2, self.id_columns[1], self.name_columns2)))
 
 
+def structure_counts(df: DataFrame, required: list[str]) -> DataFrame:
+    """Rows (column, rows, nulls): one per required column and one of null name for the table, from one pass over it.
+    Missing columns raise."""
+    if missing := [c for c in required if c not in df.columns]:
+        raise DataValidationError(f"missing columns: {', '.join(missing)}", columns=df.columns)
+    one = df.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"nulls{i}") for i, c in enumerate(required)])
+    per = [F.struct(F.lit(c).alias("column"), F.col("rows"), F.col(f"nulls{i}").alias("nulls")) for i, c in enumerate(required)]
+    table = F.struct(F.lit(None).cast("string").alias("column"), F.col("rows"), F.lit(0).cast("long").alias("nulls"))
+    return one.select(F.explode(F.array(table, *per)).alias("c")).select("c.*")
+
+
 def validate_structure(df: DataFrame, required: list[str], min_rows: int = 1, max_rows: int | None = None, null_policy: str = "warn") -> list[str]:
     """Raise for missing columns and row counts out of bounds, and for nulls in required columns if null_policy is
     strict; 'warn' returns them, 'ignore' does not look. One pass over the table."""
@@ -70,12 +82,11 @@ def validate_structure(df: DataFrame, required: list[str], min_rows: int = 1, ma
         raise DataValidationError("null_policy is strict, warn or ignore", null_policy=null_policy)
     if max_rows is not None and max_rows < min_rows:
         raise DataValidationError("max_rows is below min_rows", min_rows=min_rows, max_rows=max_rows)
-    if missing := [c for c in required if c not in df.columns]:
-        raise DataValidationError(f"missing columns: {', '.join(missing)}", columns=df.columns)
-    counts = df.agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in required]).first()
-    if counts["_n"] < min_rows or max_rows is not None and counts["_n"] > max_rows:
-        raise DataValidationError("number of rows out of bounds", rows=counts["_n"], min_rows=min_rows, max_rows=max_rows)
-    nulls = [f"{c} has {counts[c]} null values" for c in required if counts[c]]
+    counts = {r.column: r for r in structure_counts(df, required).collect()}
+    n = counts[None].rows
+    if n < min_rows or max_rows is not None and n > max_rows:
+        raise DataValidationError("number of rows out of bounds", rows=n, min_rows=min_rows, max_rows=max_rows)
+    nulls = [f"{c} has {counts[c].nulls} null values" for c in required if counts[c].nulls]
     if nulls and null_policy == "strict":
         raise DataValidationError("; ".join(nulls))
     return nulls if null_policy == "warn" else []
@@ -107,7 +118,8 @@ def validate_entities(df: DataFrame, id_column: str = "id", name_column: str = "
 
 
 def validate_deduplication_input(df: DataFrame, id_column: str = "id", name_column: str = "name", threshold: float = 80.0, min_rows: int = 2, drop_duplicate_ids: bool = False) -> CheckedInput:
-    """All checks for one table. Repeated ids give a warning, or keep their first row with drop_duplicate_ids."""
+    """All checks for one table. Repeated ids give a warning; with drop_duplicate_ids one row of each is kept, that with
+    the least name."""
     if not 0 <= threshold <= 100:
         raise DataValidationError("threshold lies between 0 and 100", threshold=threshold)
     warnings = validate_structure(df, [id_column, name_column], min_rows)
@@ -118,7 +130,7 @@ def validate_deduplication_input(df: DataFrame, id_column: str = "id", name_colu
     if facts.ids < facts.n:
         warnings.append(f"{facts.n - facts.ids} rows repeat an id")
         if drop_duplicate_ids:
-            valid = valid.dropDuplicates([id_column])
+            valid = first_rows(valid, id_column, name_column)
     valid = sanitize_columns(valid, [name_column])
     meta = {"columns_validated": [id_column, name_column], "final_row_count": facts.ids if drop_duplicate_ids else facts.n, "validation_warnings": warnings, "data_quality_score": quality_score(valid, id_column, name_column).first()[0]}
     return CheckedInput(valid, rejected, meta, warnings)

@@ -1,14 +1,14 @@
 """Judgement of pairs and of candidates by a language model, behind a plug-in client.
 
-A client is made once per task by a factory; it takes a prompt and returns text. Pairs are batched in
-partitions, decisions are written to Parquet once and reused, so a repeated task asks again at most for its
-own batches. Secrets come from the environment of the executors, never from closures.
+A client is made once per task by a factory that the user supplies; it takes a prompt and returns text. Pairs are
+batched in partitions and decisions are written to Parquet. With a progress folder they are written in groups,
+each by a job of its own: a run that breaks off is taken up there, and only what is not written yet is asked
+again. Secrets belong into the environment of the executors, not into closures.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -19,42 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.errors import ConfigurationError, ModelError
+from samewise.errors import ConfigurationError
 from samewise.operators.pairs import first_rows
 from samewise.operators.rules import ValidationResult
 from samewise.sources.shared import materialize
 
 KEPT_BY_DEFAULT, KEPT_ON_FAILURE = "No decision; kept", "Judge failed; kept"
-PROVIDERS = {"openai": "OPENAI_API_KEY", "anthropic": "ANTHROPIC_API_KEY", "databricks": "DATABRICKS_TOKEN"}
-
-
 class Client(Protocol):
     def __call__(self, prompt: str) -> str: ...
 
 
-def provider_client(provider: str, model: str, temperature: float = 0.0, max_tokens: int = 1000) -> Callable[[], Client]:
-    """A factory for a provider's client. The provider's package and key are needed where tasks run."""
-    if provider not in PROVIDERS:
-        raise ConfigurationError("unknown provider", provider=provider, known=sorted(PROVIDERS))
-
-    def make() -> Client:
-        key = os.environ.get(PROVIDERS[provider])
-        if not key:
-            raise ModelError(f"{PROVIDERS[provider]} is not set", provider=provider)
-        if provider == "anthropic":
-            import anthropic
-
-            chat = anthropic.Anthropic(api_key=key)
-            return lambda prompt: chat.messages.create(model=model, max_tokens=max_tokens, temperature=temperature, messages=[{"role": "user", "content": prompt}]).content[0].text
-        import openai
-
-        base = {"base_url": os.environ["DATABRICKS_HOST"] + "/serving-endpoints"} if provider == "databricks" else {}
-        chat = openai.OpenAI(api_key=key, **base)
-        return lambda prompt: chat.chat.completions.create(model=model, temperature=temperature, messages=[{"role": "user", "content": prompt}]).choices[0].message.content
-
-    return make
-
-
 def reply_json(text: str) -> dict:
     """The JSON object of a reply: fenced, else from the first brace to the last."""
     fenced = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", text, re.S)
@@ -73,6 +47,27 @@ def ask(client: Client, prompt: str, retries: int, pause: float = 1.0) -> dict |
     return None
 
 
+def _answers(todo: DataFrame, key: str, run, schema: str, n_workers: int, progress: str | None, groups: int) -> DataFrame:
+    """What run says of the rows of todo, written once; with a progress folder in groups of rows by the hash of key,
+    appended there, without asking about keys that are there already."""
+    asked = lambda rows: rows.repartition(n_workers).mapInPandas(run, schema)
+    if progress is None:
+        return materialize(asked(todo), "answers")
+    if groups < 1:
+        raise ConfigurationError("a progress folder needs a group at least", groups=groups)
+    spark = todo.sparkSession
+    spark.createDataFrame([], schema).write.mode("append").parquet(progress)
+    done = spark.read.schema(schema).parquet(progress)
+    answer_key = done.columns[0]
+    left = materialize(todo.join(done.select(F.col(answer_key).alias(key)).distinct(), key, "left_anti"), "open")
+    group = F.pmod(F.xxhash64(key), F.lit(groups))
+    for g in range(groups):
+        part = left.where(group == g)
+        if not part.isEmpty():
+            asked(part).write.mode("append").parquet(progress)
+    return spark.read.schema(schema).parquet(progress).dropDuplicates([answer_key])
+
+
 def pair_prompt(rows: list[dict], columns: list[str], instructions: str = "") -> str:
     lines = []
     for r in rows:
@@ -99,6 +94,8 @@ class LLMValidator:
     metadata_columns: list[str] = field(default_factory=list)
     instructions: str = ""
     pause: float = 1.0
+    progress: str | None = None
+    progress_groups: int = 8
 
     def _judge(self):
         make, size, retries, columns, more, pause = self.client, self.batch_size, self.max_retries, self.metadata_columns, self.instructions, self.pause
@@ -120,18 +117,21 @@ class LLMValidator:
 
         return run
 
-    def validate(self, pairs: DataFrame, entities: DataFrame, id_column: str = "id", decided: DataFrame | None = None) -> ValidationResult:
-        """Annotated pairs. decided (id1, id2, keep, validation_reason) holds earlier decisions, which are reused."""
+    def validate(
+        self, pairs: DataFrame, entities: DataFrame, id_column: str = "id", order_by: str | None = None, entities2: DataFrame | None = None, id_column2: str | None = None, decided: DataFrame | None = None, progress: str | None = None,
+    ) -> ValidationResult:
+        """Annotated pairs. A second table serves id2. decided (id1, id2, keep, validation_reason) holds earlier decisions,
+        which are reused; progress is a folder where decisions are kept as they are made."""
         keyed = pairs.withColumn("_pair", F.xxhash64("id1", "id2"))
-        for n in ("1", "2"):
-            have = [c for c in self.metadata_columns if c in entities.columns and c != id_column]
+        for n, table, key in (("1", entities, id_column), ("2", entities2 if entities2 is not None else entities, id_column2 or id_column)):
+            have = [c for c in self.metadata_columns if c in table.columns and c != key]
             if have:
-                side = first_rows(entities.select(id_column, *have), id_column).select(F.col(id_column).alias("_k"), *[F.col(c).alias(f"{c}_{n}") for c in have])
+                side = first_rows(table.select(key, *have, *([order_by] if order_by in table.columns and order_by not in (key, *have) else [])), key, order_by if order_by in table.columns else None).select(F.col(key).alias("_k"), *[F.col(c).alias(f"{c}_{n}") for c in have])
                 keyed = keyed.join(side, F.col(f"id{n}") == F.col("_k"), "left").drop("_k")
         todo = keyed
         if decided is not None:
             todo = keyed.join(decided.select(F.xxhash64("id1", "id2").alias("_pair")), "_pair", "left_anti")
-        answered = materialize(todo.repartition(self.n_workers).mapInPandas(self._judge(), "_pair long, keep boolean, validation_reason string"), "decisions")
+        answered = _answers(todo, "_pair", self._judge(), "_pair long, keep boolean, validation_reason string", self.n_workers, progress or self.progress, self.progress_groups)
         if decided is not None:
             answered = answered.union(decided.select(F.xxhash64("id1", "id2").alias("_pair"), "keep", "validation_reason"))
         out = pairs.withColumn("_pair", F.xxhash64("id1", "id2")).join(answered.dropDuplicates(["_pair"]), "_pair", "left").drop("_pair")
@@ -143,24 +143,40 @@ def candidate_prompt(rows: list[dict], instructions: str = "") -> str:
     lines = []
     for r in rows:
         lines.append(f"Entity {r['df1_id']} ({r['df1_name']!r}):")
-        lines += [f"  {i}. id {c['df2_id']}: {c['df2_name']!r}, score {c['similarity_score']:.1f}" for i, c in enumerate(r["candidates"])]
+        for i, c in enumerate(r["candidates"]):
+            facts = "; ".join(f"{k}: {v if v is not None else 'N/A'}" for k, v in (c.get("facts") or {}).items())
+            lines.append(f"  {i}. id {c['df2_id']}: {c['df2_name']!r}, score {c['similarity_score']:.1f}" + (f" ({facts})" if facts else ""))
     return (
         "Choose for each entity the candidate that means the same.\n" + (instructions + "\n" if instructions else "") + "\n".join(lines)
         + '\nAnswer with JSON only: {"selections": [{"entity_id": id, "selected_candidate_index": number, "selected_candidate_id": id, "reasoning": "short"}]}'
     )
 
 
-def consolidate_by_judge(matches: DataFrame, df1: DataFrame, id1: str, client: Callable[[], Client], id2: str = "df2_id", batch_size: int = 5, n_workers: int = 4, max_retries: int = 3, instructions: str = "", pause: float = 1.0, enabled: bool = True, decided: DataFrame | None = None) -> DataFrame:
-    """One row per id of df1 with main_<id2>, main_name, main_similarity_score, llm_reasoning and total_matches.
+def _candidate(c) -> dict:
+    c = dict(c) if isinstance(c, dict) else c.asDict()
+    pairs = [x if isinstance(x, dict) else x.asDict() for x in (c["facts"] if c["facts"] is not None else [])]
+    return {**c, "facts": {x["key"]: x["value"] for x in pairs}}
+
+
+def consolidate_by_judge(matches: DataFrame, df1: DataFrame, id1: str, client: Callable[[], Client], id2: str = "df2_id", batch_size: int = 5, n_workers: int = 4, max_retries: int = 3, instructions: str = "", pause: float = 1.0, enabled: bool = True, decided: DataFrame | None = None, df2: DataFrame | None = None, df2_key: str = "id", metadata_columns: tuple[str, ...] = (), progress: str | None = None, progress_groups: int = 8) -> DataFrame:
+    """One row per id of df1 with main_<id2>, main_name, main_similarity_score, llm_reasoning, total_matches and
+    other_candidates (ids, best score first). metadata_columns of df2 (by df2_key) are told to the judge.
 
     The candidate named by id is taken, else by index, else the first; ids are compared as strings. If the
     judge fails, the best score is taken. Entities without a decision have no main match and total 0, as all
     have when it is not enabled. decided holds rows of an earlier result (df1's id as `_of` and the columns
-    added here); their entities are not asked about again.
+    added here); their entities are not asked about again. progress is a folder where selections are kept as they
+    are made.
     """
     if not enabled:
         matches = matches.limit(0)
-    entry = F.struct((-F.col("similarity_score")).alias("s"), F.col("df2_id").cast("string").alias("df2_id"), "df2_name", "similarity_score")
+    facts = F.create_map().cast("map<string,string>")
+    have = [c for c in metadata_columns if df2 is not None and c in df2.columns]
+    if have:
+        side = first_rows(df2.select(df2_key, *have), df2_key).select(F.col(df2_key).alias("_k"), F.create_map(*[x for c in have for x in (F.lit(c), F.col(c).cast("string"))]).alias("_facts"))
+        matches, facts = matches.join(side, F.col("df2_id") == F.col("_k"), "left").drop("_k"), F.col("_facts")
+    # a map has no order, so entries carry it as an array to be sorted
+    entry = F.struct((-F.col("similarity_score")).alias("s"), F.col("df2_id").cast("string").alias("df2_id"), "df2_name", "similarity_score", F.map_entries(facts).alias("facts"))
     grouped = matches.groupBy("df1_id").agg(F.first("df1_name").alias("df1_name"), F.sort_array(F.collect_list(entry)).alias("candidates"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +184,7 @@ def consolidate_by_judge(matches: DataFrame, df1: DataFrame, id1: str, client: C
         for frame in batches:
             for at in range(0, len(frame), batch_size):
                 part = frame.iloc[at : at + batch_size]
-                rows = [{"df1_id": r.df1_id, "df1_name": r.df1_name, "candidates": [dict(c) if isinstance(c, dict) else c.asDict() for c in r.candidates]} for r in part.itertuples()]
+                rows = [{"df1_id": r.df1_id, "df1_name": r.df1_name, "candidates": [_candidate(c) for c in r.candidates]} for r in part.itertuples()]
                 reply = ask(judge, candidate_prompt(rows, instructions), max_retries, pause)
                 said = {str(s.get("entity_id")): s for s in (reply or {}).get("selections", []) if isinstance(s, dict)}
                 out = []
@@ -181,12 +197,13 @@ def consolidate_by_judge(matches: DataFrame, df1: DataFrame, id1: str, client: C
                         i = s.get("selected_candidate_index")
                         chosen = by_id[0] if by_id else r["candidates"][i] if isinstance(i, int) and 0 <= i < len(r["candidates"]) else r["candidates"][0]
                         reason = str(s.get("reasoning", ""))
-                    out.append((r["df1_id"], *((chosen["df2_id"], chosen["df2_name"], chosen["similarity_score"], reason, len(r["candidates"])) if chosen else (None, None, None, None, 0))))
-                yield pd.DataFrame(out, columns=["_of", f"main_{id2}", "main_name", "main_similarity_score", "llm_reasoning", "total_matches"])
+                    others = ", ".join(c["df2_id"] for c in r["candidates"] if c is not chosen) or None
+                    out.append((r["df1_id"], *((chosen["df2_id"], chosen["df2_name"], chosen["similarity_score"], reason, len(r["candidates"]), others) if chosen else (None, None, None, None, 0, None))))
+                yield pd.DataFrame(out, columns=["_of", f"main_{id2}", "main_name", "main_similarity_score", "llm_reasoning", "total_matches", "other_candidates"])
 
-    schema = f"_of {grouped.schema['df1_id'].dataType.simpleString()}, main_{id2} string, main_name string, main_similarity_score double, llm_reasoning string, total_matches long"
+    schema = f"_of {grouped.schema['df1_id'].dataType.simpleString()}, main_{id2} string, main_name string, main_similarity_score double, llm_reasoning string, total_matches long, other_candidates string"
     todo = grouped if decided is None else grouped.join(decided.select(F.col("_of").alias("df1_id")), "df1_id", "left_anti")
-    answers = materialize(todo.repartition(n_workers).mapInPandas(run, schema), "selections")
+    answers = _answers(todo, "df1_id", run, schema, n_workers, progress, progress_groups)
     if decided is not None:
-        answers = answers.union(decided.select(*answers.columns))
+        answers = answers.unionByName(decided.select(*[c for c in answers.columns if c in decided.columns]), allowMissingColumns=True)
     return first_rows(df1, id1).join(answers, F.col(id1) == F.col("_of"), "left").drop("_of").fillna(0, ["total_matches"])

@@ -30,10 +30,17 @@ TILE = 512
 
 @dataclass
 class MatchResult:
-    """pairs and facts about the run; pairs_count and the like are computed when asked for."""
+    """pairs and facts about the run; counts are computed when asked for."""
 
     pairs: DataFrame
     metadata: dict = field(default_factory=dict)
+    entities: tuple[DataFrame, ...] = ()
+
+    def counts(self) -> DataFrame:
+        """One row: rows of each table (total_entities, or df1_entities and df2_entities) and matches_found."""
+        names = ["total_entities"] if len(self.entities) == 1 else ["df1_entities", "df2_entities"]
+        row = {**{n: e.count() for n, e in zip(names, self.entities, strict=True)}, "matches_found": self.pairs.count()}
+        return self.pairs.sparkSession.createDataFrame([row], ", ".join(f"{k} long" for k in row))
 
 
 def _score_tiles(name: str, threshold: float, cutoff: float, multiplier: float, self_join: bool):
@@ -153,7 +160,7 @@ class FuzzyMatcher:
         pairs = a.join(edges, "name_a").join(b, "name_b").where("o1 < o2").select("id1", "id2", "name1", "name2", "similarity_score", "o1", "o2")
         if self.max_matches_per_entity is not None:
             pairs = degree_cap(pairs, self.max_matches_per_entity, [F.col("o1.row")], [F.col("o2.row")], F.struct(-F.col("similarity_score"), "o1", "o2"))
-        return MatchResult(pairs.drop("o1", "o2"), self._describe())
+        return MatchResult(pairs.drop("o1", "o2"), self._describe(), (df,))
 
     def _same(self) -> Column:
         top = 1.0 if self.scorer.startswith("jaro") else 100.0
@@ -183,7 +190,7 @@ class FuzzyMatcher:
             pairs = pairs.withColumn("rn", F.row_number().over(best)).where("rn = 1")
         out = pairs.select("id1", "id2", "name1", "name2", "similarity_score", "matched_column1", "matched_column2", F.lit("df1").alias("source1"), F.lit("df2").alias("source2"))
         kind = {"matching_type": "cross_dataset"} if single else {"matching_type": "cross_dataset_multi_column", "name_columns1": c1, "name_columns2": c2, "total_combinations_tried": len(c1) * len(c2)}
-        return MatchResult(out, self._describe(**kind))
+        return MatchResult(out, self._describe(**kind), (df1, df2))
 
     def _long(self, df: DataFrame, id_column: str, columns: list[str], order_by: str | None) -> DataFrame:
         for c in (id_column, *columns):

@@ -30,7 +30,9 @@ class ValidationResult:
         return self.annotated.where("not keep").drop("keep")
 
     def counts(self) -> DataFrame:
-        return self.annotated.agg(F.count_if("keep").alias("validated_count"), F.count_if(~F.col("keep")).alias("removed_count"))
+        """One row: pairs kept and removed, and the share kept (0 without pairs)."""
+        kept, n = F.count_if("keep"), F.count("*")
+        return self.annotated.agg(n.alias("pairs_count"), kept.alias("validated_count"), (n - kept).alias("removed_count"), F.coalesce(F.try_divide(kept, n), F.lit(0.0)).alias("validation_rate"))
 
 
 def score_rule(minimum: float) -> Column:

@@ -98,21 +98,58 @@ _CATNAMES = f"cn AS (SELECT cid, alt_name, {_NORM.format('alt_name')} AS n FROM
 _SPACE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
 
-def _sanitized() -> str:
-    out = _SPACE.format(r"regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')")
+def _sanitize(x: str) -> str:
+    out = _SPACE.format(rf"regexp_replace({x}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')")
     for p in XSS_BASIC:
         out = f"regexp_replace({out}, '(?is){p}', '', 'g')"
-    return f"SELECT doc_id, {out} AS text FROM documents"
+    return out
+
+
+def _sanitized() -> str:
+    return f"SELECT doc_id, {_sanitize('text')} AS text FROM documents"
 
 
 def _secrets() -> str:
     parts = []
     for kind, p in SECRETS.items():
         p, group = p.replace("'", "''"), 1 if "(" in p else 0
-        parts.append(f"SELECT doc_id, '{kind}' AS type, unnest(v) AS value, unnest(range(1, len(v) + 1))::INTEGER AS nth FROM (SELECT doc_id, regexp_extract_all(text, '(?i){p}', {group}) AS v FROM documents)")
+        parts.append(f"""SELECT doc_id, '{kind}' AS type, unnest(v) AS value, unnest(range(1, len(v) + 1))::INTEGER AS nth,
+          unnest(list_transform(range(1, len(v) + 1), lambda i: length(array_to_string(cut[:i], '')) + length(array_to_string(hit[:i - 1], ''))))::INTEGER AS position
+          FROM (SELECT doc_id, regexp_extract_all(text, '(?i){p}', {group}) AS v, regexp_extract_all(text, '(?i){p}') AS hit, string_split_regex(text, '(?i){p}') AS cut FROM documents)""")
     return " UNION ALL ".join(parts)
 
 
+# WRatio: texts in three forms (as they are, tokens sorted, distinct tokens sorted), their windows, and the weights
+_WEIGHTED = f"""WITH {_NAMES}, {_TWO}, {_SETS},
+far AS (SELECT *, greatest(length(a), length(b)) >= 1.5 * least(length(a), length(b)) AS far, CASE WHEN greatest(length(a), length(b)) <= 8 * least(length(a), length(b)) THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS part FROM two),
+forms AS (SELECT a, b, 'as' AS form, a AS x, b AS y FROM far WHERE far UNION ALL SELECT a, b, 'sorted', {sort_tokens('a')}, {sort_tokens('b')} FROM far WHERE far
+  UNION ALL SELECT a, b, 'sets', array_to_string(list_sort(list_distinct(string_split(a, ' '))), ' '), array_to_string(list_sort(list_distinct(string_split(b, ' '))), ' ') FROM far WHERE far),
+sides AS (SELECT a, b, form, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS s, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS t FROM forms UNION ALL SELECT a, b, form, y, x FROM forms WHERE length(x) = length(y)),
+cuts AS (SELECT DISTINCT a, b, form, s, unnest(list_concat(list_transform(range(1, length(t) - length(s) + 2), lambda i: substr(t, i::BIGINT, length(s))),
+  list_transform(range(1, length(s)), lambda k: substr(t, 1, k::BIGINT)), list_transform(range(1, length(s)), lambda k: substr(t, (length(t) - k + 1)::BIGINT, k::BIGINT)))) AS w FROM sides),
+best AS (SELECT a, b, form, max(r) AS r FROM (SELECT a, b, form, {ratio('s', 'w')} AS r FROM cuts) GROUP BY a, b, form),
+wide AS (SELECT a, b, max(r) FILTER (form = 'as') AS p, max(r) FILTER (form <> 'as') AS pt FROM best GROUP BY a, b),
+near AS (SELECT a, b, greatest({ratio('sa', 'sb')}, {_SET_SCORE.replace("THEN 100 ELSE", "THEN 100.0::DOUBLE ELSE")}) AS tokens FROM (SELECT far.a, far.b, {sort_tokens('far.a')} AS sa, {sort_tokens('far.b')} AS sb, c, oa, ob FROM far JOIN sets USING (a, b) WHERE NOT far.far)),
+weighted AS (SELECT far.a, far.b, {ratio('far.a', 'far.b')} AS r, far.far, part, tokens, p, CASE WHEN sets.c <> '' THEN 100.0::DOUBLE ELSE pt END AS pt FROM far JOIN sets USING (a, b) LEFT JOIN near USING (a, b) LEFT JOIN wide USING (a, b))
+SELECT a AS name_a, b AS name_b, {as_score('s')} AS similarity_score FROM (SELECT a, b, CASE WHEN far THEN greatest(r, part * p, 0.95::DOUBLE * part * pt) ELSE greatest(r, 0.95::DOUBLE * tokens) END AS s FROM weighted) WHERE s >= {THRESHOLDS["WRatio"]}"""
+_CAPPED = f"""WITH RECURSIVE {_NAMES}, {_TWO}, raw AS (SELECT a, b, {ratio('a', 'b')} AS s FROM two),
+pr AS (SELECT a, b, {as_score('s')} AS s, row_number() OVER (ORDER BY {as_score('s')} DESC, a, b) AS n FROM raw WHERE s >= {THRESHOLDS["ratio"]}),
+scan(n, used, take) AS (SELECT 0::BIGINT, MAP {{}}::MAP(VARCHAR, INTEGER), false UNION ALL
+  SELECT n, CASE WHEN ok THEN map_concat(used, MAP {{a: ua + 1, b: ub + 1}}) ELSE used END, ok FROM (SELECT *, ua < 2 AND ub < 2 AS ok FROM
+    (SELECT pr.n, a, b, used, coalesce(used[a], 0)::INTEGER AS ua, coalesce(used[b], 0)::INTEGER AS ub FROM scan JOIN pr ON pr.n = scan.n + 1)))
+SELECT a AS name_a, b AS name_b, s AS similarity_score FROM pr JOIN scan USING (n) WHERE take"""
+_RULES = """w AS (SELECT id1, id2, (similarity_score < 90)::INT + (x.p_brand <> y.p_brand)::INT + (ty.s < 40)::INT + (CASE WHEN greatest(x.p_retailprice, y.p_retailprice) > 0 THEN abs(x.p_retailprice - y.p_retailprice) / greatest(x.p_retailprice, y.p_retailprice) * 100 > 30 ELSE false END)::INT + (abs(x.p_size - y.p_size) > 25)::INT AS reasons
+        FROM mp JOIN part x ON x.p_partkey = id1 JOIN part y ON y.p_partkey = id2 JOIN ty ON ty.a = x.p_type AND ty.b = y.p_type)"""
+_CHECKS = """CASE WHEN doc_id IS NULL THEN 'id is empty' WHEN text IS NULL OR regexp_replace(text, '\\s', '', 'g') = '' THEN 'name is empty' WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 10000 THEN 'name is too long' END"""
+
+
+def _best_of(where: str, order: str) -> str:
+    return f"""WITH {_CROSS}, rk AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY {order}) AS rn FROM cm WHERE {where}),
+ag AS (SELECT id1, max(id2) FILTER (rn = 1) AS main_cid, max(similarity_score) FILTER (rn = 1) AS main_similarity_score, count(*) AS total_matches,
+  string_agg(id2::VARCHAR, ', ' ORDER BY similarity_score DESC, id2) AS all_match_ids, string_agg(id2::VARCHAR, ', ' ORDER BY similarity_score DESC, id2) FILTER (rn <> 1) AS other_candidates FROM rk GROUP BY id1)
+SELECT p.p_partkey AS id, main_cid, main_similarity_score, other_candidates, coalesce(total_matches, 0) AS total_matches, all_match_ids FROM part p LEFT JOIN ag ON ag.id1 = p.p_partkey"""
+
+
 ORACLES: dict[str, str] = {
     "normalize_names": f"""SELECT id, name, plain AS normalized, {sort_tokens('plain')} AS sorted_tokens FROM (SELECT id, name, {_SPACE.format(f"regexp_replace({_NORM.format('name')}, '[^\\w\\s]', '', 'g')")} AS plain
       FROM (SELECT p_partkey AS id, p_name AS name FROM part UNION ALL SELECT c_custkey, c_name FROM customer))""",
@@ -157,4 +194,31 @@ ORACLES: dict[str, str] = {
     "excel_clean": "SELECT doc_id, " + ", ".join(_SPACE.format(rf"regexp_replace({c}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]', '', 'g')") + f" AS {c}" for c in ("text", "source")) + " FROM documents",
     "secret_scan": _secrets(),
     "burst_windows": "SELECT time_bucket(INTERVAL 60 SECONDS, ts) AS window_start, user_id, count(*) AS requests FROM events WHERE ts IS NOT NULL GROUP BY ALL",
+    "wratio_pairs": _WEIGHTED,
+    "degree_capped_pairs": _CAPPED,
+    "csv_round_trip": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
+    "json_round_trip": "SELECT doc_id, text, source FROM documents",
+    "saved_groups": f"WITH RECURSIVE {_components(80)} SELECT * FROM g",
+    "group_members": f"WITH RECURSIVE {_components(80)} SELECT entity_id, entity_name FROM g WHERE entity_id = 1 OR group_id > 0 AND group_id = (SELECT group_id FROM g WHERE entity_id = 1)",
+    "entities_kept": f"WITH RECURSIVE {_components(80)} SELECT entity_id FROM g WHERE group_id = 0 UNION ALL SELECT max(entity_id) FROM g WHERE group_id > 0 GROUP BY group_id",
+    "saved_cross_matches": f"WITH {_CROSS} SELECT id1 AS df1_id, id2 AS df2_id, name1 AS df1_name, name2 AS df2_name, similarity_score, 'No validation' AS validation_reason FROM cm",
+    "matches_of_part": f"WITH {_CROSS} SELECT id2 AS df2_id, name2 AS df2_name, similarity_score FROM cm WHERE id1 = 1",
+    "matches_of_catalog_entry": f"WITH {_CROSS} SELECT id1 AS df1_id, name1 AS df1_name, similarity_score FROM cm WHERE id2 = 1",
+    "merge_outer": f"WITH {_CROSS}, k AS (SELECT id1, id2, similarity_score FROM cm WHERE similarity_score >= 95) SELECT id1 AS df1_id, id2 AS df2_id, similarity_score, p_partkey AS id, cat.cid, cat.alt_name FROM k FULL JOIN part ON p_partkey = id1 FULL JOIN cat ON cat.cid = id2",
+    "enriched_matches": f"WITH {_CROSS} SELECT id1 AS df1_id, id2 AS df2_id, similarity_score, p_brand, p_size, cat.brand, cat.kind AS priority FROM cm JOIN part ON p_partkey = id1 JOIN cat ON cat.cid = id2",
+    "consolidate_filtered": _best_of("similarity_score >= 90", "similarity_score DESC, id2"),
+    "consolidate_selected": _best_of("true", "id2"),
+    "scaled_jaro_pairs": f"WITH {_NAMES}, {_TWO} SELECT a AS name_a, b AS name_b, {as_score('s')} * 100::DOUBLE AS similarity_score FROM (SELECT a, b, jaro_similarity(a, b) AS s FROM two) WHERE s >= 0.75 AND {as_score('s')} * 100::DOUBLE >= 75",
+    "match_pairs_tied": f"""WITH {_NAMES}, {_SORTED_PAIRS}, rows AS (SELECT row_number() OVER () AS k, p_size::BIGINT AS id, p_brand, p_name AS raw, {_TOKEN} AS n FROM part)
+      SELECT x.id AS id1, y.id AS id2, x.raw AS name1, y.raw AS name2, {as_score("CASE WHEN x.n = y.n THEN 100.0 ELSE np.s END")} AS similarity_score
+      FROM rows x JOIN rows y ON (x.p_brand, x.id, x.raw, x.k) < (y.p_brand, y.id, y.raw, y.k) LEFT JOIN np ON np.a = x.n AND np.b = y.n WHERE x.n = y.n OR np.s >= 85""",
+    "match_counts": f"WITH {_NAMES}, {_SORTED_PAIRS}, {_EXPANDED} SELECT (SELECT count(*) FROM part) AS total_entities, count(*) AS matches_found FROM mp",
+    "validation_counts": f"""WITH {_NAMES}, {_SORTED_PAIRS}, {_EXPANDED}, ty AS (SELECT a, b, {as_score(ratio('a', 'b'))} AS s FROM (SELECT DISTINCT p_type AS a FROM part), (SELECT DISTINCT p_type AS b FROM part)), {_RULES}
+      SELECT count(*) AS pairs_count, count(*) FILTER (reasons = 0) AS validated_count, count(*) FILTER (reasons > 0) AS removed_count, count(*) FILTER (reasons = 0)::DOUBLE / count(*)::DOUBLE AS validation_rate FROM w""",
+    "structure_report": "SELECT NULL::VARCHAR AS column, count(*) AS rows, 0::BIGINT AS nulls FROM documents UNION ALL " + " UNION ALL ".join(f"SELECT '{c}', count(*), count(*) - count({c}) FROM documents" for c in ("doc_id", "text", "lang")),
+    "checked_entities": f"SELECT doc_id AS id, {_sanitize("regexp_replace(text, '^" + chr(92) + "s+|" + chr(92) + "s+$', '', 'g')")} AS name FROM documents WHERE {_CHECKS} IS NULL",
+    "rejected_entities": f"SELECT doc_id AS id, {_CHECKS} AS reject_reason FROM documents WHERE {_CHECKS} IS NOT NULL",
+    "checked_sides": f"SELECT 'df1' AS side, count(*) AS n FROM documents WHERE {_CHECKS} IS NULL UNION ALL SELECT 'df2', count(*) FROM supplier WHERE s_suppkey IS NOT NULL AND trim(s_name) <> ''",
+    "sanitized_columns": f"SELECT event_id, {_sanitize('event_type')} AS event_type, {_sanitize('props')} AS props FROM events",
+    "reply_json": "SELECT event_id, props AS json FROM events",
 }

@@ -15,14 +15,14 @@ from samewise.operators import pairs as P
 from samewise.operators.cap import degree_cap
 from samewise.operators.match import FuzzyMatcher
 from samewise.operators.rules import RuleBasedValidator
+from samewise.plans import resolve as R
 from samewise.plans.resolve import DeduplicationPipeline
-from samewise.runtime.limits import RateLimitConfig
-from samewise.sources.shared import materialize
-from samewise.streaming.requests import burst_counts, replay
+from samewise.sources import files
+from samewise.sources.shared import materialize, new_path
+from samewise.streaming.requests import burst_counts
 
 #: Thresholds by scorer; the oracles use them too.
 THRESHOLDS = {"ratio": 60.0, "partial_ratio": 75.0, "token_sort_ratio": 60.0, "token_set_ratio": 60.0, "WRatio": 75.0, "jaro": 0.75, "jaro_winkler": 0.8}
-LIMITS = RateLimitConfig(requests_per_minute=3, requests_per_hour=20, requests_per_day=200, burst_limit=2, burst_window=10.0)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -185,16 +185,155 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.find_secrets(_table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
-def rate_limit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a limiter per user says to each event."""
-    return replay(_table(spark, sf_dir, "events"), LIMITS).select("event_id", "user_id", "allowed")
-
-
 def burst_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per user and minute."""
     return burst_counts(_table(spark, sf_dir, "events"), 60)
 
 
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as CSV and read back."""
+    table, path = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), new_path(spark, "suppliers") + ".csv"
+    files.save_data(table, path)
+    return files.load_data(spark, path, table.schema)
+
+
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines and read back."""
+    table, path = _table(spark, sf_dir, "documents").select("doc_id", "text", "source"), new_path(spark, "documents") + ".json"
+    files.save_data(table, path)
+    return files.load_data(spark, path, table.schema)
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> G.DedupResult:
+    """The groups of parts as a result, saved and loaded."""
+    groups = materialize(_groups(spark, sf_dir), "groups")
+    pairs = spark.createDataFrame([], "id1 long, id2 long, name1 string, name2 string, similarity_score double")
+    path = new_path(spark, "result")
+    R.save_dedup(G.DedupResult(groups, pairs, G.statistics(groups)), path)
+    return R.load_dedup(spark, path)
+
+
+def saved_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity groups of a result that was saved and loaded."""
+    return _saved(spark, sf_dir).entity_groups
+
+
+def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of part 1."""
+    return _saved(spark, sf_dir).get_group(1).select("entity_id", "entity_name")
+
+
+def entities_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that survive with strategy last."""
+    return _saved(spark, sf_dir).get_entities_to_keep("last")
+
+
+def _cross_result(spark: SparkSession, sf_dir: str) -> P.CrossResult:
+    """The cross match of parts and catalog, saved and loaded."""
+    path = new_path(spark, "cross")
+    R.save_cross(P.CrossResult(P.cross_matches(_cross(spark, sf_dir)), {"id_col": "id", "name_col": "name"}, {"id_col": "cid", "name_col": "alt_name"}), path)
+    return R.load_cross(spark, path)
+
+
+def saved_cross_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of a cross result that was saved and loaded."""
+    return _cross_result(spark, sf_dir).cross_matches.select("df1_id", "df2_id", "df1_name", "df2_name", "similarity_score", "validation_reason")
+
+
+def matches_of_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What part 1 matches in the catalog."""
+    return _cross_result(spark, sf_dir).get_df1_matches(1).select("df2_id", "df2_name", "similarity_score")
+
+
+def matches_of_catalog_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts match the catalog's entry 1."""
+    return _cross_result(spark, sf_dir).get_df2_matches(1).select("df1_id", "df1_name", "similarity_score")
+
+
+def merge_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and catalog joined through near equal names, unmatched rows of both kept."""
+    result = _cross_result(spark, sf_dir)
+    strong = P.CrossResult(result.cross_matches.where("similarity_score >= 95"), result.df1_metadata, result.df2_metadata)
+    return strong.merge_datasets(_parts(spark, sf_dir).select("id", "name"), _catalog(spark, sf_dir).select("cid", "alt_name"), "outer").select("df1_id", "df2_id", "similarity_score", "id", "cid", "alt_name")
+
+
+def enriched_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross matches with metadata of both sides and the priority column."""
+    config = C.ConsolidationConfig(enabled=True, priority_column="kind", df1_metadata_columns=["p_brand", "p_size"], df2_metadata_columns=["brand", "absent"])
+    rich = C.enrich(P.cross_matches(_cross(spark, sf_dir)), _parts(spark, sf_dir), _catalog(spark, sf_dir), "id", "cid", config)
+    return rich.select("df1_id", "df2_id", "similarity_score", "p_brand", "p_size", "brand", F.col("_priority").alias("priority"))
+
+
+def _consolidated_with(**how) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = C.consolidate(P.cross_matches(_cross(spark, sf_dir)), _parts(spark, sf_dir), _catalog(spark, sf_dir), "id", "cid", C.ConsolidationConfig(enabled=True, **how))
+        return out.select("id", "main_cid", "main_similarity_score", "other_candidates", "total_matches", "all_match_ids")
+
+    query.__doc__ = f"The main catalog match of every part, with {' and '.join(how)}."
+    return query
+
+
+def scaled_jaro_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of distinct part names by jaro on a scale of 100."""
+    found = FuzzyMatcher(threshold=75.0, scorer="jaro", score_multiplier=100.0, scale_cutoff=True).find_name_pairs(_parts(spark, sf_dir))
+    return found.select(F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), "similarity_score")
+
+
+def match_pairs_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of part rows under an id that repeats (the size) and an order with ties (the brand)."""
+    rows = _table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("id"), F.col("p_name").alias("name"), "p_brand")
+    return FuzzyMatcher(threshold=85.0).find_matches(rows, order_by="p_brand").pairs
+
+
+def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows were matched, and how many pairs found."""
+    return FuzzyMatcher(threshold=85.0).find_matches(_parts(spark, sf_dir)).counts()
+
+
+def validation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of parts the rules keep."""
+    parts = _parts(spark, sf_dir)
+    return _validator().validate(FuzzyMatcher(threshold=85.0).find_matches(parts).pairs, parts).counts()
+
+
+def structure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and nulls of the columns that documents need."""
+    return I.structure_counts(_table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"])
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"))
+
+
+def checked_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entities: the rows that pass all checks, sanitised."""
+    return I.DeduplicationInput().check(_entities(spark, sf_dir)).valid.select("id", "name")
+
+
+def rejected_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entities: the rows that do not pass, and why."""
+    return I.DeduplicationInput().check(_entities(spark, sf_dir)).rejected.select("id", "reject_reason")
+
+
+def checked_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and suppliers as two tables of entities: how many rows of each pass."""
+    right = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("title"))
+    sides = I.CrossDatasetInput(("id", "key"), ["name"], ["title"]).check(_entities(spark, sf_dir), right)
+    one = lambda n: sides[n].valid.agg(F.lit(f"df{n + 1}").alias("side"), F.count("*").alias("n"))
+    return one(0).union(one(1))
+
+
+def sanitized_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type and properties of events without control characters and script fragments; nulls stay."""
+    return N.sanitize_columns(_table(spark, sf_dir, "events").select("event_id", "event_type", "props"), ["event_type", "props", "absent"])
+
+
+def reply_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON in texts around it: fenced for even events, bare for others."""
+    around = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("so: ```json\n"), "props", F.lit("\n``` ok }"))).otherwise(F.concat(F.lit("it is "), "props", F.lit(" I think")))
+    return _table(spark, sf_dir, "events").select("event_id", N.extract_json(around).alias("json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_names": normalize_names,
     **{f"{k.lower()}_pairs": _pairs_of(k) for k in THRESHOLDS},
@@ -221,6 +360,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sanitized_documents": sanitized_documents,
     "excel_clean": excel_clean,
     "secret_scan": secret_scan,
-    "rate_limit_replay": rate_limit_replay,
     "burst_windows": burst_windows,
+    "csv_round_trip": csv_round_trip,
+    "json_round_trip": json_round_trip,
+    "saved_groups": saved_groups,
+    "group_members": group_members,
+    "entities_kept": entities_kept,
+    "saved_cross_matches": saved_cross_matches,
+    "matches_of_part": matches_of_part,
+    "matches_of_catalog_entry": matches_of_catalog_entry,
+    "merge_outer": merge_outer,
+    "enriched_matches": enriched_matches,
+    "consolidate_filtered": _consolidated_with(filter_function=lambda: F.col("similarity_score") >= 90),
+    "consolidate_selected": _consolidated_with(selection_function=lambda g: g.sort_values("df2_id").iloc[0]),
+    "scaled_jaro_pairs": scaled_jaro_pairs,
+    "match_pairs_tied": match_pairs_tied,
+    "match_counts": match_counts,
+    "validation_counts": validation_counts,
+    "structure_report": structure_report,
+    "checked_entities": checked_entities,
+    "rejected_entities": rejected_entities,
+    "checked_sides": checked_sides,
+    "sanitized_columns": sanitized_columns,
+    "reply_json": reply_json,
 }

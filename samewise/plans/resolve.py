@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
-import os
-from dataclasses import asdict, dataclass, is_dataclass
+from dataclasses import dataclass, fields, is_dataclass
+from hashlib import md5
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samewise.errors import DataValidationError
 from samewise.operators import groups as G
 from samewise.operators import pairs as P
+from samewise.operators.judge import LLMValidator
 from samewise.operators.match import FuzzyMatcher
 from samewise.operators.rules import RuleBasedValidator
 from samewise.sources.checkpoint import checkpointer, fingerprint, resume_or_save
@@ -19,8 +20,25 @@ from samewise.sources.checkpoint import checkpointer, fingerprint, resume_or_sav
 GROUPS = "entity_id string, entity_name string, group_id long"
 
 
-def _settings(x) -> dict:
-    return {k: str(v) for k, v in asdict(x).items()} if is_dataclass(x) and not callable(getattr(x, "client", None)) else {"type": type(x).__name__}
+def _settings(x) -> object:
+    """What a checkpoint key holds of a matcher, validator or setting: all plain fields. A function stands for its
+    `version` if it has one, else for its name and code."""
+    if is_dataclass(x) and not isinstance(x, type):
+        return {"type": type(x).__name__, **{f.name: _settings(getattr(x, f.name)) for f in fields(x) if f.name not in ("progress", "progress_groups")}}
+    if isinstance(x, dict):
+        return {str(k): _settings(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple)):
+        return [_settings(v) for v in x]
+    if isinstance(x, Column):
+        return str(x)
+    if hasattr(x, "version"):
+        return {"version": str(x.version)}
+    if code := getattr(x, "__code__", None):
+        held = [_settings(c.cell_contents) for c in x.__closure__ or ()]
+        return {"function": x.__qualname__, "code": md5(code.co_code + repr([c for c in code.co_consts if not hasattr(c, "co_code")]).encode() + repr(code.co_names).encode()).hexdigest(), "held": held}
+    if x is None or isinstance(x, (bool, int, float, str)):
+        return x
+    return {"type": type(x).__name__, **({k: _settings(v) for k, v in vars(x).items()} if hasattr(x, "__dict__") and not callable(x) else {})}
 
 
 @dataclass
@@ -44,19 +62,33 @@ class DeduplicationPipeline:
         for c in (id_column, name_column):
             if c not in df.columns:
                 raise DataValidationError(f"column {c} is missing", columns=df.columns)
-        own = df.withColumnsRenamed({id_column: "id", name_column: "name"})
+        for old, new in ((id_column, "id"), (name_column, "name")):
+            if old != new and new in df.columns and new not in (id_column, name_column):
+                raise DataValidationError(f"column {old} would take the name of column {new}", columns=df.columns)
+        names = {id_column: "id", name_column: "name"}
+        own = df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
         store = self._store(df.sparkSession)
-        key = fingerprint(own, ["id", "name"], _settings(self.matcher)) if store else ""
+        key = fingerprint(own, ["id", "name"], {"matcher": _settings(self.matcher)}) if store else ""
         found = resume_or_save(store, "matching", key, resume, lambda: self.matcher.find_matches(own).pairs)
         pairs = P.remove_symmetric(found)
         if validate and self.validator is not None:
-            columns = sorted({"id", "name", *getattr(self.validator, "metadata_rules", {})} & {*own.columns})
+            columns = self._read(own, ["id", "name"])
             vkey = fingerprint(own, columns, {"matcher": _settings(self.matcher), "validator": _settings(self.validator)}) if store else ""
-            annotated = resume_or_save(store, "validation", vkey, resume, lambda: self.validator.validate(pairs, own).annotated)
+            annotated = resume_or_save(store, "validation", vkey, resume, lambda: self.validator.validate(pairs, own, **self._progress(store, vkey)).annotated)
             pairs = annotated.where("keep").drop("keep")
         groups = G.cluster(own, pairs)
         return G.DedupResult(groups, pairs, G.statistics(groups, pairs=pairs))
 
+    def _read(self, df: DataFrame, columns: list[str]) -> list[str]:
+        """The columns of df that decisions depend on: those given and the validator's; all of them with custom rules."""
+        if getattr(self.validator, "custom_rules", None):
+            return sorted(df.columns)
+        return sorted({*columns, *getattr(self.validator, "metadata_rules", {}), *getattr(self.validator, "metadata_columns", [])} & {*df.columns})
+
+    def _progress(self, store, key: str) -> dict:
+        """A judge keeps its decisions beside the checkpoints as it makes them."""
+        return {"progress": store.path("progress", key)} if store and isinstance(self.validator, LLMValidator) else {}
+
     def run_by_name(self, df: DataFrame, id_column: str = "id", name_column: str = "name") -> DataFrame:
         """Entity groups without expanding equal names into pairs of rows; for tables with large groups of equal names."""
         edges = self.matcher.find_name_pairs(df, name_column)
@@ -68,40 +100,47 @@ class DeduplicationPipeline:
             raise DataValidationError("the matcher has no find_cross_matches")
         store = self._store(df1.sparkSession)
         first = lambda c: c if isinstance(c, str) else c[0]
-        key = "_".join(fingerprint(d, [i, *([n] if isinstance(n, str) else n)], _settings(self.matcher))[:16] for d, i, n in ((df1, id_column1, name_columns1), (df2, id_column2, name_columns2))) if store else ""
+        key = "_".join(fingerprint(d, [i, *([n] if isinstance(n, str) else n)], {"matcher": _settings(self.matcher)})[:16] for d, i, n in ((df1, id_column1, name_columns1), (df2, id_column2, name_columns2))) if store else ""
         pairs = resume_or_save(store, "cross_matching", key, resume, lambda: self.matcher.find_cross_matches(df1, df2, id_column1, id_column2, name_columns1, name_columns2).pairs)
         if validate and self.validator is not None:
-            pairs = self.validator.validate(pairs, df1, id_column1, entities2=df2, id_column2=id_column2).validated_pairs
+            sides = ((df1, id_column1, name_columns1), (df2, id_column2, name_columns2))
+            settings = {"matcher": _settings(self.matcher), "validator": _settings(self.validator)}
+            vkey = "_".join(fingerprint(d, self._read(d, [i, *([n] if isinstance(n, str) else n)]), settings)[:16] for d, i, n in sides) if store else ""
+            annotated = resume_or_save(store, "cross_validation", vkey, resume, lambda: self.validator.validate(pairs, df1, id_column1, entities2=df2, id_column2=id_column2, **self._progress(store, vkey)).annotated)
+            pairs = annotated.where("keep").drop("keep")
         matches = P.cross_matches(pairs)
         side = lambda i, n: {"id_col": i, "name_col": first(n)}
         return P.CrossResult(matches, side(id_column1, name_columns1), side(id_column2, name_columns2), P.cross_statistics(matches, df1, df2, id_column1, id_column2))
 
 
+def _write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """One line of JSON, through Spark, so that any store it knows takes it."""
+    spark.createDataFrame([(json.dumps(value, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first().value)
+
+
 def save_dedup(result: G.DedupResult, folder: str) -> None:
-    """entity_groups and duplicate_pairs as Parquet, statistics as JSON."""
-    os.makedirs(folder, exist_ok=True)
-    result.entity_groups.write.mode("overwrite").parquet(os.path.join(folder, "entity_groups.parquet"))
-    result.duplicate_pairs.write.mode("overwrite").parquet(os.path.join(folder, "duplicate_pairs.parquet"))
-    with open(os.path.join(folder, "statistics.json"), "w") as f:
-        json.dump(result.statistics.first().asDict(), f, default=str)
+    """entity_groups and duplicate_pairs as Parquet, statistics as JSON, in a folder of any store that Spark knows."""
+    result.entity_groups.write.mode("overwrite").parquet(f"{folder}/entity_groups.parquet")
+    result.duplicate_pairs.write.mode("overwrite").parquet(f"{folder}/duplicate_pairs.parquet")
+    _write_json(result.entity_groups.sparkSession, result.statistics.first().asDict(), f"{folder}/statistics.json")
 
 
 def load_dedup(spark: SparkSession, folder: str) -> G.DedupResult:
-    with open(os.path.join(folder, "statistics.json")) as f:
-        stats = json.load(f)
-    return G.DedupResult(spark.read.parquet(os.path.join(folder, "entity_groups.parquet")), spark.read.parquet(os.path.join(folder, "duplicate_pairs.parquet")), spark.createDataFrame([stats]))
+    stats = _read_json(spark, f"{folder}/statistics.json")
+    return G.DedupResult(spark.read.parquet(f"{folder}/entity_groups.parquet"), spark.read.parquet(f"{folder}/duplicate_pairs.parquet"), spark.createDataFrame([stats]))
 
 
 def save_cross(result: P.CrossResult, folder: str) -> None:
-    os.makedirs(folder, exist_ok=True)
-    result.cross_matches.write.mode("overwrite").parquet(os.path.join(folder, "cross_matches.parquet"))
+    result.cross_matches.write.mode("overwrite").parquet(f"{folder}/cross_matches.parquet")
     stats = result.statistics.first().asDict() if result.statistics is not None else {}
-    with open(os.path.join(folder, "metadata.json"), "w") as f:
-        json.dump({"df1": result.df1_metadata, "df2": result.df2_metadata, "statistics": stats}, f, default=str)
+    _write_json(result.cross_matches.sparkSession, {"df1": result.df1_metadata, "df2": result.df2_metadata, "statistics": stats}, f"{folder}/metadata.json")
 
 
 def load_cross(spark: SparkSession, folder: str) -> P.CrossResult:
-    with open(os.path.join(folder, "metadata.json")) as f:
-        meta = json.load(f)
+    meta = _read_json(spark, f"{folder}/metadata.json")
     stats = spark.createDataFrame([meta["statistics"]]) if meta["statistics"] else None
-    return P.CrossResult(spark.read.parquet(os.path.join(folder, "cross_matches.parquet")), meta["df1"], meta["df2"], stats)
+    return P.CrossResult(spark.read.parquet(f"{folder}/cross_matches.parquet"), meta["df1"], meta["df2"], stats)

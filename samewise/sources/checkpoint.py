@@ -7,6 +7,7 @@ configuration, so a changed threshold does not find old pairs.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -25,9 +26,8 @@ from samewise.errors import CheckpointError
 def fingerprint(df: DataFrame, columns: list[str], config: dict | None = None) -> str:
     """32 hex digits of the columns' rows, in any order, and of the configuration."""
     row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), *columns)).alias("x")).first()
-    spark = df.sparkSession
     text = json.dumps([row.n, str(row.s), row.x, columns, config or {}], sort_keys=True, default=str)
-    return spark.range(1).select(F.md5(F.lit(text))).first()[0]
+    return hashlib.md5(text.encode()).hexdigest()
 
 
 class BaseCheckpointer(ABC):
@@ -50,8 +50,9 @@ class BaseCheckpointer(ABC):
         return f"{cls.validate_stage_name(stage)}_{cls.validate_data_hash(data_hash)}"
 
     def __init__(self, spark: SparkSession, folder: str, compress: bool = True):
-        self.spark, self.folder, self.compress = spark, folder, compress
-        os.makedirs(folder, exist_ok=True)
+        # absolute, since Spark may have been started in another working folder
+        self.spark, self.folder, self.compress = spark, os.path.abspath(folder.removeprefix("file://")), compress
+        os.makedirs(self.folder, exist_ok=True)
 
     def path(self, stage: str, data_hash: str) -> str:
         return os.path.join(self.folder, self.create_checkpoint_id(stage, data_hash) + ".parquet")
@@ -170,7 +171,7 @@ class DatabaseCheckpointer(BaseCheckpointer):
 
     def __init__(self, spark: SparkSession, folder: str, compress: bool = True, db_path: str | None = None):
         super().__init__(spark, folder, compress)
-        self.db = sqlite3.connect(db_path or os.path.join(folder, "catalog.db"))
+        self.db = sqlite3.connect(db_path or os.path.join(self.folder, "catalog.db"))
         self.db.execute("CREATE TABLE IF NOT EXISTS checkpoints (stage TEXT, data_hash TEXT, timestamp TEXT, entry TEXT, PRIMARY KEY (stage, data_hash))")
         self.db.execute("CREATE INDEX IF NOT EXISTS by_time ON checkpoints (timestamp)")
 

@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from samewise.errors import ConfigurationError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine) one is made and set."""
+    """The folder named by spark.checkpoint.dir; where that is unset on one machine (tests) one is made and set. On a
+    cluster a folder of one machine would lose what other machines write, so an unset folder raises there."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigurationError("set spark.checkpoint.dir to a folder that driver and executors share", master=spark.sparkContext.master)
         folder = "file://" + tempfile.mkdtemp(prefix="spark-samewise-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

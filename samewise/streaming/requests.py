@@ -1,42 +1,10 @@
-"""Request limits over a table or stream of events."""
+"""Counts of events per user and window, over a table or a stream."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.runtime.limits import RateLimitConfig, _Window
-
-
-def _decide(config: RateLimitConfig):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, window = None, _Window(config)
-        for batch in batches:
-            out = []
-            for user, ts in zip(batch["user_id"], batch["seconds"], strict=True):
-                key = None if pd.isna(user) else user
-                if who is None or who[0] != key:
-                    who, window = (key,), _Window(config)
-                out.append(window.allow(ts))
-            yield batch.assign(allowed=out)
-
-    return run
-
-
-def replay(events: DataFrame, config: RateLimitConfig, user: str = "user_id", ts: str = "ts", event: str = "event_id") -> DataFrame:
-    """Rows (event_id, user_id, seconds, allowed): what a limiter per user would have said to each event in order of time.
-
-    Events are dealt out by user and sorted by time in their partition, then streamed through, so a user's
-    events are never all in memory; a blocked event does not count, so no window function says the same.
-    Events without time are left out.
-    """
-    rows = events.where(F.col(ts).isNotNull()).select(F.col(event).alias("event_id"), F.col(user).alias("user_id"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000).alias("seconds"))
-    dealt = rows.repartition("user_id").sortWithinPartitions("user_id", "seconds", "event_id")
-    return dealt.mapInPandas(_decide(config), "event_id long, user_id long, seconds double, allowed boolean")
-
 
 def burst_counts(events: DataFrame, seconds: int = 10, late: str = "1 minute", ts: str = "ts", user: str = "user_id") -> DataFrame:
     """Events per user and tumbling window; on a stream late events are waited for as long as `late` says."""

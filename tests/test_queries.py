@@ -36,14 +36,3 @@ def test_degree_cap_query(spark):
             used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
             want.add((a, b))
     assert {(r.name_a, r.name_b) for r in QUERIES["degree_capped_pairs"](spark, SF).collect()} == want
-
-
-def test_replay_query(spark):
-    from samewise.plans.queries import LIMITS
-    from samewise.runtime.limits import _Window
-
-    events = sorted((r.user_id, r.ts.timestamp(), r.event_id) for r in spark.read.parquet(f"{SF}/events.parquet").collect() if r.ts is not None)
-    windows, want = {}, {}
-    for user, ts, event in events:
-        want[event] = windows.setdefault(user, _Window(LIMITS)).allow(ts)
-    assert {r.event_id: r.allowed for r in QUERIES["rate_limit_replay"](spark, SF).collect()} == want

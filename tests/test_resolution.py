@@ -129,8 +129,86 @@ def test_judge(spark, df):
     earlier = spark.createDataFrame([("C1", "E1", "x", 90.0, "before", 2)], "_of string, main_eid string, main_name string, main_similarity_score double, llm_reasoning string, total_matches long")
     resumed = {r.id: r for r in J.consolidate_by_judge(matches, left, "id", _judge("?"), "eid", max_retries=1, decided=earlier).collect()}
     assert resumed["C1"].llm_reasoning == "before" and resumed["C2"].main_eid == "E1"
-    with pytest.raises(ConfigurationError):
-        J.provider_client("odd", "m")
+    told = []
+    prompt = J.candidate_prompt([{"df1_id": "C1", "df1_name": "a", "candidates": [{"df2_id": "E1", "df2_name": "x", "similarity_score": 90.0, "facts": {"tier": "high", "size": None}}]}])
+    assert "tier: high; size: N/A" in prompt and not told
+    right = spark.createDataFrame([("E1", "high"), ("E2", "low")], "eid string, tier string")
+    pick = lambda: (lambda p: '{"selections": [{"entity_id": "C1", "selected_candidate_index": %d}]}' % (0 if "tier: low" in p else 1))
+    rich = {r.id: r for r in J.consolidate_by_judge(matches, left, "id", pick, "eid", df2=right, df2_key="eid", metadata_columns=("tier", "absent")).collect()}
+    assert rich["C1"].main_eid == "E2" and rich["C1"].other_candidates == "E1" and rich["C3"].other_candidates is None
+
+
+class Counting:
+    """A client that notes its prompts in a folder and fails where a marker is set."""
+
+    version = "1"
+
+    def __init__(self, folder, fails=""):
+        self.folder, self.fails = str(folder), fails
+
+    def __call__(self):
+        import os
+        import uuid
+
+        def client(prompt):
+            if self.fails and os.path.exists(self.fails) and len(os.listdir(self.folder)) >= 2:
+                os._exit(1)  # the worker is lost, not the call
+            with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(prompt)
+            return '{"decisions": [{"pair_index": 0, "is_duplicate": false, "reason": "no"}]}'
+
+        return client
+
+
+def test_judge_is_taken_up_where_it_broke_off(spark, tmp_path):
+    import os
+
+    rows = spark.createDataFrame([(f"E{i}", f"Company number {i:02}", "US") for i in range(6)], "id string, name string, country string")
+    asked, marker = tmp_path / "asked", tmp_path / "fail"
+    asked.mkdir()
+    marker.write_text("")
+    judge = J.LLMValidator(Counting(asked, str(marker)), batch_size=1, n_workers=1, metadata_columns=["country"], progress_groups=15)
+    pipe = R.DeduplicationPipeline(FuzzyMatcher(threshold=80), judge, True, str(tmp_path / "cp"))
+    with pytest.raises(Exception):  # noqa: B017
+        pipe.run(rows)
+    before = len(os.listdir(asked))
+    assert before >= 2
+    marker.unlink()
+    result = pipe.run(rows)
+    assert result.duplicate_pairs.count() == 0
+    n = FuzzyMatcher(threshold=80).find_matches(rows).pairs.count()
+    prompts = [f.read_text() for f in asked.iterdir()]
+    assert n == 15 and len(prompts) <= n + 1 and len(set(prompts)) == n  # at most the batch that broke off is asked again
+    assert pipe.run(rows).duplicate_pairs.count() == 0 and len(os.listdir(asked)) == len(prompts)
+
+
+def test_judge_of_two_tables(spark, tmp_path):
+    left = spark.createDataFrame([("C1", "Apple Inc", "US"), ("C2", "Microsoft Corp", "US")], "id string, name string, country string")
+    right = spark.createDataFrame([("E1", "Apple Inc.", "DE"), ("E2", "Microsoft Corporation", None)], "eid string, name string, country string")
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    judge = J.LLMValidator(Counting(asked), batch_size=1, n_workers=1, metadata_columns=["country"])
+    pipe = R.DeduplicationPipeline(FuzzyMatcher(threshold=80), judge, True, str(tmp_path / "cp"))
+    assert pipe.run_cross_dataset(left, right, "id", "eid").cross_matches.count() == 0
+    assert sorted(x.read_text().split("(")[1].split(")")[0] for x in asked.iterdir()) == ["country: US vs DE", "country: US vs N/A"]
+    assert pipe.run_cross_dataset(left, right, "id", "eid").cross_matches.count() == 0 and len(list(asked.iterdir())) == 2
+    assert pipe.run_cross_dataset(left, right, "id", "eid", resume=False).cross_matches.count() == 0
+
+
+def test_checkpoint_keys_hold_all_settings():
+    judge = lambda **how: R._settings(J.LLMValidator(_judge("x"), **how))
+    assert judge() == judge() != judge(instructions="other") and judge() == judge(progress="elsewhere")
+    rules = lambda f: R._settings(RuleBasedValidator(90, custom_rules={"r": f}))
+    assert rules(lambda: F.col("a") > 1) == rules(lambda: F.col("a") > 1) != rules(lambda: F.col("a") > 2)
+    assert R._settings(J.LLMValidator(_judge("x"))) != R._settings(J.LLMValidator(_judge("y")))
+    assert R._settings(FuzzyMatcher()) != R._settings(FuzzyMatcher(threshold=81))
+
+
+def test_names_that_clash(spark, df):
+    with pytest.raises(DataValidationError):
+        R.DeduplicationPipeline(FuzzyMatcher()).run(df.withColumn("key", F.col("id")), id_column="key")
+    swapped = df.select(F.col("id").alias("name"), F.col("name").alias("id"))
+    assert R.DeduplicationPipeline(FuzzyMatcher(threshold=80)).run(swapped, id_column="name", name_column="id").duplicate_pairs.count() == 2
 
 
 def test_inputs(spark):
@@ -158,10 +236,11 @@ def test_inputs(spark):
     assert G.statistics(spark.createDataFrame([], R.GROUPS)).first().total_entities == 0
 
 
-def test_cli(spark, tmp_path, capsys):
+def test_cli(spark, tmp_path, capsys, monkeypatch):
     pd.DataFrame(ROWS, columns=["id", "name", "country"]).to_csv(tmp_path / "in.csv", index=False)
+    monkeypatch.chdir(tmp_path)  # the sample configuration keeps checkpoints in the working folder
     main(["init", "-o", str(tmp_path / "c.json")], spark)
-    args = ["run", "-i", str(tmp_path / "in.csv"), "-o", str(tmp_path / "out"), "-c", str(tmp_path / "c.json"), "--threshold", "80"]
+    args = ["run", "-i", str(tmp_path / "in.csv"), "-o", str(tmp_path / "out"), "-c", str(tmp_path / "c.json"), "--threshold", "80", "--validate", "--validator", "none", "--verbose"]
     assert main(args, spark) == 0
     assert main(["analyze", str(tmp_path / "out"), "--format", "json"], spark) == 0
     assert main(["show-group", str(tmp_path / "out"), "E1"], spark) == 0
