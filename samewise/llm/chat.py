@@ -14,7 +14,8 @@ on in the next one repeats its shared turns there, so neither a very common firs
 conversation has to fit in one task. Sharing is decided on roles and texts, not on hashes.
 
 Edge cases: null role and null text are empty; null conv_id is one conversation of its own; turns are ordered
-by turn, role and text with nulls first, repeated turns are kept; an empty table gives no pack.
+by turn, role and text with nulls first, repeated turns are kept; other columns are ignored; a turn longer than a pack is
+one pack's text whole, and a task holds one conversation in memory; an empty table gives no pack.
 """
 
 from __future__ import annotations

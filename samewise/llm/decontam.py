@@ -12,8 +12,9 @@ counting the shared shingles as strings.
 
 Edge cases: null text counts as empty; texts under WORDS words have no shingle, so such items match
 nothing and such documents leak nothing; rows without item_id or doc_id are handled like others; of
-several texts under one doc_id or item_id the best match counts; repeated rows change nothing; an empty
-benchmark leaves all documents clean.
+several texts under one doc_id or item_id the best match counts; repeated rows change nothing; `clean` carries other
+columns along, whatever their names; a very long text is one row, cut into shingles in memory; an empty benchmark leaves
+all documents clean.
 """
 
 from __future__ import annotations
