@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from samewise.errors import ConfigurationError
+from samewise.operators.order import spread
 from samewise.operators.pairs import first_rows
 
 
@@ -67,6 +69,35 @@ def _main_rank(config: ConsolidationConfig, matches: DataFrame) -> DataFrame:
     raise ConfigurationError("priority_mode is strict or threshold", priority_mode=config.priority_mode)
 
 
+def _selected(pick: Callable[[pd.DataFrame], pd.Series]):
+    """Adds _rn, 1 for the row that pick chooses of the rows of one df1_id. These come together; a task holds those of one
+    id and of one batch."""
+
+    def judged(rows: pa.Table) -> pa.Table:
+        chosen = pick(rows.to_pandas()).name
+        return rows.append_column("_rn", pa.array([1 if i == chosen else 2 for i in range(rows.num_rows)], pa.int32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # of the last id so far, whose rows may go on
+        for batch in batches:
+            rows, done = pa.Table.from_batches([batch]), []
+            ids = rows["df1_id"].to_pylist()
+            if not ids:
+                continue
+            starts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+            for start, stop in zip(starts, starts[1:], strict=False):
+                if held and ids[start] != held[0]["df1_id"][0].as_py():
+                    done.append(judged(pa.concat_tables(held)))
+                    held = []
+                held.append(rows.slice(start, stop - start))
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+        if held:
+            yield from judged(pa.concat_tables(held)).combine_chunks().to_batches()
+
+    return run
+
+
 def consolidate(matches: DataFrame, df1: DataFrame, df2: DataFrame, id1: str, id2: str, config: ConsolidationConfig, name2: str = "name") -> DataFrame:
     """One row per id of df1 (its first row) with main_<id2>, main_<name2>, main_similarity_score, main_<priority>,
     other_candidates, total_matches and all_match_ids; nulls and 0 where nothing matches. Ids are joined by ', '
@@ -78,13 +109,8 @@ def consolidate(matches: DataFrame, df1: DataFrame, df2: DataFrame, id1: str, id
         rule = config.filter_function
         rich = rich.where(rule() if callable(rule) and not isinstance(rule, Column) else rule)
     if config.selection_function is not None:
-        pick = config.selection_function
-
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            chosen = pick(group)
-            return group.assign(_rn=[1 if i == chosen.name else 2 for i in group.index])
-
-        ranked = rich.groupBy("df1_id").applyInPandas(run, StructType([*rich.schema.fields, StructField("_rn", IntegerType())]))
+        together = spread(rich, "df1_id").sortWithinPartitions("df1_id")
+        ranked = together.mapInArrow(_selected(config.selection_function), StructType([*rich.schema.fields, StructField("_rn", IntegerType())]))
     else:
         ranked = _main_rank(config, rich)
     entry = F.struct((-F.col("similarity_score")).alias("s"), F.col("df2_id").alias("id"), F.col("_rn").alias("rn"))

@@ -23,6 +23,7 @@ from samewise.functions import normalize as N
 from samewise.functions import scorers as S
 from samewise.functions.tiles import least_share, score_tiles
 from samewise.operators.cap import degree_cap
+from samewise.operators.order import spread
 from samewise.sources.shared import materialize
 
 TILE = 512
@@ -155,7 +156,7 @@ class FuzzyMatcher:
         alike = different.select("name_a", "name_b", "similarity_score").union(different.select(F.col("name_b"), F.col("name_a"), "similarity_score"))
         same = rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.col("name").alias("name_a"), F.col("name").alias("name_b"), self._same().alias("similarity_score"))
         edges = materialize(alike.union(same.where(F.col("similarity_score") >= self.threshold)), "names")
-        a = rows.select(F.col("id").alias("id1"), F.col("raw").alias("name1"), F.col("_ord").alias("o1"), F.col("name").alias("name_a"))
+        a = spread(rows, "_ord").select(F.col("id").alias("id1"), F.col("raw").alias("name1"), F.col("_ord").alias("o1"), F.col("name").alias("name_a"))
         b = rows.select(F.col("id").alias("id2"), F.col("raw").alias("name2"), F.col("_ord").alias("o2"), F.col("name").alias("name_b"))
         pairs = a.join(edges, "name_a").join(b, "name_b").where("o1 < o2").select("id1", "id2", "name1", "name2", "similarity_score", "o1", "o2")
         if self.max_matches_per_entity is not None:
@@ -177,7 +178,7 @@ class FuzzyMatcher:
         long1 = materialize(self._long(df1, id_column1, here1, order_by1), "left")
         long2 = materialize(self._long(df2, id_column2, here2, order_by2), "right")
         alike = materialize(name_pairs(long1, long2, self.scorer, self.threshold, self.score_multiplier, self.scale_cutoff), "names")
-        a = long1.select(F.col("id").alias("id1"), F.col("raw").alias("name1"), F.col("_ord").alias("o1"), F.col("name").alias("name_a"), F.col("col").alias("matched_column1"), F.col("at").alias("at1"))
+        a = spread(long1, "_ord", "at").select(F.col("id").alias("id1"), F.col("raw").alias("name1"), F.col("_ord").alias("o1"), F.col("name").alias("name_a"), F.col("col").alias("matched_column1"), F.col("at").alias("at1"))
         b = long2.select(F.col("id").alias("id2"), F.col("raw").alias("name2"), F.col("_ord").alias("o2"), F.col("name").alias("name_b"), F.col("col").alias("matched_column2"), F.col("at").alias("at2"))
         pairs = a.join(alike, "name_a").join(b, "name_b")
         if single:

@@ -1,4 +1,4 @@
-"""Running sums over a whole table in a given order, without gathering it in one task."""
+"""Running sums over a whole table in a given order, without gathering it in one task; rows dealt to all tasks."""
 
 from __future__ import annotations
 
@@ -10,6 +10,12 @@ from samewise.sources.shared import materialize
 _PART, _AT = "_range_part", "_range_at"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to spark.sql.shuffle.partitions tasks. Adaptive execution merges partitions by their bytes; this
+    keeps their number where few bytes mean much work, as rows that a join multiplies or that Python looks at."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """df with one more column per entry of sums: the sum of its expression over all rows before, in `order`.
 

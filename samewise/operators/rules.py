@@ -45,8 +45,8 @@ def exact_rule(column: str, a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull() & (a != b), F.concat_ws("", F.lit(f"{column} differs: "), a.cast("string"), F.lit(" vs "), b.cast("string")))
 
 
-def fuzzy_rule(column: str, a: Column, b: Column, threshold: float = 80.0) -> Column:
-    s = score("ratio", a.cast("string"), b.cast("string"))
+def fuzzy_rule(column: str, s: Column, threshold: float = 80.0) -> Column:
+    """Reason if the score s of both values is below the threshold. s should be a column of its own, for it is read twice."""
     return F.when(s < threshold, F.format_string(f"{column} similarity %.1f < {threshold}", s))
 
 
@@ -81,7 +81,7 @@ class RuleBasedValidator:
             side = first_rows(table.select(key, *have, *([order_by] if order_by and order_by not in (key, *have) else [])), key, order_by)
             side = side.select(F.col(key).alias(f"_key{n}"), *[F.col(c).alias(f"{c}_{n}") for c in have])
             joined = joined.join(side, F.col(f"id{n}") == F.col(f"_key{n}"), "left").drop(f"_key{n}")
-        reasons = [score_rule(self.min_score)]
+        reasons, scores = [score_rule(self.min_score)], {}
         for c in columns:
             if f"{c}_1" not in joined.columns or f"{c}_2" not in joined.columns:
                 continue
@@ -90,11 +90,12 @@ class RuleBasedValidator:
             if kind == "exact":
                 reasons.append(exact_rule(c, a, b))
             elif kind == "fuzzy":
-                reasons.append(fuzzy_rule(c, a, b, rule.get("threshold", 80.0)))
+                scores[f"_ratio_{c}"] = score("ratio", a.cast("string"), b.cast("string"))
+                reasons.append(fuzzy_rule(c, F.col(f"_ratio_{c}"), rule.get("threshold", 80.0)))
             elif kind == "inequality" and rule.get("max_diff_percent") is not None:
                 reasons.append(inequality_rule(c, a, b, rule["max_diff_percent"]))
         for name, rule in self.custom_rules.items():
             reasons.append(F.when(~(rule() if callable(rule) and not isinstance(rule, Column) else rule), F.lit(f"Failed custom rule: {name}")))
-        why = joined.withColumn("_why", F.array_compact(F.array(*reasons)))
+        why = (joined.withColumns(scores) if scores else joined).withColumn("_why", F.array_compact(F.array(*reasons)))
         out = why.select(*pairs.columns, (F.size("_why") == 0).alias("keep"), F.when(F.size("_why") == 0, PASSED).otherwise(F.array_join("_why", "; ")).alias("validation_reason"))
         return ValidationResult(out, {"min_score": self.min_score, "metadata_rules_count": len(self.metadata_rules), "custom_rules_count": len(self.custom_rules)})

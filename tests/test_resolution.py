@@ -1,4 +1,5 @@
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,16 @@ def test_cross_and_consolidation(spark):
         on(**tier, priority_mode="odd")
 
 
+def test_selected_rows_over_batches():
+    ids = [1, 1, 1, 2, None, None, 3]
+    table = pa.table({"df1_id": pa.array(ids, pa.int64()), "v": pa.array([5, 2**60 + 1, None, 1, 4, 9, 0], pa.int64())})
+    for size in (1, 2, 3, 7):
+        batches = [*table.to_batches(max_chunksize=size), *table.slice(0, 0).to_batches()]
+        got = pa.Table.from_batches(C._selected(lambda g: g.sort_values("v").iloc[-1] if g.v.notna().all() else g.iloc[1])(iter(batches)))
+        assert got.drop_columns("_rn").equals(table) and got["_rn"].to_pylist() == [2, 1, 2, 1, 2, 1, 1]
+    assert [*C._selected(lambda g: g.iloc[0])(iter(()))] == []
+
+
 def _judge(reply):
     return lambda: (lambda prompt: reply)
 
