@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.sources.shared import materialize
+from samewise.sources.shared import discard, materialize, new_path
 
 
 def _star(edges: DataFrame, keep_larger: bool) -> DataFrame:
@@ -32,13 +32,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edge set no longer
     changes: then every node points at the least node of its component. Rounds grow with the logarithm
-    of the longest path. Each round is written to the shared folder; only counts and sums reach the driver.
+    of the longest path. The edges are computed once; each round is written to the shared folder and the round before it
+    emptied then. Only counts and sums reach the driver.
     Self loops give a node its own component; null ends are ignored. Raises RuntimeError if max_rounds
     do not suffice, rather than returning unfinished components.
     """
     named = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    nodes = named.select(F.col("a").alias("node")).union(named.select(F.col("b").alias("node")))
-    now = materialize(named.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    every = materialize(named.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    nodes = every.select(F.col("a").alias("node")).union(every.select(F.col("b").alias("node")))
+    now, old = every.where("a <> b"), None
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -47,7 +49,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = materialize(_star(_star(now, True), False), "cc")
+        path = new_path(edges.sparkSession, "cc")
+        now = materialize(_star(_star(now, True), False), "cc", path)
+        if old:
+            discard(edges.sparkSession, old)
+        old = path
         if (after := mark(now)) == seen:
             break
         seen = after

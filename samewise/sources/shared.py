@@ -27,14 +27,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/samewise/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
+def discard(spark: SparkSession, path: str) -> None:
+    """Overwrite the table at path with an empty one. Nothing that is still to run may read it: what was made of it must
+    have been written already."""
+    spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
+
+
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder, to a fresh path unless one is given, and read it back.
 
     This cuts lineage: a lost executor costs at most the job that writes, since later jobs read files
     that outlive it. Columns of type void are stored as strings.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     voids = {c: df[c].cast("string") for c, t in df.dtypes if t == "void"}
     df = df.withColumns(voids) if voids else df
     df.write.parquet(path)
