@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from samewise.operators.order import running, spread
 from samewise.sources.shared import materialize
 
-LIGHT, HEAVIEST, BAND, ROOM = 1000, 1 << 16, 1024, 1 << 18
+LIGHT, HEAVIEST, BAND, ROOM = 64, 1 << 16, 1024, 1 << 18
 _DEALS, _RUNS, _READ = 1009, 32, 1 << 12
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
