@@ -1,32 +1,33 @@
 """Fuzzy matching: similarity joins of one or two name tables.
 
-Names are normalised and equal ones collapsed, so the work is on distinct strings. These are sorted by
-length into tiles of TILE strings; pairs of tiles whose lengths can reach the threshold meet in tasks (each
-tile is a row; a stated set of tiles against tiles, no cross join of rows), where samewise.functions.tiles scores
-them by arrays: bounds that hold for every pair drop most of them, what is left is compared exactly.
+Names are normalised and equal ones collapsed, so the work is on distinct strings. Two ways lead to the same pairs. A grid
+of tiles (samewise.operators.grid) brings together all names whose lengths can reach the threshold, and arrays of bounds
+drop most pairs. For ratio and token_sort_ratio an inverted index of segments (samewise.operators.segments) finds
+candidates by equality; it is taken where many pairs are in reach and the index promises few candidates.
 
 The pair predicate: raw score >= threshold, its float32 not 0, and float32 x multiplier >= threshold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from samewise.errors import DataValidationError
+from samewise.errors import ConfigurationError, DataValidationError
 from samewise.functions import normalize as N
 from samewise.functions import scorers as S
-from samewise.functions.tiles import least_share, score_tiles
 from samewise.operators.cap import degree_cap
+from samewise.operators.grid import grid_pairs
 from samewise.operators.order import spread
+from samewise.operators.segments import SegmentJoin
 from samewise.sources.shared import materialize
 
-TILE = 512
+#: Most names in a tile.
+TILE = 16_384
+#: The index of segments is asked from so many pairs in reach on, and taken if it has so many times fewer candidates.
+MANY, GAIN = 4_000_000_000, 20
 
 
 @dataclass
@@ -44,61 +45,28 @@ class MatchResult:
         return self.pairs.sparkSession.createDataFrame([row], ", ".join(f"{k} long" for k in row))
 
 
-def _score_tiles(name: str, threshold: float, cutoff: float, multiplier: float, self_join: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for tiles in batches:
-            for t in tiles.itertuples(index=False):
-                i, j, raw = score_tiles(name, list(t.texts_a), list(t.texts_b), cutoff, self_join and t.tile_a == t.tile_b)
-                got = raw.astype(np.float32).astype(np.float64)
-                kept = (got != 0) & (got * multiplier >= threshold)
-                yield pd.DataFrame({"name_a": np.asarray(t.names_a, object)[i[kept]], "name_b": np.asarray(t.names_b, object)[j[kept]], "similarity_score": got[kept] * multiplier})
-
-    return run
-
-
-def _tiles(names: DataFrame, name: str, suffix: str) -> DataFrame:
-    """Rows (tile, lengths, names, texts): distinct names in tiles by the length of the text that is scored.
-
-    Tiles are numbered within a length, so no task sees all names.
-    """
-    text = N.sorted_tokens(F.col("name")) if name == "token_sort_ratio" else F.col("name")
-    cut = names.select("name", text.alias("text")).withColumn("length", F.length("text"))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(64)))
-    numbered = salted.withColumn("i", F.row_number().over(Window.partitionBy("length", "salt").orderBy("name"))).withColumn("part", F.floor((F.col("i") - 1) / TILE))
-    sizes = materialize(numbered.groupBy("length", "salt", "part").agg(F.count("*").alias("n")), "tiles")
-    # small tiles of equal length are put together until they hold TILE names
-    run = F.sum("n").over(Window.partitionBy("length").orderBy("part", "salt").rowsBetween(Window.unboundedPreceding, 0))
-    placed = sizes.withColumn("group", F.floor((run - 1) / TILE))
-    joined = numbered.join(placed, ["length", "salt", "part"]).groupBy("length", "group").agg(F.collect_list(F.struct("name", "text")).alias("rows"))
-    return joined.select(
-        F.col("length").alias(f"length_{suffix}"), F.concat_ws("-", F.lpad("length", 9, "0"), F.lpad("group", 9, "0")).alias(f"tile_{suffix}"),
-        F.transform("rows", lambda r: r["name"]).alias(f"names_{suffix}"), F.transform("rows", lambda r: r["text"]).alias(f"texts_{suffix}"),
-    )
-
-
-def name_pairs(left: DataFrame, right: DataFrame | None, scorer: str, threshold: float, multiplier: float = 1.0, scale_cutoff: bool = False) -> DataFrame:
+def name_pairs(left: DataFrame, right: DataFrame | None, scorer: str, threshold: float, multiplier: float = 1.0, scale_cutoff: bool = False, method: str = "auto", tile: int | None = None, tasks: int | None = None) -> DataFrame:
     """Rows (name_a, name_b, similarity_score) of distinct normalised names that satisfy the predicate.
 
     left and right hold a column `name`; without right each unordered pair of different names of left comes
-    once. With scale_cutoff the raw score is held against threshold / multiplier.
+    once. With scale_cutoff the raw score is held against threshold / multiplier. method is grid, segments (ratio and
+    token_sort_ratio with a cutoff that leaves every text a character per segment) or auto; the pairs are the same.
     """
     S.scorer(scorer)
+    if method not in ("auto", "grid", "segments"):
+        raise ConfigurationError("method is auto, grid or segments", method=method)
     cutoff = threshold / multiplier if scale_cutoff else threshold
-    a = _tiles(left.select("name").distinct(), scorer, "a")
-    tiles_a = materialize(a, "tiles")
-    renamed = {c: c[:-1] + "b" for c in tiles_a.columns}
-    tiles_b = tiles_a.withColumnsRenamed(renamed) if right is None else materialize(_tiles(right.select("name").distinct(), scorer, "b"), "tiles")
-    least = least_share(scorer, cutoff)  # lengths that can meet
-    longest = tiles_b.agg(F.max("length_b")).first()[0] or 0
-    low, high = F.ceil(F.col("length_a") * least - 1e-6), F.least(F.lit(longest), F.floor(F.col("length_a") / least + 1e-6)) if least else F.lit(longest)
-    reach = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
-    keys = tiles_a.select("tile_a", F.explode(reach).alias("reach"))
-    pairs = keys.join(tiles_b.select("tile_b", F.col("length_b").alias("reach")), "reach").select("tile_a", "tile_b")
-    if right is None:
-        pairs = pairs.where("tile_a <= tile_b")
-    work = pairs.join(tiles_a, "tile_a").join(tiles_b, "tile_b").select("tile_a", "tile_b", "names_a", "names_b", "texts_a", "texts_b")
-    spread = work.repartition(F.xxhash64("tile_a", "tile_b"))
-    return spread.mapInPandas(_score_tiles(scorer, threshold, cutoff, multiplier, right is None), "name_a string, name_b string, similarity_score double")
+    text = N.sorted_tokens(F.col("name")) if scorer == "token_sort_ratio" else F.col("name")
+    a, b = (None if df is None else materialize(df.select("name").distinct().select("name", text.alias("text")), "distinct") for df in (left, right))
+    indel = scorer in ("ratio", "token_sort_ratio") and 0 < cutoff <= 100
+    if method == "segments" or method == "auto" and indel and (n := a.count()) * (n / 2 if b is None else b.count()) >= MANY:
+        join = SegmentJoin(a, b, cutoff) if indel else None
+        if join is None or not join.applies():
+            if method == "segments":
+                raise ConfigurationError("texts cannot be cut into as many segments as the threshold allows changes", scorer=scorer, cutoff=cutoff)
+        elif method == "segments" or (reach := join.pairs_in_reach()) >= MANY and join.estimate() * GAIN <= reach:
+            return join.pairs(threshold, multiplier)
+    return grid_pairs(a, b, scorer, threshold, cutoff, multiplier, tile or TILE, tasks)
 
 
 def _order(order_by: str, id_column: str, *more: Column) -> Column:
@@ -113,8 +81,9 @@ class FuzzyMatcher:
     threshold: float = 80.0
     scorer: str = "token_sort_ratio"
     max_matches_per_entity: int | None = None
-    n_workers: int = 1
-    batch_size: int = 500
+    #: Tasks and names per tile of the comparison; by default as many as the session's settings and TILE say.
+    n_workers: int | None = None
+    batch_size: int | None = None
     lowercase: bool = True
     strip_whitespace: bool = True
     remove_punctuation: bool = False
@@ -126,6 +95,9 @@ class FuzzyMatcher:
     def __post_init__(self) -> None:
         S.scorer(self.scorer)
 
+    def _name_pairs(self, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+        return name_pairs(left, right, self.scorer, self.threshold, self.score_multiplier, self.scale_cutoff, tile=self.batch_size, tasks=self.n_workers)
+
     def normalised(self, name: Column) -> Column:
         return N.preprocess(name, self.lowercase, self.strip_whitespace, self.remove_punctuation, self.punctuation_pattern)
 
@@ -142,7 +114,7 @@ class FuzzyMatcher:
     def find_name_pairs(self, df: DataFrame, name_column: str = "name") -> DataFrame:
         """Pairs of distinct normalised names; equal names are one and do not pair."""
         names = df.where(F.col(name_column).isNotNull()).select(self.normalised(F.col(name_column)).alias("name")).where("name <> ''")
-        return name_pairs(names, None, self.scorer, self.threshold, self.score_multiplier, self.scale_cutoff)
+        return self._name_pairs(names)
 
     def find_matches(self, df: DataFrame, id_column: str = "id", name_column: str = "name", order_by: str | None = None) -> MatchResult:
         """Pairs (id1, id2, name1, name2, similarity_score) of rows, the earlier row (by order_by, else id; nulls first,
@@ -152,7 +124,7 @@ class FuzzyMatcher:
         take find_name_pairs or the pipeline, which cluster names and join ids afterwards.
         """
         rows = materialize(self._rows(df, id_column, name_column, order_by), "entities")
-        different = name_pairs(rows, None, self.scorer, self.threshold, self.score_multiplier, self.scale_cutoff)
+        different = self._name_pairs(rows)
         alike = different.select("name_a", "name_b", "similarity_score").union(different.select(F.col("name_b"), F.col("name_a"), "similarity_score"))
         same = rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.col("name").alias("name_a"), F.col("name").alias("name_b"), self._same().alias("similarity_score"))
         edges = materialize(alike.union(same.where(F.col("similarity_score") >= self.threshold)), "names")
@@ -177,7 +149,7 @@ class FuzzyMatcher:
         here1, here2 = [c for c in c1 if single or c in df1.columns], [c for c in c2 if single or c in df2.columns]
         long1 = materialize(self._long(df1, id_column1, here1, order_by1), "left")
         long2 = materialize(self._long(df2, id_column2, here2, order_by2), "right")
-        alike = materialize(name_pairs(long1, long2, self.scorer, self.threshold, self.score_multiplier, self.scale_cutoff), "names")
+        alike = materialize(self._name_pairs(long1, long2), "names")
         a = spread(long1, "_ord", "at").select(F.col("id").alias("id1"), F.col("raw").alias("name1"), F.col("_ord").alias("o1"), F.col("name").alias("name_a"), F.col("col").alias("matched_column1"), F.col("at").alias("at1"))
         b = long2.select(F.col("id").alias("id2"), F.col("raw").alias("name2"), F.col("_ord").alias("o2"), F.col("name").alias("name_b"), F.col("col").alias("matched_column2"), F.col("at").alias("at2"))
         pairs = a.join(alike, "name_a").join(b, "name_b")

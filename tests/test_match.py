@@ -129,3 +129,66 @@ def test_cross(spark):
     assert {(r.id1, r.id2, r.matched_column1) for r in many.pairs.collect()} == {("C1", "E1", "name"), ("C2", "E2", "name"), ("C1", "E3", "short")}
     assert many.metadata["total_combinations_tried"] == 3
     assert M.FuzzyMatcher().find_cross_matches(left.limit(0), right, "cid", "eid", "name", "title").pairs.count() == 0
+
+
+@pytest.mark.parametrize("scorer", sorted(S.SCORERS))
+def test_blocks_of_longer_lists_equal_the_scorers(scorer, monkeypatch):
+    from samewise.functions import tiles as T
+
+    monkeypatch.setattr(T, "BLOCK", 16)
+    monkeypatch.setattr(T, "TOKENS", 3)
+    monkeypatch.setattr(T, "DEPTH", 2)
+    rnd = random.Random(scorer)
+    words = ["red", "bolt", "bolts", "aaaaaaa", "aabaaa", "supply", "supplies", "ab", "ba", "ééé", "x  y", "bolt bolt"]
+    a = sorted({" ".join(rnd.choice(words) for _ in range(rnd.randint(1, rnd.choice([2, 3, 9])))) for _ in range(90)}, key=len)
+    if scorer == "token_sort_ratio":
+        a = [" ".join(sorted(x.split())) for x in a]
+    f = S.scorer(scorer)
+    scores = {(i, j): f(x, y) for i, x in enumerate(a) for j, y in enumerate(a) if i < j}
+    for cutoff in (0.0, 0.75, 0.92) if scorer.startswith("jaro") else (0.0, 55, 70, 86, 96):
+        i, j, raw = score_tiles(scorer, a, a, cutoff, True)
+        assert dict(zip(zip(i.tolist(), j.tolist(), strict=True), raw.tolist(), strict=True)) == {k: v for k, v in scores.items() if v >= cutoff}, cutoff
+
+
+@pytest.mark.parametrize("scorer", ["ratio", "token_sort_ratio"])
+def test_segments_find_what_the_grid_finds(spark, scorer):
+    rnd = random.Random(21)
+    words = ["red", "green", "big", "small", "bolt", "bolts", "gear", "widget", "supply", "supplies", "company", "limited"]
+    names = {" ".join(rnd.choice(words) for _ in range(rnd.randint(2, 5))) for _ in range(250)}
+    for n in sorted(names)[:120]:  # with insertions, deletions and exchanges
+        for _ in range(2):
+            t = list(n)
+            for _ in range(rnd.randint(1, 4)):
+                at = rnd.randrange(len(t))
+                t[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "e"])
+            names.add(" ".join("".join(t).split()))
+    f = S.scorer(scorer)
+    names = sorted(n for n in names if len(n) > 6)
+    scores = {(a, b): f(a, b) for i, a in enumerate(names) for b in names[i + 1 :]}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    odd, even = names[1::2], names[::2]
+    halves = [spark.createDataFrame([(n,) for n in side], "name string") for side in (odd, even)]
+    for cutoff in (82.0, 93.5, 100.0) if scorer == "ratio" else (88.0, 97.0):
+        want = {frozenset(k) for k, v in scores.items() if v >= cutoff}
+        for method in ("segments", "grid"):
+            rows = M.name_pairs(df, None, scorer, cutoff, method=method).collect()
+            assert {frozenset((r.name_a, r.name_b)) for r in rows} == want and len(rows) == len(want), (method, cutoff)
+        crossed = {(r.name_a, r.name_b) for r in M.name_pairs(*halves, scorer, cutoff, method="segments").collect()}
+        assert crossed == {(a, b) for a in odd for b in even if scores.get((a, b), scores.get((b, a))) >= cutoff}
+
+
+def test_choice_of_method(spark, monkeypatch):
+    names = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("name")).withColumn("name", F.substring("name", 1, 24))
+    near = names.union(names.limit(40).select(F.concat(F.substring("name", 1, 11), F.lit("?"), F.substring("name", 12, 13))))
+    want = sorted(map(tuple, M.name_pairs(near, None, "ratio", 90.0, method="grid").select(F.least("name_a", "name_b"), F.greatest("name_a", "name_b"), "similarity_score").collect()))
+    assert len(want) == 40
+    monkeypatch.setattr(M, "MANY", 1000)
+    taken = []
+    monkeypatch.setattr(M.SegmentJoin, "pairs", lambda self, *a, f=M.SegmentJoin.pairs: taken.append(1) or f(self, *a))
+    got = M.name_pairs(near, None, "ratio", 90.0)
+    assert sorted(map(tuple, got.select(F.least("name_a", "name_b"), F.greatest("name_a", "name_b"), "similarity_score").collect())) == want and taken == [1]
+    same = spark.range(300).select(F.format_string("customer number %09d", "id").alias("name"))  # every segment but one is everywhere
+    assert M.name_pairs(same, None, "ratio", 96.0).count() > 300 and taken == [1]
+    with pytest.raises(Exception, match="segments"):
+        M.name_pairs(near, None, "jaro", 0.9, method="segments")
+    assert M.name_pairs(near.limit(0), None, "ratio", 90.0, method="segments").count() == 0
