@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import warnings
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -92,12 +93,18 @@ def clean_for_excel(df: DataFrame) -> DataFrame:
     return df.withColumns({c: collapse(F.regexp_replace(F.col(f"`{c}`"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")) for c in strings})
 
 
-def sanitize_value(text: str, strict: bool = False, allow_html: bool = False, max_length: int = 10_000) -> str:
+def sanitize_value(text: str, strict: bool = False, allow_html: bool = False, max_length: int = 10_000, on_overflow: str = "raise") -> str | None:
     """One string: length, control characters, NFKC, markup (escaped if allow_html), and in strict mode an error
-    for anything that looks like SQL or a path climb, else such path parts removed."""
+    for anything that looks like SQL or a path climb, else such path parts removed. A longer text raises, is cut with a
+    warning (on_overflow='truncate'; strict mode raises all the same) or becomes None ('null')."""
+    if on_overflow not in ("raise", "truncate", "null"):
+        raise DataValidationError("on_overflow is raise, truncate or null", on_overflow=on_overflow)
     if len(text) > max_length:
-        if strict:
+        if strict or on_overflow == "raise":
             raise SecurityError("text too long", length=len(text), limit=max_length)
+        if on_overflow == "null":
+            return None
+        warnings.warn(f"text of {len(text)} characters cut to {max_length}", UserWarning, stacklevel=2)
         text = text[:max_length]
     text = unicodedata.normalize("NFKC", re.sub(_CONTROL, "", text))
     if allow_html:
@@ -125,18 +132,18 @@ def sanitize_secure(text: Column, **how) -> Column:
 
 
 def find_secrets(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """Rows keys, type, value, nth, position: every secret that a detector finds in the text column, in order within its
-    type; position counts the characters before what the detector matched."""
+    """Rows keys, type, value, nth, position, end: every secret that a detector finds in the text column, in order within
+    its type; what the detector matched is text[position:end], counted in characters from 0."""
     whole = F.coalesce(F.col(text), F.lit(""))
 
     def of(kind: str, pattern: str) -> Column:
         found = F.lit(f"(?i){pattern}")
         values, hits, between = F.regexp_extract_all(whole, found, F.lit(1 if "(" in pattern else 0)), F.regexp_extract_all(whole, found, F.lit(0)), F.split(whole, f"(?i){pattern}")
         before = lambda i: F.length(F.array_join(F.slice(between, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(hits, F.lit(1), i), ""))
-        return F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("type"), v.alias("value"), (i + 1).alias("nth"), before(i).alias("position")))
+        return F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("type"), v.alias("value"), (i + 1).alias("nth"), before(i).alias("position"), (before(i) + F.length(F.get(hits, i))).alias("end")))
 
     found = [of(*x) for x in SECRETS.items()]
-    return df.select(*keys, F.explode(F.flatten(F.array(*found))).alias("s")).select(*keys, "s.type", "s.value", "s.nth", "s.position")
+    return df.select(*keys, F.explode(F.flatten(F.array(*found))).alias("s")).select(*keys, "s.type", "s.value", "s.nth", "s.position", "s.end")
 
 
 def extract_json(text: Column) -> Column:

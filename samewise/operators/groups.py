@@ -93,9 +93,9 @@ def entities_to_keep(groups: DataFrame, strategy: str = "first", pairs: DataFram
 
 
 def remove_duplicates(df: DataFrame, groups: DataFrame, id_column: str = "id", strategy: str = "first", pairs: DataFrame | None = None) -> DataFrame:
-    """The rows of df whose id survives."""
-    keep = entities_to_keep(groups, strategy, pairs).select(F.col("entity_id").alias(id_column)).distinct()
-    return df.join(keep, id_column, "left_semi")
+    """The rows of df whose id survives; rows without id are nobody's duplicates and stay."""
+    keep = entities_to_keep(groups, strategy, pairs).where("entity_id is not null").select(F.col("entity_id").alias("_kept")).distinct()
+    return df.where(F.col(id_column).isNull()).union(df.join(keep, F.col(id_column) == F.col("_kept"), "left_semi"))
 
 
 def removal_summary(groups: DataFrame, cleaned: DataFrame) -> DataFrame:

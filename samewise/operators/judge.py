@@ -16,10 +16,11 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.errors import ConfigurationError
+from samewise.operators.order import running
 from samewise.operators.pairs import first_rows
 from samewise.operators.rules import ValidationResult
 from samewise.sources.shared import materialize
@@ -47,10 +48,20 @@ def ask(client: Client, prompt: str, retries: int, pause: float = 1.0) -> dict |
     return None
 
 
-def _answers(todo: DataFrame, key: str, run, schema: str, n_workers: int, progress: str | None, groups: int) -> DataFrame:
-    """What run says of the rows of todo, written once; with a progress folder in groups of rows by the hash of key,
-    appended there, without asking about keys that are there already."""
-    asked = lambda rows: rows.repartition(n_workers).mapInPandas(run, schema)
+#: What tells pairs apart: rows that agree in all of these are asked about once.
+_PAIR = ("id1", "id2", "name1", "name2", "similarity_score")
+
+
+def _row_key(columns: list[str]) -> Column:
+    """The values themselves, as JSON, so that no two different pairs have one key; nulls are left out of the object."""
+    return F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in _PAIR if c in columns]))
+
+
+def _answers(todo: DataFrame, key: str, run, schema: str, n_workers: int | None, progress: str | None, groups: int) -> DataFrame:
+    """What run says of the rows of todo, written once; with a progress folder in equal groups of rows in the order of
+    key, appended there, without asking about keys that are there already."""
+    tasks = n_workers or int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = lambda rows: rows.repartition(tasks).mapInPandas(run, schema)
     if progress is None:
         return materialize(asked(todo), "answers")
     if groups < 1:
@@ -59,10 +70,10 @@ def _answers(todo: DataFrame, key: str, run, schema: str, n_workers: int, progre
     spark.createDataFrame([], schema).write.mode("append").parquet(progress)
     done = spark.read.schema(schema).parquet(progress)
     answer_key = done.columns[0]
-    left = materialize(todo.join(done.select(F.col(answer_key).alias(key)).distinct(), key, "left_anti"), "open")
-    group = F.pmod(F.xxhash64(key), F.lit(groups))
+    left = running(todo.join(done.select(F.col(answer_key).alias(key)).distinct(), key, "left_anti"), [F.col(key)], {"_at": F.lit(1)})
+    group = F.floor(F.col("_at") * groups / F.lit(max(left.count(), 1)))
     for g in range(groups):
-        part = left.where(group == g)
+        part = left.where(group == g).drop("_at")
         if not part.isEmpty():
             asked(part).write.mode("append").parquet(progress)
     return spark.read.schema(schema).parquet(progress).dropDuplicates([answer_key])
@@ -89,7 +100,7 @@ class LLMValidator:
 
     client: Callable[[], Client]
     batch_size: int = 10
-    n_workers: int = 4
+    n_workers: int | None = None
     max_retries: int = 3
     metadata_columns: list[str] = field(default_factory=list)
     instructions: str = ""
@@ -120,9 +131,12 @@ class LLMValidator:
     def validate(
         self, pairs: DataFrame, entities: DataFrame, id_column: str = "id", order_by: str | None = None, entities2: DataFrame | None = None, id_column2: str | None = None, decided: DataFrame | None = None, progress: str | None = None,
     ) -> ValidationResult:
-        """Annotated pairs. A second table serves id2. decided (id1, id2, keep, validation_reason) holds earlier decisions,
-        which are reused; progress is a folder where decisions are kept as they are made."""
-        keyed = pairs.withColumn("_pair", F.xxhash64("id1", "id2"))
+        """Annotated pairs. A second table serves id2. decided (id1, id2, keep, validation_reason; name1, name2 and
+        similarity_score if it has them) holds earlier decisions, which are reused; progress is a folder where decisions are
+        kept as they are made. A decision is about one row: pairs of the same ids with other names or scores get their own,
+        but for decided without these columns, which speaks of all rows of its ids."""
+        told = [c for c in pairs.columns if decided is None or c in decided.columns]
+        keyed = pairs.withColumn("_pair", _row_key(pairs.columns)).withColumn("_told", _row_key(told)).dropDuplicates(["_pair"])
         for n, table, key in (("1", entities, id_column), ("2", entities2 if entities2 is not None else entities, id_column2 or id_column)):
             have = [c for c in self.metadata_columns if c in table.columns and c != key]
             if have:
@@ -130,11 +144,12 @@ class LLMValidator:
                 keyed = keyed.join(side, F.col(f"id{n}") == F.col("_k"), "left").drop("_k")
         todo = keyed
         if decided is not None:
-            todo = keyed.join(decided.select(F.xxhash64("id1", "id2").alias("_pair")), "_pair", "left_anti")
-        answered = _answers(todo, "_pair", self._judge(), "_pair long, keep boolean, validation_reason string", self.n_workers, progress or self.progress, self.progress_groups)
+            earlier = decided.withColumn("_told", _row_key(told)).select("_told", "keep", "validation_reason").dropDuplicates(["_told"])
+            todo = keyed.join(earlier, "_told", "left_anti")
+        answered = _answers(todo.drop("_told"), "_pair", self._judge(), "_pair string, keep boolean, validation_reason string", self.n_workers, progress or self.progress, self.progress_groups)
         if decided is not None:
-            answered = answered.union(decided.select(F.xxhash64("id1", "id2").alias("_pair"), "keep", "validation_reason"))
-        out = pairs.withColumn("_pair", F.xxhash64("id1", "id2")).join(answered.dropDuplicates(["_pair"]), "_pair", "left").drop("_pair")
+            answered = answered.select("_pair", "keep", "validation_reason").union(keyed.select("_pair", "_told").join(earlier, "_told").select("_pair", "keep", "validation_reason"))
+        out = pairs.withColumn("_pair", _row_key(pairs.columns)).join(answered.dropDuplicates(["_pair"]), "_pair", "left").drop("_pair")
         kept = out.withColumn("keep", F.coalesce("keep", F.lit(True))).withColumn("validation_reason", F.coalesce("validation_reason", F.lit(KEPT_BY_DEFAULT)))
         return ValidationResult(kept, {"batch_size": self.batch_size, "metadata_columns_used": self.metadata_columns})
 
@@ -158,7 +173,7 @@ def _candidate(c) -> dict:
     return {**c, "facts": {x["key"]: x["value"] for x in pairs}}
 
 
-def consolidate_by_judge(matches: DataFrame, df1: DataFrame, id1: str, client: Callable[[], Client], id2: str = "df2_id", batch_size: int = 5, n_workers: int = 4, max_retries: int = 3, instructions: str = "", pause: float = 1.0, enabled: bool = True, decided: DataFrame | None = None, df2: DataFrame | None = None, df2_key: str = "id", metadata_columns: tuple[str, ...] = (), progress: str | None = None, progress_groups: int = 8) -> DataFrame:
+def consolidate_by_judge(matches: DataFrame, df1: DataFrame, id1: str, client: Callable[[], Client], id2: str = "df2_id", batch_size: int = 5, n_workers: int | None = None, max_retries: int = 3, instructions: str = "", pause: float = 1.0, enabled: bool = True, decided: DataFrame | None = None, df2: DataFrame | None = None, df2_key: str = "id", metadata_columns: tuple[str, ...] = (), progress: str | None = None, progress_groups: int = 8) -> DataFrame:
     """One row per id of df1 with main_<id2>, main_name, main_similarity_score, llm_reasoning, total_matches and
     other_candidates (ids, best score first). metadata_columns of df2 (by df2_key) are told to the judge.
 

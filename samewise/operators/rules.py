@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from inspect import signature
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from samewise.functions.scorers import score
@@ -58,18 +60,38 @@ def inequality_rule(column: str, a: Column, b: Column, max_diff_percent: float)
     return F.when((top > 0) & x.isNotNull() & y.isNotNull() & (F.when(top > 0, diff) > max_diff_percent), F.format_string(f"{column} difference %.1f%% > {max_diff_percent}%%", F.when(top > 0, diff)))
 
 
+def _ask(predicates: dict[str, Callable[[dict], bool]]):
+    """A function of pairs (structs): by predicate whether it holds, true if it raised, and whether it did."""
+
+    @F.pandas_udf(", ".join(f"`{n}` struct<holds: boolean, failed: boolean>" for n in predicates))
+    def run(pairs: pd.DataFrame) -> pd.DataFrame:
+        rows = pairs.astype(object).where(pairs.notna(), None).to_dict("records")
+
+        def one(rule: Callable[[dict], bool], row: dict) -> dict:
+            try:
+                return {"holds": bool(rule(row)), "failed": False}
+            except Exception:  # whatever a rule raises keeps the pair
+                return {"holds": True, "failed": True}
+
+        return pd.DataFrame({n: [one(rule, row) for row in rows] for n, rule in predicates.items()})
+
+    return run
+
+
 @dataclass
 class RuleBasedValidator:
     """Keeps pairs that pass the score rule, every metadata rule and every custom rule; all rules are evaluated.
 
     metadata_rules: column -> {'operator': exact | fuzzy | inequality, 'threshold', 'max_diff_percent'}; unknown
     operators and missing columns pass. custom_rules: name -> Column over the pair columns and the metadata
-    columns as <column>_1 and <column>_2, true for pairs to keep (null keeps).
+    columns as <column>_1 and <column>_2, true for pairs to keep (null keeps); a function without parameters that returns
+    such a Column; or a Python predicate of a pair, a dict of these columns. Predicates run in Arrow batches; one
+    that raises keeps the pair, and metadata['rule_errors'] counts these by rule once the result has been read.
     """
 
     min_score: float = 90.0
     metadata_rules: dict[str, dict] = field(default_factory=dict)
-    custom_rules: dict[str, Column | Callable[[], Column]] = field(default_factory=dict)
+    custom_rules: dict[str, Column | Callable[[], Column] | Callable[[dict], bool]] = field(default_factory=dict)
 
     def validate(self, pairs: DataFrame, entities: DataFrame, id_column: str = "id", order_by: str | None = None, entities2: DataFrame | None = None, id_column2: str | None = None) -> ValidationResult:
         """Annotate pairs with rows of entities, by id (the first row of an id). A second table serves id2."""
@@ -94,8 +116,16 @@ class RuleBasedValidator:
                 reasons.append(fuzzy_rule(c, F.col(f"_ratio_{c}"), rule.get("threshold", 80.0)))
             elif kind == "inequality" and rule.get("max_diff_percent") is not None:
                 reasons.append(inequality_rule(c, a, b, rule["max_diff_percent"]))
+        predicates = {n: r for n, r in self.custom_rules.items() if not isinstance(r, Column) and len(signature(r).parameters)}
         for name, rule in self.custom_rules.items():
-            reasons.append(F.when(~(rule() if callable(rule) and not isinstance(rule, Column) else rule), F.lit(f"Failed custom rule: {name}")))
-        why = (joined.withColumns(scores) if scores else joined).withColumn("_why", F.array_compact(F.array(*reasons)))
+            holds = F.col("_said")[name]["holds"] if name in predicates else rule if isinstance(rule, Column) else rule()
+            reasons.append(F.when(~holds, F.lit(f"Failed custom rule: {name}")))
+        told = joined.withColumns(scores) if scores else joined
+        metadata = {"min_score": self.min_score, "metadata_rules_count": len(self.metadata_rules), "custom_rules_count": len(self.custom_rules)}
+        if predicates:
+            told = told.withColumn("_said", _ask(predicates)(F.struct(*[F.col(f"`{c}`") for c in joined.columns])))
+            metadata["rule_errors"] = errors = Observation()
+            told = told.observe(errors, *[F.count_if(F.col("_said")[n]["failed"]).alias(n) for n in predicates])
+        why = told.withColumn("_why", F.array_compact(F.array(*reasons)))
         out = why.select(*pairs.columns, (F.size("_why") == 0).alias("keep"), F.when(F.size("_why") == 0, PASSED).otherwise(F.array_join("_why", "; ")).alias("validation_reason"))
-        return ValidationResult(out, {"min_score": self.min_score, "metadata_rules_count": len(self.metadata_rules), "custom_rules_count": len(self.custom_rules)})
+        return ValidationResult(out, metadata)

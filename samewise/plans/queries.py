@@ -182,7 +182,8 @@ def excel_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets found in documents."""
-    return N.find_secrets(_table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    found = N.find_secrets(_table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return found.select("doc_id", "type", "value", "nth", "position")
 
 
 def burst_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,3 +260,44 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     assert spark.read.parquet(str(tmp_path / "clean.parquet")).count() == 4
     assert main(["cross-match", "-i", str(tmp_path / "in.csv"), "--input2", str(tmp_path / "in.csv"), "-o", str(tmp_path / "x"), "--threshold", "99"], spark) == 0
     assert R.load_cross(spark, str(tmp_path / "x")).cross_matches.count() == 5
+
+
+def test_rows_without_id_survive(spark):
+    rows = spark.createDataFrame([(1, "acme"), (2, "acme"), (None, "zeta"), (3, "solo"), (None, "acme")], "id long, name string")
+    result = R.DeduplicationPipeline(FuzzyMatcher(threshold=90), None).run(rows)
+    for strategy in ("first", "last", "highest_score"):
+        got = sorted((r.name, r.id or 0) for r in result.remove_duplicates(rows, strategy=strategy).collect())
+        assert ("zeta", 0) in got and ("solo", 3) in got and ("acme", 0) in got, strategy
+
+
+def test_two_rows_of_one_id_pair_get_their_own_decisions(spark):
+    pairs = spark.createDataFrame([(1, 2, "a", "b", 90.0), (1, 2, "a", "c", 95.0), (None, 2, None, "b", 80.0), (1, 2, "a", "c", 95.0)], "id1 long, id2 long, name1 string, name2 string, similarity_score double")
+    entities = spark.createDataFrame([(1, "x"), (2, "y")], "id long, name string")
+    client = lambda: (lambda p: '{"decisions": [{"pair_index": 0, "is_duplicate": %s, "reason": "said"}]}' % ("false" if "'c'" in p else "true"))
+    out = J.LLMValidator(client, batch_size=1).validate(pairs, entities)
+    assert sorted((r.name2, r.keep, r.validation_reason) for r in out.annotated.collect()) == [("b", True, "said"), ("b", True, "said"), ("c", False, "said"), ("c", False, "said")]
+    again = J.LLMValidator(_judge("?"), max_retries=1).validate(pairs, entities, decided=out.annotated.where("name2 = 'c'"))
+    assert sorted((r.name2, r.keep, r.validation_reason) for r in again.annotated.collect()) == [("b", True, J.KEPT_ON_FAILURE)] * 2 + [("c", False, "said")] * 2
+    by_ids = J.LLMValidator(_judge("?"), max_retries=1).validate(pairs, entities, decided=spark.createDataFrame([(1, 2, False, "before")], "id1 long, id2 long, keep boolean, validation_reason string"))
+    assert sorted(r.validation_reason for r in by_ids.annotated.collect()) == [J.KEPT_ON_FAILURE, "before", "before", "before"]
+
+
+def test_python_predicates(spark, df):
+    pairs = FuzzyMatcher(threshold=60).find_matches(df).pairs
+    rows = pairs.collect()
+
+    def same_start(pair):
+        return pair["name1"][:1] == pair["name2"][:1]
+
+    def raises(pair):
+        return 1 / 0 if pair["country_1"] is not None else False
+
+    out = RuleBasedValidator(0, custom_rules={"start": same_start, "bad": raises, "column": lambda: F.col("similarity_score") > 0}).validate(pairs, df)
+    got = {(r.id1, r.id2): r for r in out.annotated.collect()}
+    countries = {r.id: r.country for r in df.collect()}
+    for r in rows:
+        said = got[r.id1, r.id2]
+        start, known = r.name1[:1] == r.name2[:1], countries[r.id1] is not None
+        assert said.keep == (start and known)
+        assert ("Failed custom rule: start" in said.validation_reason) == (not start) and ("Failed custom rule: bad" in said.validation_reason) == (not known)
+    assert out.metadata["rule_errors"].get == {"start": 0, "bad": sum(countries[r.id1] is not None for r in rows)} and rows
