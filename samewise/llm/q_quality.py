@@ -31,7 +31,7 @@ win AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s
         FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
 cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY r),
-f AS (SELECT w.r, doc_id, len(ws) AS n_words,
+f AS (SELECT w.r, doc_id, text, len(ws) AS n_words,
         coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
@@ -46,8 +46,9 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
          least({Q.BINS}, coalesce(2 * word_chars // nullif(n_words, 0), 0))] AS bins FROM f),
 good AS (SELECT doc_id, max(quality) >= 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
 st AS (SELECT *, list_min(list_transform(range(1, {len(Q.RULES) + 1}), lambda i: CASE WHEN bins[i] > 0 THEN i * {Q.BINS} - bins[i] END)) AS first FROM b),
+held AS (SELECT any_value(stratum) AS stratum, any_value(first) AS first, bool_or(good) AS good FROM st JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY text),
 cells AS (SELECT stratum, step, count(*) FILTER (good) AS n, count(*) FILTER (good AND first <= step) AS k, count(*) FILTER (NOT good AND first <= step) AS bad
-          FROM st JOIN good USING (doc_id), range(0, {len(Q.RULES) * Q.BINS}) AS ss(step) WHERE NOT base_failed GROUP BY ALL),
+          FROM held, range(0, {len(Q.RULES) * Q.BINS}) AS ss(step) GROUP BY ALL),
 tails AS (SELECT *, CASE WHEN k >= n * {Q.RISK!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
             exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({Q.RISK!r}) + (n - i) * ln(1 - {Q.RISK!r})))) END AS tail FROM cells),
 cut AS (SELECT stratum, -max({{'gain': bad - {Q.COST} * k, 'back': -step}}).back AS chosen FROM tails WHERE tail <= {_LEVEL!r} GROUP BY stratum HAVING max(bad - {Q.COST} * k) > 0)

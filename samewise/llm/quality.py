@@ -7,8 +7,9 @@ the base rules are a holdout: a step is certified if the exact binomial tail P(B
 level, k being the number of good documents among n that it rejects. That tail grows with k, and k grows along
 the sequence, so testing from the first step on and stopping at the first failure (fixed-sequence testing) needs
 no correction along it; DELTA is divided by the number of strata (Bonferroni), so that with probability 1 - DELTA
-no stratum loses more than RISK of its good documents. Among certified steps the one with the best
-(bad rejected - COST x good rejected) is taken, the first on ties. A stratum needs 162 labelled good documents
+no stratum loses more than RISK of its good texts. Copies of a text are no independent trials, so the holdout holds
+every distinct text once, good if one of its copies is. Among certified steps the one with the best
+(bad rejected - COST x good rejected) is taken, the first on ties. A stratum needs 162 distinct labelled good texts
 without a false rejection; fewer certify nothing.
 
 Edge cases: null text counts as empty (no words: base_failed); a label without document, or with null
@@ -57,7 +58,7 @@ def _covered(hashes: Column) -> Column:
 
 
 def features(text: Column) -> Column:
-    """struct of counts (long) of one whole text."""
+    """struct of counts (long) of one whole text, and its hash (mark)."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     return let(
@@ -69,6 +70,7 @@ def features(text: Column) -> Column:
             let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("distinct"))).alias("lines"),
             _repeat_words(w).alias("n_repeat_words"),
             F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long").alias("n_upper"),
+            F.xxhash64(text).alias("mark"),
         ),
     )
 
@@ -133,8 +135,8 @@ def cutoffs(step: int) -> dict[str, int]:
 
 def certify(labelled: DataFrame, f: str = "f", good: str = "good", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """From rows with the features `f` and the boolean `good`: one row per stratum and step (at most strata x rules x
-    BINS) with n, k, bad rejected, tail and whether it is certified."""
-    passed = labelled.where(~base_failed(F.col(f)))
+    BINS) with n, k, bad rejected, tail and whether it is certified. Rows of one text are one trial."""
+    passed = labelled.where(~base_failed(F.col(f))).groupBy(F.col(f)["mark"]).agg(F.first(f).alias(f), F.max(good).alias(good))
     counts = passed.select(_stratum(F.col(f)).alias("stratum"), F.col(good).alias("good"), first_step(F.col(f)).alias("first")).groupBy("stratum", "first").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
     spread = counts.select("stratum", "g", "b", "first", F.explode(F.sequence(F.lit(0), F.lit(len(RULES) * BINS - 1))).alias("step"))
     within = F.col("first") <= F.col("step")

@@ -63,6 +63,45 @@ def test_stages_keep_columns_and_take_anything(spark, tmp_path):
     assert kept.count() == 1
 
 
+def test_quality_stage_where_a_stratum_certifies(spark, tmp_path):
+    """The certified rejection of stage 1 against plain Python: cutoffs by exact sums over distinct labelled texts."""
+    from math import comb
+
+    rows, labels = [], []
+    for i in range(500):
+        bad = i % 7 == 0
+        words = [f"w{i}x{j}" for j in range(55)] + (["##%"] * (3 + i % 5) if bad else ["#"] * (i % 97 == 1))
+        rows.append((i, " ".join(words) if i % 50 else f"short {i}", "en", "a", 1))
+        if i % 3:
+            labels.append((i, int(not bad), 0))
+    rows += [(600 + i, rows[7][1], "en", "a", 1) for i in range(150)] + [(800, None, None, None, None)]
+    labels += [(600 + i, 1, 0) for i in range(150)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    def step(text):
+        w = text.split()
+        symbols = sum(c in "#*$%&|<>" for c in text)
+        bins = [min(50, 50 * symbols // sum(map(len, w))), 0, 0, 0, min(50, 2 * sum(map(len, w)) // len(w))]
+        return min((n * 50 + 50 - b for n, b in enumerate(bins) if b), default=None)
+
+    quality_of, texts = dict((i, q) for i, q, _ in labels), {}
+    for i, t, *_ in rows:
+        if i in quality_of and t and len(t.split()) >= 50:
+            texts[t] = max(texts.get(t, 0), quality_of[i])
+    good, bad = [step(t) for t, q in texts.items() if q], [step(t) for t, q in texts.items() if not q]
+    n, best = len(good), (0, None)
+    for s in range(250):
+        k, gain = sum(g is not None and g <= s for g in good), sum(b is not None and b <= s for b in bad)
+        if k < n * 0.025 and sum(comb(n, j) * 0.025**j * 0.975 ** (n - j) for j in range(k + 1)) <= 0.05 / 3 and gain - 10 * k > best[0]:
+            best = (gain - 10 * k, s)
+    assert best[1] is not None
+    want = sorted(i for i, t, *_ in rows if t and len(t.split()) >= 50 and not (step(t) is not None and step(t) <= best[1]))
+    got = C.quality_rules(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == want
+    assert 150 < len(want) < len([1 for r in rows if r[1] and len(r[1].split()) >= 50])
+
+
 def docs_lit():
     from pyspark.sql import functions as F
 

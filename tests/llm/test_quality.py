@@ -140,3 +140,17 @@ def test_against_brute_force(spark):
     for step in (0, 17, 49, 50, 120, 249):
         got = labelled.where(Q.rejected(F.col("f"), {1: step, 2: 0})).collect()
         assert {r.doc_id for r in got} == {r.doc_id for r in hit(step)}
+
+
+def test_copies_are_one_trial(spark, tmp_path):
+    """162 copies of a good text certify nothing, 162 texts do; and copies of a rejected good text count once."""
+    bad = [(1000 + i, words_of(1000 + i, 60, "##%")) for i in range(20)]
+    for name, good in (("copies", [(i, words_of(0, 60)) for i in range(162)]), ("texts", [(i, words_of(i, 60)) for i in range(162)]), ("both", [(i, words_of(i % 200, 60, "##%" if i % 200 == 0 else "")) for i in range(600)])):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(good + bad, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        compare(spark, "op1", op1_quality_rules, OP1_SQL, path)
+        kept = {r.doc_id: r.kept for r in op1_quality_rules(spark, path).collect()}
+        assert all(kept[i] == (name == "copies") for i, _ in bad) or name == "both", name
+        if name == "both":  # of 200 texts one is rejected by what rejects the bad ones: too many for 200, so nothing is
+            assert all(kept.values())
