@@ -2,15 +2,16 @@
 
 A page is cut into blocks at block-level tags. Pass one decides blocks: bad inside menus, headers, footers,
 sidebars, forms and elements whose class, id or role names such a part, an advert, a notice or reader comments;
-bad if most of it is link text; good if long with many stop words; bad if long with few of them, unless it
-stands in an <article> or <main>; on a page with no good block and under KNOWN_SHARE of stop words, which
+bad if most of it is link text, unless it stands between two good blocks; good if long with many stop words; bad if long with
+few of them, unless it stands between two good ones or in an <article> or <main>; on a page with no good block and under KNOWN_SHARE of stop words, which
 is in none of their languages, long blocks are good without them; all else is undecided. Pass two gives an
 undecided block the label of the nearest decided neighbour: in an article or main element among those of the
 same element that were decided by their words or links (without any it is good), elsewhere among all (without
-any it is bad); at equal distance good wins. Scripts, styles, head and comments of the markup are no blocks.
+any it is bad); at equal distance good wins. On a page with no good block all undecided ones are good. Scripts, styles, head and comments of the markup are no blocks.
 
 A name hints at a part if it consists of hint words, numbers and words like "box" or "left" only (sidebar-2,
-adBox; not related-work, has-sidebar or data-id). Inside a line an element with a hint is left out of its block,
+adBox), has a word for reader comments (wp-comments-list) or begins or ends with one for sidebars or adverts (ad-top-1); not related-work,
+has-sidebar, ad-free or data-id. An article whose name hints at comments is a comment. Inside a line an element with a hint is left out of its block,
 which else stays whole. An element with a hint, or a form, is no such part if it holds the page's main element, nearly
 all of its long text, or its articles with half of that text. Paragraphs, list items, table cells and rows end where the next begins.
 
@@ -49,18 +50,29 @@ STOP_WORDS = frozenset(
 # Words in class and id attributes that name parts outside the article.
 HINTS = frozenset(
     """ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice
-    alert popup modal overlay newsletter subscribe signup login sidebar aside menu nav navbar navigation breadcrumb
-    breadcrumbs pagination pager toolbar masthead footer comment comments respond reply replies disqus social share
-    sharing related recommended widget form search skip""".split()
+    alert popup modal overlay newsletter subscribe signup login sidebar rail aside menu nav navbar navigation breadcrumb
+    breadcrumbs pagination pager toolbar masthead footer comment comments commentlist respond reply replies disqus social
+    share sharing related recommended widget form search skip advertising adslot cookieconsent""".split()
 )
 # Parts that a name of such a part may have besides.
 _BESIDES = frozenset(
-    """area bar block body bottom box col column container content entry extra fixed global group header heading inner item
-    items left link links list main outer page panel post posts primary right row secondary section site small sticky text
-    title top unit wrap wrapper zone""".split()
+    """area article articles bar block body bottom box button buttons col column container content entry extra fixed global
+    group header heading icons inner item items law left link links list main outer page panel post posts primary right row
+    secondary section site slot small sticky stories text thread title tools top unit user wrap wrapper zone""".split()
 )
 # Hints at reader comments.
-_COMMENTS = frozenset("comment comments respond reply replies disqus".split())
+_COMMENTS = frozenset("comment comments commentlist respond reply replies disqus reviews".split())
+# Words that make any name a part if they come last, or first; words of states and of what is not there,
+# whose names are no parts; and first and last words of parts that neither word names alone.
+_ENDS = frozenset("comment comments commentlist disqus sidebar rail ad ads advert adverts advertisement advertising".split())
+_STARTS = frozenset("comment comments disqus sidebar ad ads advert adverts advertisement advertising cookieconsent".split())
+_STATES = frozenset("has have no not with without is are show hide open opened closed enabled disabled active free off on less".split())
+_PAIRS = frozenset(
+    (first, last) for firsts, lasts in (
+        ("global site", "header headers"), ("user users customer customers reader readers visitor guest", "reviews review"),
+        ("related recommended", "news content reads reading topics videos"), ("cookie cookies gdpr consent", "message warning policy info prompt"),
+    ) for first in firsts.split() for last in lasts.split()
+)
 # Elements of HTML by their part here.
 _BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer
@@ -83,13 +95,23 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _hint(attributes: str) -> frozenset[str]:
-    """The hints of the first name in class, id or role that consists of hints, numbers and what may stand besides."""
+    """The hints of the first name in class, id or role that consists of hints, numbers and what may stand besides, or
+    that has a word for comments or begins or ends with one for sidebars or adverts."""
     for m in _ATTRIBUTE.finditer(attributes):
         if m[1].lower() in ("class", "id", "role"):
             for name in (m[2] or m[3] or m[4] or "").split():
-                parts = {x.lower() for x in _PART.findall(name)}
+                words = [x.lower() for x in _PART.findall(name)]
+                parts = set(words)
                 if (hints := parts & HINTS) and parts - hints <= _BESIDES:
                     return frozenset(hints)
+                if len(words) < 2 or parts & _STATES:
+                    continue
+                if said := parts & {"comment", "comments", "commentlist", "disqus"}:
+                    return frozenset(said)
+                if words[-1] in _ENDS or (words[0], words[-1]) in _PAIRS:
+                    return frozenset({words[-1]})
+                if words[0] in _STARTS:
+                    return frozenset({words[0]})
     return frozenset()
 
 
@@ -148,7 +170,9 @@ class _Blocks:
         main, mark = top.main, top.mark
         if tag == "a":
             self.in_link += 1
-        hint = _hint(attributes) if attributes and tag not in ("html", "body", "article", "main") else frozenset()
+        hint = _hint(attributes) if attributes and tag not in ("html", "body", "main") else frozenset()
+        if tag == "article" and hint.isdisjoint(_COMMENTS):  # an article is none of the other parts, but may be a comment
+            hint = frozenset()
         hinted = tag == "form" or bool(hint)
         if tag in _MAIN:
             self.mains += 1
@@ -193,9 +217,9 @@ class _Blocks:
             for mark, group in groupby((x for x in parts if not x[2]), key=lambda x: x[3]):
                 pieces = list(group)
                 found.append((" ".join("".join(x[0] for x in pieces).split()), sum(x[1] for x in pieces), mark, main))
-        known = any(_first_pass(text, link, False, 0) for text, link, _, _ in found) or _known(x[0] for x in found)
+        known = any(_first_pass(text, link, False, 0) is True for text, link, _, _ in found) or _known(x[0] for x in found)
         for text, link, mark, main in found:
-            if _first_pass(text, link, False, 0, known):
+            if _first_pass(text, link, False, 0, known) is True:
                 held[mark] += len(text)
                 held_main[mark] += len(text) if main else 0
         for mark in range(n - 1, 0, -1):  # from the inside out
@@ -251,10 +275,13 @@ def blocks(html: str | None) -> list[tuple[str, int, bool, int]]:
     return page.blocks()
 
 
-def _first_pass(text: str, link: int, bad: bool, main: int, known: bool = True) -> bool | None:
+def _first_pass(text: str, link: int, bad: bool, main: int, known: bool = True) -> bool | str | None:
+    """Good or bad, "links" or "poor" (what stands around decides if it is bad), or None: undecided."""
     chars = len(text.replace(" ", ""))
-    if bad or link > LINK_SHARE * chars:
+    if bad:
         return False
+    if link > LINK_SHARE * chars:
+        return "links"
     if len(text) < LONG_CHARS:
         return None
     if not known:
@@ -262,7 +289,21 @@ def _first_pass(text: str, link: int, bad: bool, main: int, known: bool = True)
     found = _WORD.findall(text.lower())
     if found and sum(w in STOP_WORDS for w in found) >= STOP_SHARE * len(found):
         return True
-    return None if main else False
+    return None if main else "poor"
+
+
+def _settled(first: list[bool | str | None]) -> list[bool | None]:
+    """first with "links" and "poor" decided: good if the nearest decided blocks before and after are good, else bad."""
+    sides: list[list[bool | None]] = []
+    for order in (range(len(first)), range(len(first) - 1, -1, -1)):
+        near: list[bool | None] = [None] * len(first)
+        seen = None
+        for i in order:
+            near[i] = seen
+            if isinstance(first[i], bool):
+                seen = first[i]
+        sides.append(near)
+    return [bool(before and after) if isinstance(label, str) else label for label, before, after in zip(first, *sides, strict=True)]
 
 
 def _known(texts: Iterable[str]) -> bool:
@@ -281,6 +322,8 @@ def main_text(html: str | None) -> str:
     first = [_first_pass(*b) for b in cut]
     if True not in first and not _known(b[0] for b in cut if not b[2]):
         first = [_first_pass(*b, known=False) for b in cut]
+    none_good = True not in first
+    first = _settled(first)
 
     def nearest(keep) -> list[tuple[int, bool] | None]:
         """Distance and badness of the nearest decided block with the same keep, good first at equal distance."""
@@ -302,7 +345,8 @@ def main_text(html: str | None) -> str:
         label = first[i]
         if label is None:
             found = inside[i] or (None if block[3] else anywhere[i])
-            label = not found[1] if found else bool(block[3])
+            # where nothing else is good, what stands in no part outside the article is all that there is
+            label = not found[1] if found and not none_good else bool(block[3]) or none_good
         if label:
             out.append(block[0])
     return "\n\n".join(out)

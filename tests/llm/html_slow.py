@@ -5,6 +5,8 @@ from html.parser import HTMLParser
 
 from samewise.llm import html as H
 
+#: The names on generated pages that name a part outside the article, told by hand, with whether that is reader comments.
+PARTS = {"ad": False, "cookie-notice": False, "comments": True, "sidebarLeft": False, "navigation": False, "user-comments": True, "left-rail": False, "ad-top-box": False, "blog-wide-comments": True}
 BLOCKS = set("address article aside blockquote body div footer form h1 h2 header html li main nav p section table td tr ul".split())
 SKIP = {"script", "style", "head"}
 
@@ -13,13 +15,9 @@ class Node:
     def __init__(self, tag, attributes=(), up=None):
         self.tag, self.up, self.children = tag, up, []
         names = [x for k, v in attributes if k in ("class", "id", "role") for x in (v or "").split()]
-        self.hints = next((h for x in names if (h := self.hints_of(x))), set())
-        self.hinted = tag == "form" or bool(self.hints) and tag not in ("html", "body", "article", "main")
-
-    @staticmethod
-    def hints_of(name):
-        words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name)}
-        return words & H.HINTS if words - H.HINTS <= H._BESIDES else set()
+        named = next((x for x in names if x in PARTS), None)
+        self.comments = PARTS.get(named, False)
+        self.hinted = tag == "form" or named is not None and tag not in ("html", "body", "main") and (tag != "article" or self.comments)
 
     def path(self):
         return [self, *self.up.path()] if self.up else [self]
@@ -97,14 +95,16 @@ def known(texts):
 
 
 def decide(text, link, bad, main, language=True):
-    if bad or link > H.LINK_SHARE * len(text.replace(" ", "")):
+    if bad:
         return False
+    if link > H.LINK_SHARE * len(text.replace(" ", "")):
+        return "open"
     if len(text) < H.LONG_CHARS:
         return None
     a, b = share_of_stops([text])
     if not language or b and a >= H.STOP_SHARE * b:
         return True
-    return None if main else False
+    return None if main else "open"
 
 
 def slow_text(html):
@@ -121,13 +121,13 @@ def slow_text(html):
                 last = mark
             segments[-1].append((t, path))
     facts = [(squeeze(s), link_chars(s), s[0][1], main_of(s[0][1]) is not None) for s in segments]
-    language = any(decide(t, n, False, False) for t, n, _, _ in facts) or known(t for t, _, _, _ in facts)
-    held = [(len(t), path, main) for t, n, path, main in facts if decide(t, n, False, False, language)]
+    language = any(decide(t, n, False, False) is True for t, n, _, _ in facts) or known(t for t, _, _, _ in facts)
+    held = [(len(t), path, main) for t, n, path, main in facts if decide(t, n, False, False, language) is True]
     total, total_main = sum(n for n, _, _ in held), sum(n for n, _, m in held if m)
 
     def wrapper(node):
         own, own_main = (sum(n for n, path, m in held if node in path and (m or not only)) for only in (False, True))
-        share = 0.5 if total_main and not node.hints & H._COMMENTS else 1 - H.WRAPPED
+        share = 0.5 if total_main and not node.comments else 1 - H.WRAPPED
         return own > 0 and own >= share * total and own_main == total_main or has_main(node)
 
     def has_main(node):
@@ -151,6 +151,12 @@ def slow_text(html):
     first = [decide(*b) for b in cut]
     if True not in first and not known(b[0] for b in cut if not b[2]):
         first = [decide(*b, language=False) for b in cut]
+    alone = True not in first
+    sure = {i: x for i, x in enumerate(first) if x in (True, False)}
+    for i, x in enumerate(first):
+        if x == "open":
+            ends = [sure[max((j for j in sure if j < i), default=None)] if any(j < i for j in sure) else False, sure[min(j for j in sure if j > i)] if any(j > i for j in sure) else False]
+            first[i] = all(ends)
     out = []
     for i, (text, _, _, main) in enumerate(cut):
         label = first[i]
@@ -158,7 +164,7 @@ def slow_text(html):
             same = [(abs(i - j), not first[j]) for j in range(len(cut)) if first[j] is not None and not cut[j][2] and cut[j][3] is main]
             every = [(abs(i - j), not first[j]) for j in range(len(cut)) if first[j] is not None]
             near = same or ([] if main else every)
-            label = not min(near)[1] if near else main is not None
+            label = alone or (not min(near)[1] if near else main is not None)
         if label:
             out.append(text)
     return "\n\n".join(out)

@@ -3,6 +3,8 @@ import re
 import time
 from html import unescape
 
+import pytest
+
 from samewise.llm.html import main_text
 from samewise.llm.q_html import op5_html_text
 from tests.llm.html_slow import slow_text
@@ -94,7 +96,7 @@ def generated(rnd, landmarks):
         "The house is in the middle of the town and it was built by one of the people who had been there.", "Das Haus ist in der Mitte der Stadt und wurde von den Leuten gebaut, die nicht mehr da sind.",
         "Vanha talo seisoo keskellä kaupunkia ja sen rakensivat ihmiset jotka olivat asuneet siellä kauan.", "Yes.", "Read more", "A short line of it", "x &amp; y", "",
     ]
-    names = ["", "", "", ' class="post-body"', ' class="ad"', ' class="cookie-notice"', ' id="comments"', ' class="sidebarLeft top"', ' class="related-work"', ' class="has-menu"', ' data-id="share"', " role=navigation"]
+    names = ["", "", "", ' class="post-body"', ' class="ad"', ' class="cookie-notice"', ' id="comments"', ' class="sidebarLeft top"', ' class="related-work"', ' class="has-menu"', ' data-id="share"', " role=navigation", ' class="user-comments"', ' class="left-rail wide"', ' id="ad-top-box"', ' class="blog-wide-comments"', ' class="user-menu-open"']
     blocks = ["div", "section", "p", "h2", "ul", "form"] + (["article", "main", "nav", "footer", "header", "aside"] if landmarks else [])
 
     def element(depth):
@@ -142,3 +144,43 @@ def test_hostile_pages_take_linear_time():
         main_text(page)
         main_text(page[: len(page) // 2])
         assert time.process_time() - start < 12, page[:20]
+
+
+PARA = "The house is in the middle of the town and it was built by one of the people who had been there."
+MORE = "It is one of the many that were about to be sold, and that was when they had to leave it for all time."
+PARTS = """user-comments reader-comments article-comments blog-comments comment-thread commentlist fb-comments user-reviews comments comments-section
+    article-sidebar left-rail ad-slot advertising ads-wrapper cookie-law cookieconsent related-articles global-header site-footer share-buttons
+    wp-comments-list visitor-comments comment_37_body adSlotTop""".split()
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_parts_outside_the_article(name):
+    for part in (f'<div class="{name}"><p>{MORE}</p></div>', f'<section id="{name}"><div><p>{MORE}</p><p>Nice</p></div></section>'):
+        assert main_text(f"<body><div><p>{PARA}</p><p>{PARA}</p></div>{part}</body>") == f"{PARA}\n\n{PARA}", part
+        assert main_text(f"<body><article><p>{PARA}</p><p>{PARA}</p>{part}</article></body>") == f"{PARA}\n\n{PARA}", part
+        # unless they hold all that there is
+        assert main_text(f'<body><div class="{name}"><p>{PARA}</p></div></body>') == PARA
+
+
+def test_nested_comment_articles():
+    html = f'<article class="post"><p>{PARA}</p><p>{PARA}</p><article class="comment"><p>{MORE}</p></article><article id="comment-9"><p>{MORE}</p></article></article>'
+    assert main_text(html) == f"{PARA}\n\n{PARA}"
+    assert main_text(f'<article class="share"><p>{PARA}</p></article>') == PARA
+
+
+def test_what_stands_between_good_blocks_stays():
+    names = "Anna Berg, Carl Dorn, Emil Falk, Gerd Hansen, Ida Jung, Karl Lund, Mona Nord, Otto Prinz, Rosa Stein"
+    code = "for row in table: total += row.price * row.amount; print(row.name, row.price, total, row.amount / total)"
+    finnish = "Vanha talo seisoo keskellä kaupunkia ja sen rakensivat ihmiset jotka olivat asuneet siellä kauan ennen sotaa."
+    link = f'<a href="/x">{MORE}</a>'
+    for inner in (names, code, finnish, link):
+        text = MORE if inner == link else inner
+        for outer in ("div", "article", "main"):
+            assert main_text(f"<{outer}><p>{PARA}</p><p>{inner}</p><p>{PARA}</p></{outer}>") == f"{PARA}\n\n{text}\n\n{PARA}", inner
+        assert main_text(f"<p>{inner}</p><p>{PARA}</p><div class='ad'>{PARA}</div>") == PARA
+
+
+def test_short_pages_are_not_empty():
+    assert main_text("<html><body><p>One short line.</p></body></html>") == "One short line."
+    assert main_text("<nav>Home</nav><div><h1>Title</h1><p>Short.</p></div><footer>Imprint</footer>") == "Title\n\nShort."
+    assert main_text('<nav>Home</nav><a href="/">All</a><div class="ad">Buy</div>') == ""
