@@ -192,3 +192,21 @@ def test_choice_of_method(spark, monkeypatch):
     with pytest.raises(Exception, match="segments"):
         M.name_pairs(near, None, "jaro", 0.9, method="segments")
     assert M.name_pairs(near.limit(0), None, "ratio", 90.0, method="segments").count() == 0
+
+
+def test_degree_cap_of_chains_beyond_one_task(spark):
+    """100,000 chained pairs without the scan by one task; then chains for every cap, and chains that branch."""
+    import time
+
+    start = time.time()
+    df = spark.range(100_000).selectExpr("id AS a", "id + 1 AS b")
+    got = degree_cap(df, 1, ["a"], ["b"], F.struct("a"), finish=0)
+    assert got.where("a % 2 = 1").isEmpty() and got.count() == 50_000
+    assert time.time() - start < 120
+    rnd = random.Random(8)
+    for k in (1, 2):
+        edges = [(i, i + 1) for i in range(0, 120)] + [(500 + i, i) for i in range(0, 120, 7)] + [(i, i + rnd.randint(2, 5)) for i in range(0, 120, 11)]
+        pairs = [(a, b, float(1000 - min(a, b) if a < 500 else rnd.randint(800, 1000))) for a, b in dict.fromkeys(edges)]
+        df = spark.createDataFrame(pairs, "id1 long, id2 long, similarity_score double")
+        got = {(r.id1, r.id2) for r in degree_cap(df, k, ["id1"], ["id2"], F.struct(-F.col("similarity_score"), "id1", "id2"), finish=0).collect()}
+        assert got == greedy(pairs, k)
