@@ -87,7 +87,7 @@ class DeduplicationPipeline:
 
     def _progress(self, store, key: str) -> dict:
         """A judge keeps its decisions beside the checkpoints as it makes them."""
-        return {"progress": store.path("progress", key)} if store and isinstance(self.validator, LLMValidator) else {}
+        return {"progress": store.store.path(f"progress_{key}.parquet")} if store and isinstance(self.validator, LLMValidator) else {}
 
     def run_by_name(self, df: DataFrame, id_column: str = "id", name_column: str = "name") -> DataFrame:
         """Entity groups without expanding equal names into pairs of rows; for tables with large groups of equal names."""

@@ -1,7 +1,9 @@
 """Checkpoints of pipeline stages: Parquet tables and a catalog of them.
 
-Data goes to Parquet under a folder; the catalog is a JSON file beside each table (FileCheckpointer) or an
-SQLite table on the driver (DatabaseCheckpointer). A key is a stage and a fingerprint of the input and the
+Data goes to Parquet under a folder of any store that Spark reaches; the catalog is a JSON file beside each table
+(FileCheckpointer) or an SQLite table on the driver (DatabaseCheckpointer, for folders of a local session only). A table is
+written to a path of its own and becomes the checkpoint when its entry is put, by a rename, so a run that breaks off leaves
+what was there before. A key is a stage and a fingerprint of the input and the
 configuration, so a changed threshold does not find old pairs.
 """
 
@@ -11,9 +13,9 @@ import hashlib
 import json
 import os
 import re
-import shutil
 import sqlite3
 import time
+import uuid
 from abc import ABC, abstractmethod
 from datetime import datetime, timedelta
 
@@ -21,6 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samewise.errors import CheckpointError
+from samewise.sources.store import Store
+
+
+def _local_default(spark: SparkSession) -> bool:
+    return spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
 
 
 def fingerprint(df: DataFrame, columns: list[str], config: dict | None = None) -> str:
@@ -50,22 +57,27 @@ class BaseCheckpointer(ABC):
         return f"{cls.validate_stage_name(stage)}_{cls.validate_data_hash(data_hash)}"
 
     def __init__(self, spark: SparkSession, folder: str, compress: bool = True):
-        # absolute, since Spark may have been started in another working folder
-        self.spark, self.folder, self.compress = spark, os.path.abspath(folder.removeprefix("file://")), compress
-        os.makedirs(self.folder, exist_ok=True)
+        # a path without scheme is one of the driver's working folder where the default store is the local disk
+        self.spark, self.compress = spark, compress
+        self.store = Store(spark, os.path.abspath(folder) if "://" not in folder and _local_default(spark) else folder)
+        self.store.make()
+        self.folder = self.store.folder
 
     def path(self, stage: str, data_hash: str) -> str:
-        return os.path.join(self.folder, self.create_checkpoint_id(stage, data_hash) + ".parquet")
+        """A new path for the table."""
+        return self.store.path(f"{self.create_checkpoint_id(stage, data_hash)}-{uuid.uuid4().hex}.parquet")
 
     def save(self, data: DataFrame, stage: str, data_hash: str, metadata: dict | None = None) -> dict:
         """Write a table (empty ones as well) and its catalog entry; the entry comes last and makes it valid."""
-        path = self.path(stage, data_hash)
+        path, before = self.path(stage, data_hash), self.get_metadata(stage, data_hash)
         try:
             data.write.mode("overwrite").option("compression", "snappy" if self.compress else "none").parquet(path)
             saved = self.spark.read.schema(data.schema).parquet(path)
-            size = sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path))
+            size = self.store.size(path)
             entry = {"stage": stage, "data_hash": data_hash, "timestamp": datetime.now().isoformat(), "rows": saved.count(), "columns": data.columns, "schema": data.schema.jsonValue(), "data_path": path, "file_size_bytes": size, "compressed": self.compress, "custom_metadata": metadata or {}}
             self._put(entry)
+            if before:
+                self.store.delete(before["data_path"])
             return entry
         except CheckpointError:
             raise
@@ -75,7 +87,7 @@ class BaseCheckpointer(ABC):
     def load(self, stage: str, data_hash: str) -> DataFrame | None:
         """The table, or None if it is not there."""
         entry = self.get_metadata(stage, data_hash)
-        if entry is None or not os.path.isdir(entry["data_path"]):
+        if entry is None or not self.store.exists(entry["data_path"]):
             return None
         from pyspark.sql.types import StructType
 
@@ -89,7 +101,7 @@ class BaseCheckpointer(ABC):
         if entry is None:
             return False
         self._drop(stage, data_hash)
-        shutil.rmtree(entry["data_path"], ignore_errors=True)
+        self.store.delete(entry["data_path"])
         return True
 
     def clear(self, data_hash: str | None = None) -> int:
@@ -112,13 +124,12 @@ class BaseCheckpointer(ABC):
         }
 
     def export_checkpoints(self, target: str, data_hash: str | None = None) -> int:
-        """Copy tables and their entries to another folder."""
-        found = self.list_checkpoints(data_hash)
+        """Copy tables and their entries to another folder, where a FileCheckpointer finds them."""
+        found, there = self.list_checkpoints(data_hash), FileCheckpointer(self.spark, target, self.compress)
         for e in found:
-            name = self.create_checkpoint_id(e["stage"], e["data_hash"])
-            shutil.copytree(e["data_path"], os.path.join(target, name + ".parquet"), dirs_exist_ok=True)
-            with open(os.path.join(target, name + ".json"), "w") as f:
-                json.dump(e, f)
+            path = there.path(e["stage"], e["data_hash"])
+            self.store.copy(e["data_path"], there.store, path)
+            there._put({**e, "data_path": path})
         return len(found)
 
     @abstractmethod
@@ -139,30 +150,20 @@ class FileCheckpointer(BaseCheckpointer):
     """The catalog is a JSON file beside each table."""
 
     def _side(self, stage: str, data_hash: str) -> str:
-        return os.path.join(self.folder, self.create_checkpoint_id(stage, data_hash) + ".json")
+        return self.create_checkpoint_id(stage, data_hash) + ".json"
 
     def _put(self, entry: dict) -> None:
-        side = self._side(entry["stage"], entry["data_hash"])
-        with open(side + ".new", "w") as f:
-            json.dump(entry, f)
-        os.replace(side + ".new", side)
+        self.store.write(self._side(entry["stage"], entry["data_hash"]), json.dumps(entry))
 
     def _drop(self, stage: str, data_hash: str) -> None:
-        os.unlink(self._side(stage, data_hash))
+        self.store.delete(self._side(stage, data_hash))
 
     def get_metadata(self, stage: str, data_hash: str) -> dict | None:
         side = self._side(stage, data_hash)
-        if not os.path.exists(side):
-            return None
-        with open(side) as f:
-            return json.load(f)
+        return json.loads(self.store.read(side)) if self.store.exists(side) else None
 
     def list_checkpoints(self, data_hash: str | None = None) -> list[dict]:
-        out = []
-        for name in os.listdir(self.folder):
-            if name.endswith(".json"):
-                with open(os.path.join(self.folder, name)) as f:
-                    out.append(json.load(f))
+        out = [json.loads(self.store.read(n)) for n in self.store.names() if n.endswith(".json")]
         return sorted((e for e in out if data_hash in (None, e["data_hash"])), key=lambda e: e["timestamp"], reverse=True)
 
 
@@ -171,7 +172,9 @@ class DatabaseCheckpointer(BaseCheckpointer):
 
     def __init__(self, spark: SparkSession, folder: str, compress: bool = True, db_path: str | None = None):
         super().__init__(spark, folder, compress)
-        self.db = sqlite3.connect(db_path or os.path.join(self.folder, "catalog.db"))
+        if db_path is None and not self.folder.startswith("file:"):
+            raise CheckpointError("the catalog of a folder that is not on this machine needs a db_path", folder=self.folder)
+        self.db = sqlite3.connect(db_path or os.path.join("/" + self.folder.removeprefix("file:").lstrip("/"), "catalog.db"))
         self.db.execute("CREATE TABLE IF NOT EXISTS checkpoints (stage TEXT, data_hash TEXT, timestamp TEXT, entry TEXT, PRIMARY KEY (stage, data_hash))")
         self.db.execute("CREATE INDEX IF NOT EXISTS by_time ON checkpoints (timestamp)")
 

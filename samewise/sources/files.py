@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from samewise.errors import ConfigurationError, DataValidationError
 from samewise.functions.normalize import clean_for_excel
+from samewise.sources.store import exists
 
 SAMPLE_CONFIG = {
     "matching": {"threshold": 85.0, "scorer": "token_sort_ratio", "max_matches_per_entity": 100},
@@ -23,7 +24,7 @@ def load_data(spark: SparkSession, path: str, schema: StructType | str | None =
     """CSV (header; columns are strings unless a schema or inferSchema is given), JSON lines or arrays, column-oriented
     JSON (orient='columns'), Parquet, ORC, Excel. A missing path raises FileNotFoundError, another suffix ValueError."""
     kind = PurePosixPath(path).suffix.lower()
-    if "://" not in path and not os.path.exists(path):
+    if not any(c in path for c in "*?[{") and not exists(spark, path):
         raise FileNotFoundError(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == ".csv":
