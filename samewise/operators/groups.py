@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from samewise.operators.components import connected_components
+from samewise.operators.order import join_dealt
 from samewise.operators.pairs import first_rows
 from samewise.sources.shared import materialize
 
@@ -26,8 +27,8 @@ def number_groups(members: DataFrame) -> DataFrame:
 def cluster(entities: DataFrame, pairs: DataFrame, id_column: str = "id", name_column: str = "name") -> DataFrame:
     """Rows (entity_id, entity_name, group_id) of all entities: connected components of the pairs numbered by
     their least id, 0 for entities without a pair."""
-    members = connected_components(pairs, "id1", "id2").withColumnRenamed("node", "entity_id")
-    numbered = materialize(members.join(number_groups(members), "component").select(F.col("entity_id").alias("_id"), "group_id"), "groups")
+    members = materialize(connected_components(pairs, "id1", "id2").withColumnRenamed("node", "entity_id"), "members")
+    numbered = materialize(join_dealt(members, number_groups(members), "component").select(F.col("entity_id").alias("_id"), "group_id"), "groups")
     joined = entities.join(numbered, F.col(id_column) == F.col("_id"), "left")
     return joined.select(F.col(id_column).alias("entity_id"), F.col(name_column).alias("entity_name"), F.coalesce("group_id", F.lit(0)).cast("long").alias("group_id"))
 
@@ -35,11 +36,11 @@ def cluster(entities: DataFrame, pairs: DataFrame, id_column: str = "id", name_c
 def cluster_by_name(entities: DataFrame, name_pairs: DataFrame, normalised: str, id_column: str = "id", name_column: str = "name") -> DataFrame:
     """cluster() through distinct names: name_pairs(name_a, name_b) link normalised names, rows of one name are
     linked as well. Nothing is expanded into pairs of rows. entities holds the normalised name in `normalised`."""
-    roots = connected_components(name_pairs, "name_a", "name_b").select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    roots = connected_components(name_pairs, "name_a", "name_b").select(F.col("node").alias("_name"), F.col("component").alias("_c"))
     rows = entities.select(F.col(id_column).alias("entity_id"), F.col(name_column).alias("entity_name"), F.col(normalised).alias("_name"))
-    tagged = materialize(rows.join(roots, F.col("_name") == F.col("_n"), "left").select("entity_id", "entity_name", F.coalesce("_c", F.when(F.col("_name") != "", F.col("_name"))).alias("component")), "tagged")
+    tagged = materialize(join_dealt(rows, roots, "_name", "left").select("entity_id", "entity_name", F.coalesce("_c", F.when(F.col("_name") != "", F.col("_name"))).alias("component")), "tagged")
     groups = number_groups(tagged.where("component is not null").select("entity_id", "component"))
-    return tagged.join(groups, "component", "left").select("entity_id", "entity_name", F.coalesce("group_id", F.lit(0)).cast("long").alias("group_id"))
+    return join_dealt(tagged, groups, "component", "left").select("entity_id", "entity_name", F.coalesce("group_id", F.lit(0)).cast("long").alias("group_id"))
 
 
 def group_sizes(groups: DataFrame) -> DataFrame:

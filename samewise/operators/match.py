@@ -69,6 +69,15 @@ def name_pairs(left: DataFrame, right: DataFrame | None, scorer: str, threshold:
     return grid_pairs(a, b, scorer, threshold, cutoff, multiplier, tile or TILE, tasks)
 
 
+def _has(df: DataFrame, *columns: str) -> None:
+    """Raise unless each of these names one column of df; names that differ by case only are one to Spark by default."""
+    same = (lambda c: c) if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+    for c in columns:
+        n = sum(same(x) == same(c) for x in df.columns)
+        if n != 1 or c not in df.columns:
+            raise DataValidationError(f"column {c} is missing" if c not in df.columns else f"{n} columns are named {c}", columns=df.columns)
+
+
 def _order(order_by: str, id_column: str, *more: Column) -> Column:
     """A total order of rows, the same for the same rows once stored; structs compare field by field, nulls first."""
     return F.struct(F.col(order_by).alias("by"), F.col(id_column).alias("id"), *[c.alias(f"more{i}") for i, c in enumerate(more)], F.monotonically_increasing_id().alias("row")).alias("_ord")
@@ -102,9 +111,7 @@ class FuzzyMatcher:
         return N.preprocess(name, self.lowercase, self.strip_whitespace, self.remove_punctuation, self.punctuation_pattern)
 
     def _rows(self, df: DataFrame, id_column: str, name_column: str, order_by: str | None) -> DataFrame:
-        for c in (id_column, name_column):
-            if c not in df.columns:
-                raise DataValidationError(f"column {c} is missing", columns=df.columns)
+        _has(df, id_column, name_column)
         ordered = df.select(F.col(id_column).alias("id"), F.col(name_column).alias("raw"), _order(order_by or id_column, id_column, F.col(name_column)))
         return ordered.where("raw is not null").withColumn("name", self.normalised(F.col("raw"))).where("name <> ''")
 
@@ -166,9 +173,7 @@ class FuzzyMatcher:
         return MatchResult(out, self._describe(**kind), (df1, df2))
 
     def _long(self, df: DataFrame, id_column: str, columns: list[str], order_by: str | None) -> DataFrame:
-        for c in (id_column, *columns):
-            if c not in df.columns:
-                raise DataValidationError(f"column {c} is missing", columns=df.columns)
+        _has(df, id_column, *columns)
         texts = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(c).alias("col"), F.col(c).cast("string").alias("raw")) for i, c in enumerate(columns)]) if columns else F.array().cast("array<struct<at:int,col:string,raw:string>>")
         long = df.select(F.col(id_column).alias("id"), _order(order_by or id_column, id_column), F.explode(texts).alias("t")).select("id", "_ord", "t.at", "t.col", "t.raw")
         return long.where("raw is not null").withColumn("name", self.normalised(F.col("raw"))).where("name <> ''")

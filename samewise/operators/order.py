@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from samewise.sources.shared import materialize
 
 _PART = "_range_part"
+_DEAL, _DEALS = "_deal", 1009
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -21,6 +22,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def join_dealt(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined to facts, which holds each value of key at most once. Rows of one value are dealt to many tasks, however
+    many they are: only the distinct (value, deal) meet facts by the value alone. rows are stored for that."""
+    stored = materialize(rows.withColumn(_DEAL, F.pmod(F.monotonically_increasing_id(), F.lit(_DEALS))), "dealt")
+    met = stored.select(key, _DEAL).distinct().join(facts, key)
+    return stored.join(met, [key, _DEAL], how).drop(_DEAL)
+
+
 def _cumulate(n: int, keys: list[int | None]):
     """Adds to batches, whose last n columns are the values to sum, the sums of all rows of the task before each. The
     sum of value i starts anew where the column keys[i] changes, if that is given. Sums wrap around at 64 bits."""

@@ -210,3 +210,10 @@ def test_degree_cap_of_chains_beyond_one_task(spark):
         df = spark.createDataFrame(pairs, "id1 long, id2 long, similarity_score double")
         got = {(r.id1, r.id2) for r in degree_cap(df, k, ["id1"], ["id2"], F.struct(-F.col("similarity_score"), "id1", "id2"), finish=0).collect()}
         assert got == greedy(pairs, k)
+
+
+def test_names_that_differ_by_case_only_raise(spark):
+    df = spark.sql("SELECT 1 AS id, 'a' AS name, 'b' AS Name")
+    for run in (lambda m: m.find_matches(df), lambda m: m.find_cross_matches(df, df)):
+        with pytest.raises(DataValidationError, match="2 columns"):
+            run(M.FuzzyMatcher())

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from samewise.operators.order import running
+from samewise.operators.order import join_dealt, running
 
 
 def rows_of(n):
@@ -32,3 +32,12 @@ def test_nulls_strings_and_empty(spark):
     assert running(df.where("false"), [F.col("k")], {"at": F.lit(1)}).count() == 0
     many = running(spark.range(50_000).withColumn("k", F.lit(1).cast("long")).repartition(9), [F.col("id")], {"pos": F.lit(1), "all": F.col("id")}, {"pos": "k"})
     assert many.where("pos <> id or all <> id * (id - 1) div 2").count() == 0
+
+
+def test_join_of_many_rows_to_few_facts(spark):
+    rows = [(None if i % 50 == 0 else f"k{max(0, i - 900)}", i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, i int")
+    facts = spark.createDataFrame([(f"k{i}", i * 2) for i in range(0, 120, 2)], "k string, v int")
+    want = {(k, i, int(k[1:]) * 2 if k and int(k[1:]) % 2 == 0 else None) for k, i in rows}
+    assert {tuple(r) for r in join_dealt(df, facts, "k", "left").collect()} == want
+    assert {tuple(r) for r in join_dealt(df, facts, "k").collect()} == {r for r in want if r[2] is not None}
