@@ -40,8 +40,7 @@ class DeduplicationInput:
         self.additional_columns = list(dict.fromkeys(c.strip() for c in self.additional_columns if c.strip()))
 
     def check(self, df: DataFrame) -> CheckedInput:
-        validate_structure(df, [self.id_column, self.name_column, *self.additional_columns], self.min_entities)
-        return validate_deduplication_input(df, self.id_column, self.name_column, self.threshold, self.min_entities)
+        return validate_deduplication_input(df, self.id_column, self.name_column, self.threshold, self.min_entities, additional_columns=self.additional_columns)
 
 
 @dataclass
@@ -78,6 +77,11 @@ def structure_counts(df: DataFrame, required: list[str]) -> DataFrame:
 def validate_structure(df: DataFrame, required: list[str], min_rows: int = 1, max_rows: int | None = None, null_policy: str = "warn") -> list[str]:
     """Raise for missing columns and row counts out of bounds, and for nulls in required columns if null_policy is
     strict; 'warn' returns them, 'ignore' does not look. One pass over the table."""
+    return _structure(df, required, min_rows, max_rows, null_policy)[1]
+
+
+def _structure(df: DataFrame, required: list[str], min_rows: int = 1, max_rows: int | None = None, null_policy: str = "warn") -> tuple[int, list[str]]:
+    """validate_structure, and the number of rows."""
     if null_policy not in ("strict", "warn", "ignore"):
         raise DataValidationError("null_policy is strict, warn or ignore", null_policy=null_policy)
     if max_rows is not None and max_rows < min_rows:
@@ -89,7 +93,7 @@ def validate_structure(df: DataFrame, required: list[str], min_rows: int = 1, ma
     nulls = [f"{c} has {counts[c].nulls} null values" for c in required if counts[c].nulls]
     if nulls and null_policy == "strict":
         raise DataValidationError("; ".join(nulls))
-    return nulls if null_policy == "warn" else []
+    return n, nulls if null_policy == "warn" else []
 
 
 def reject_reason(entity_id: Column, name: Column) -> Column:
@@ -117,24 +121,31 @@ def validate_entities(df: DataFrame, id_column: str = "id", name_column: str = "
     return marked.where("reject_reason is null").drop("reject_reason").withColumn(name_column, strip), marked.where("reject_reason is not null")
 
 
-def validate_deduplication_input(df: DataFrame, id_column: str = "id", name_column: str = "name", threshold: float = 80.0, min_rows: int = 2, drop_duplicate_ids: bool = False) -> CheckedInput:
+def validate_deduplication_input(df: DataFrame, id_column: str = "id", name_column: str = "name", threshold: float = 80.0, min_rows: int = 2, drop_duplicate_ids: bool = False, additional_columns: list[str] | tuple[str, ...] = ()) -> CheckedInput:
     """All checks for one table. Repeated ids give a warning; with drop_duplicate_ids one row of each is kept, that with
-    the least name."""
+    the least name. additional_columns must exist; their nulls warn."""
     if not 0 <= threshold <= 100:
         raise DataValidationError("threshold lies between 0 and 100", threshold=threshold)
-    warnings = validate_structure(df, [id_column, name_column], min_rows)
+    columns = list(dict.fromkeys([id_column, name_column, *additional_columns]))
+    n, warnings = _structure(df, columns, min_rows)
     valid, rejected = validate_entities(df, id_column, name_column)
     facts = valid.agg(F.count("*").alias("n"), F.count_distinct(id_column).alias("ids")).first()
     if not facts.n:
-        raise DataValidationError("no valid entity", rows=df.count())
+        raise DataValidationError("no valid entity", rows=n)
     if facts.ids < facts.n:
         warnings.append(f"{facts.n - facts.ids} rows repeat an id")
         if drop_duplicate_ids:
             valid = first_rows(valid, id_column, name_column)
     valid = sanitize_columns(valid, [name_column])
-    meta = {"columns_validated": [id_column, name_column], "final_row_count": facts.ids if drop_duplicate_ids else facts.n, "validation_warnings": warnings, "data_quality_score": quality_score(valid, id_column, name_column).first()[0]}
+    meta = {"original_row_count": n, "columns_validated": columns, "final_row_count": facts.ids if drop_duplicate_ids else facts.n, "validation_warnings": warnings, "data_quality_score": quality_score(valid, id_column, name_column).first()[0]}
     return CheckedInput(valid, rejected, meta, warnings)
 
 
 def validate_cross_dataset_input(df1: DataFrame, df2: DataFrame, id1: str, id2: str, name1: str, name2: str, threshold: float = 80.0) -> tuple[CheckedInput, CheckedInput]:
     return validate_deduplication_input(df1, id1, name1, threshold), validate_deduplication_input(df2, id2, name2, threshold)
+
+
+def cross_input_metadata(one: CheckedInput, two: CheckedInput) -> dict:
+    """What the checks of two tables tell of both: rows before and after, scores, and the warnings of the first, then the second."""
+    sides = {f"df{i}_{new}": side.metadata[key] for new, key in (("original_rows", "original_row_count"), ("final_rows", "final_row_count"), ("quality_score", "data_quality_score")) for i, side in ((1, one), (2, two))}
+    return {**sides, "validation_warnings": [*one.warnings, *two.warnings]}

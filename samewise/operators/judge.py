@@ -23,9 +23,11 @@ from samewise.errors import ConfigurationError
 from samewise.operators.order import running
 from samewise.operators.pairs import first_rows
 from samewise.operators.rules import ValidationResult
-from samewise.sources.shared import materialize
+from samewise.sources.shared import materialize_counted
 
 KEPT_BY_DEFAULT, KEPT_ON_FAILURE = "No decision; kept", "Judge failed; kept"
+
+
 class Client(Protocol):
     def __call__(self, prompt: str) -> str: ...
 
@@ -57,26 +59,30 @@ def _row_key(columns: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in _PAIR if c in columns]))
 
 
-def _answers(todo: DataFrame, key: str, run, schema: str, n_workers: int | None, progress: str | None, groups: int) -> DataFrame:
+def _answers(todo: DataFrame, key: str, run, schema: str, n_workers: int | None, progress: str | None, groups: int) -> tuple[DataFrame, int, int]:
     """What run says of the rows of todo, written once; with a progress folder in equal groups of rows in the order of
-    key, appended there, without asking about keys that are there already."""
+    key, appended there, without asking about keys that are there already. Besides, how many batches were sent to the
+    judge, earlier ones included, and how many of them lay in the progress folder; run marks the first row of a batch."""
+    batches = F.count_if("_first").alias("n")
     tasks = n_workers or int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = lambda rows: rows.repartition(tasks).mapInPandas(run, schema)
     if progress is None:
-        return materialize(asked(todo), "answers")
+        answers, seen = materialize_counted(asked(todo), "answers", {"n": batches})
+        return answers.drop("_first"), seen["n"], 0
     if groups < 1:
         raise ConfigurationError("a progress folder needs a group at least", groups=groups)
     spark = todo.sparkSession
     spark.createDataFrame([], schema).write.mode("append").parquet(progress)
     done = spark.read.schema(schema).parquet(progress)
-    answer_key = done.columns[0]
+    answer_key, before = done.columns[0], done.agg(batches).first().n
     left = running(todo.join(done.select(F.col(answer_key).alias(key)).distinct(), key, "left_anti"), [F.col(key)], {"_at": F.lit(1)})
     group = F.floor(F.col("_at") * groups / F.lit(max(left.count(), 1)))
     for g in range(groups):
         part = left.where(group == g).drop("_at")
         if not part.isEmpty():
             asked(part).write.mode("append").parquet(progress)
-    return spark.read.schema(schema).parquet(progress).dropDuplicates([answer_key])
+    answers = spark.read.schema(schema).parquet(progress)
+    return answers.drop("_first").dropDuplicates([answer_key]), answers.agg(batches).first().n, before
 
 
 def pair_prompt(rows: list[dict], columns: list[str], instructions: str = "") -> str:
@@ -124,7 +130,7 @@ class LLMValidator:
                             found[d["pair_index"]] = (_truth(d.get("is_duplicate", True)), str(d.get("reason", "")))
                     other = (True, KEPT_ON_FAILURE if reply is None else KEPT_BY_DEFAULT)
                     got = [found.get(i, other) for i in range(len(part))]
-                    yield pd.DataFrame({"_pair": part["_pair"], "keep": [g[0] for g in got], "validation_reason": [g[1] for g in got]})
+                    yield pd.DataFrame({"_pair": part["_pair"], "keep": [g[0] for g in got], "validation_reason": [g[1] for g in got], "_first": part.index == 0})
 
         return run
 
@@ -146,12 +152,13 @@ class LLMValidator:
         if decided is not None:
             earlier = decided.withColumn("_told", _row_key(told)).select("_told", "keep", "validation_reason").dropDuplicates(["_told"])
             todo = keyed.join(earlier, "_told", "left_anti")
-        answered = _answers(todo.drop("_told"), "_pair", self._judge(), "_pair string, keep boolean, validation_reason string", self.n_workers, progress or self.progress, self.progress_groups)
+        answered, batches, before = _answers(todo.drop("_told"), "_pair", self._judge(), "_pair string, keep boolean, validation_reason string, _first boolean", self.n_workers, progress or self.progress, self.progress_groups)
         if decided is not None:
             answered = answered.select("_pair", "keep", "validation_reason").union(keyed.select("_pair", "_told").join(earlier, "_told").select("_pair", "keep", "validation_reason"))
         out = pairs.withColumn("_pair", _row_key(pairs.columns)).join(answered.dropDuplicates(["_pair"]), "_pair", "left").drop("_pair")
         kept = out.withColumn("keep", F.coalesce("keep", F.lit(True))).withColumn("validation_reason", F.coalesce("validation_reason", F.lit(KEPT_BY_DEFAULT)))
-        return ValidationResult(kept, {"batch_size": self.batch_size, "metadata_columns_used": self.metadata_columns})
+        facts = {"batches_processed": batches, "batches_from_checkpoint": before, "custom_rules_applied": bool(self.instructions), "metadata_columns_used": self.metadata_columns}
+        return ValidationResult(kept, {"model": getattr(self.client, "model", None), "provider": getattr(self.client, "provider", None), "batch_size": self.batch_size, **facts})
 
 
 def candidate_prompt(rows: list[dict], instructions: str = "") -> str:
@@ -214,11 +221,12 @@ def consolidate_by_judge(matches: DataFrame, df1: DataFrame, id1: str, client: C
                         reason = str(s.get("reasoning", ""))
                     others = ", ".join(c["df2_id"] for c in r["candidates"] if c is not chosen) or None
                     out.append((r["df1_id"], *((chosen["df2_id"], chosen["df2_name"], chosen["similarity_score"], reason, len(r["candidates"]), others) if chosen else (None, None, None, None, 0, None))))
-                yield pd.DataFrame(out, columns=["_of", f"main_{id2}", "main_name", "main_similarity_score", "llm_reasoning", "total_matches", "other_candidates"])
+                told = pd.DataFrame(out, columns=["_of", f"main_{id2}", "main_name", "main_similarity_score", "llm_reasoning", "total_matches", "other_candidates"])
+                yield told.assign(_first=told.index == 0)
 
-    schema = f"_of {grouped.schema['df1_id'].dataType.simpleString()}, main_{id2} string, main_name string, main_similarity_score double, llm_reasoning string, total_matches long, other_candidates string"
+    schema = f"_of {grouped.schema['df1_id'].dataType.simpleString()}, main_{id2} string, main_name string, main_similarity_score double, llm_reasoning string, total_matches long, other_candidates string, _first boolean"
     todo = grouped if decided is None else grouped.join(decided.select(F.col("_of").alias("df1_id")), "df1_id", "left_anti")
-    answers = _answers(todo, "df1_id", run, schema, n_workers, progress, progress_groups)
+    answers, _, _ = _answers(todo, "df1_id", run, schema, n_workers, progress, progress_groups)
     if decided is not None:
         answers = answers.unionByName(decided.select(*[c for c in answers.columns if c in decided.columns]), allowMissingColumns=True)
     return first_rows(df1, id1).join(answers, F.col(id1) == F.col("_of"), "left").drop("_of").fillna(0, ["total_matches"])

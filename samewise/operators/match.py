@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from samewise.errors import ConfigurationError, DataValidationError
@@ -22,7 +22,7 @@ from samewise.operators.cap import degree_cap
 from samewise.operators.grid import grid_pairs
 from samewise.operators.order import spread
 from samewise.operators.segments import SegmentJoin
-from samewise.sources.shared import materialize
+from samewise.sources.shared import materialize, materialize_counted
 
 #: Most names in a tile.
 TILE = 16_384
@@ -32,16 +32,27 @@ MANY, GAIN = 4_000_000_000, 20
 
 @dataclass
 class MatchResult:
-    """pairs and facts about the run; counts are computed when asked for."""
+    """pairs and facts about the run. metadata tells from the beginning how many entities took part (total_entities, or
+    df1_entities and df2_entities: rows with a name; with several name columns all rows), as the jobs that prepared
+    them observed it, and from stored() on how many pairs there are. Too few entities for a pair leave a message."""
 
     pairs: DataFrame
     metadata: dict = field(default_factory=dict)
-    entities: tuple[DataFrame, ...] = ()
+
+    @property
+    def _found(self) -> str:
+        return "matches_found" if "total_entities" in self.metadata else "cross_matches_found"
+
+    def stored(self, path: str | None = None) -> MatchResult:
+        """The same result with its pairs written (to path, else to the shared folder), and counted by the job that writes
+        them: matches_found, or cross_matches_found between two tables."""
+        pairs, seen = materialize_counted(self.pairs, "pairs", {self._found: F.count(F.lit(1))}, path)
+        return MatchResult(pairs, {**self.metadata, **seen})
 
     def counts(self) -> DataFrame:
-        """One row: rows of each table (total_entities, or df1_entities and df2_entities) and matches_found."""
-        names = ["total_entities"] if len(self.entities) == 1 else ["df1_entities", "df2_entities"]
-        row = {**{n: e.count() for n, e in zip(names, self.entities, strict=True)}, "matches_found": self.pairs.count()}
+        """One row: entities (total_entities, or df1_entities and df2_entities) and matches_found."""
+        row = {k: v for k, v in self.metadata.items() if k in ("total_entities", "df1_entities", "df2_entities")}
+        row["matches_found"] = self.metadata[self._found] if self._found in self.metadata else self.pairs.count()
         return self.pairs.sparkSession.createDataFrame([row], ", ".join(f"{k} long" for k in row))
 
 
@@ -130,7 +141,7 @@ class FuzzyMatcher:
         This expands equal names into all their pairs, as the reference does; for large groups of equal names
         take find_name_pairs or the pipeline, which cluster names and join ids afterwards.
         """
-        rows = materialize(self._rows(df, id_column, name_column, order_by), "entities")
+        rows, seen = materialize_counted(self._rows(df, id_column, name_column, order_by), "entities", {"total_entities": F.count(F.lit(1))})
         different = self._name_pairs(rows)
         alike = different.select("name_a", "name_b", "similarity_score").union(different.select(F.col("name_b"), F.col("name_a"), "similarity_score"))
         same = rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.col("name").alias("name_a"), F.col("name").alias("name_b"), self._same().alias("similarity_score"))
@@ -140,7 +151,9 @@ class FuzzyMatcher:
         pairs = a.join(edges, "name_a").join(b, "name_b").where("o1 < o2").select("id1", "id2", "name1", "name2", "similarity_score", "o1", "o2")
         if self.max_matches_per_entity is not None:
             pairs = degree_cap(pairs, self.max_matches_per_entity, [F.col("o1.row")], [F.col("o2.row")], F.struct(-F.col("similarity_score"), "o1", "o2"))
-        return MatchResult(pairs.drop("o1", "o2"), self._describe(), (df,))
+        n, size = seen["total_entities"], self.batch_size or TILE
+        few = {"message": "a pair takes two rows with a name"} if n < 2 else {}
+        return MatchResult(pairs.drop("o1", "o2"), self._describe(**seen, batches_processed=-(-n // size), **few))
 
     def _same(self) -> Column:
         top = 1.0 if self.scorer.startswith("jaro") else 100.0
@@ -154,8 +167,8 @@ class FuzzyMatcher:
         c2 = [name_columns2] if isinstance(name_columns2, str) else list(name_columns2)
         single = len(c1) == len(c2) == 1
         here1, here2 = [c for c in c1 if single or c in df1.columns], [c for c in c2 if single or c in df2.columns]
-        long1 = materialize(self._long(df1, id_column1, here1, order_by1), "left")
-        long2 = materialize(self._long(df2, id_column2, here2, order_by2), "right")
+        long1, seen1 = self._long(df1, id_column1, here1, order_by1, single)
+        long2, seen2 = self._long(df2, id_column2, here2, order_by2, single)
         alike = materialize(self._name_pairs(long1, long2), "names")
         a = spread(long1, "_ord", "at").select(F.col("id").alias("id1"), F.col("raw").alias("name1"), F.col("_ord").alias("o1"), F.col("name").alias("name_a"), F.col("col").alias("matched_column1"), F.col("at").alias("at1"))
         b = long2.select(F.col("id").alias("id2"), F.col("raw").alias("name2"), F.col("_ord").alias("o2"), F.col("name").alias("name_b"), F.col("col").alias("matched_column2"), F.col("at").alias("at2"))
@@ -170,10 +183,17 @@ class FuzzyMatcher:
             pairs = pairs.withColumn("rn", F.row_number().over(best)).where("rn = 1")
         out = pairs.select("id1", "id2", "name1", "name2", "similarity_score", "matched_column1", "matched_column2", F.lit("df1").alias("source1"), F.lit("df2").alias("source2"))
         kind = {"matching_type": "cross_dataset"} if single else {"matching_type": "cross_dataset_multi_column", "name_columns1": c1, "name_columns2": c2, "total_combinations_tried": len(c1) * len(c2)}
-        return MatchResult(out, self._describe(**kind), (df1, df2))
+        few = {} if seen1 and seen2 else {"message": "a pair takes a row with a name in each table"}
+        return MatchResult(out, self._describe(df1_entities=seen1, df2_entities=seen2, **kind, **few))
 
-    def _long(self, df: DataFrame, id_column: str, columns: list[str], order_by: str | None) -> DataFrame:
+    def _long(self, df: DataFrame, id_column: str, columns: list[str], order_by: str | None, named_only: bool) -> tuple[DataFrame, int]:
+        """Rows (id, _ord, at, col, raw, name), one per name of a row, and how many rows there are, or with named_only have
+        a name; the one scan of df that writes them counts."""
         _has(df, id_column, *columns)
+        seen, n = Observation(), F.count(F.lit(1)).alias("n")
         texts = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(c).alias("col"), F.col(c).cast("string").alias("raw")) for i, c in enumerate(columns)]) if columns else F.array().cast("array<struct<at:int,col:string,raw:string>>")
-        long = df.select(F.col(id_column).alias("id"), _order(order_by or id_column, id_column), F.explode(texts).alias("t")).select("id", "_ord", "t.at", "t.col", "t.raw")
-        return long.where("raw is not null").withColumn("name", self.normalised(F.col("raw"))).where("name <> ''")
+        rows = df.select(F.col(id_column).alias("id"), _order(order_by or id_column, id_column), texts.alias("texts"))
+        long = (rows if named_only else rows.observe(seen, n)).select("id", "_ord", F.explode("texts").alias("t")).select("id", "_ord", "t.at", "t.col", "t.raw")
+        named = long.where("raw is not null").withColumn("name", self.normalised(F.col("raw"))).where("name <> ''")
+        stored = materialize(named.observe(seen, n) if named_only else named, "side")
+        return stored, seen.get["n"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from samewise.functions.scorers import score
 from samewise.operators.pairs import first_rows
+from samewise.sources.shared import materialize_counted
 
 PASSED = "Passed all rules"
 
@@ -31,6 +32,15 @@ class ValidationResult:
     def removed_pairs(self) -> DataFrame:
         return self.annotated.where("not keep").drop("keep")
 
+    def stored(self, path: str | None = None) -> ValidationResult:
+        """The same result with its annotated pairs written (to path, else to the shared folder). The job that writes them
+        counts validated_count, removed_count and validation_rate (0 without pairs) into metadata."""
+        facts = {"validated_count": F.count_if("keep"), "removed_count": F.count_if(~F.col("keep"))}
+        annotated, seen = materialize_counted(self.annotated, "validated", facts, path)
+        n = sum(seen.values())
+        told = {k: dict(v.get) if isinstance(v, Observation) else v for k, v in self.metadata.items()}
+        return ValidationResult(annotated, {**told, **seen, "validation_rate": seen["validated_count"] / n if n else 0.0})
+
     def counts(self) -> DataFrame:
         """One row: pairs kept and removed, and the share kept (0 without pairs)."""
         kept, n = F.count_if("keep"), F.count("*")

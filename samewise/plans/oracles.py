@@ -68,9 +68,16 @@ _STATS = """per AS (SELECT group_id, count(*) AS size, count(DISTINCT entity_id)
 st AS (SELECT coalesce(sum(size), 0)::BIGINT AS total_entities, count(*) FILTER (group_id > 0) AS duplicate_groups, coalesce(sum(ids) FILTER (group_id > 0), 0)::BIGINT AS entities_with_duplicates,
   coalesce(avg(size) FILTER (group_id > 0), 0) AS average_group_size, coalesce(max(size) FILTER (group_id > 0), 0) AS largest_group_size FROM per)"""
 _MEASURES = "sz AS (SELECT group_id, count(*)::DOUBLE AS size FROM g GROUP BY group_id)"
-_EXPANDED = f"""rows AS (SELECT p_partkey AS id, p_name AS raw, {_TOKEN} AS n, * FROM part),
+
+
+def _expanded(threshold: float) -> str:
+    """CTEs up to mp(id1, id2, name1, name2, similarity_score) of pairs of part rows by token_sort_ratio."""
+    return f"""rows AS (SELECT p_partkey AS id, p_name AS raw, {_TOKEN} AS n, * FROM part),
 mp AS (SELECT x.id AS id1, y.id AS id2, x.raw AS name1, y.raw AS name2, {as_score("CASE WHEN x.n = y.n THEN 100.0 ELSE np.s END")} AS similarity_score
-  FROM rows x JOIN rows y ON x.id < y.id LEFT JOIN np ON np.a = x.n AND np.b = y.n WHERE x.n = y.n OR np.s >= 85)"""
+  FROM rows x JOIN rows y ON x.id < y.id LEFT JOIN np ON np.a = x.n AND np.b = y.n WHERE x.n = y.n OR np.s >= {threshold})"""
+
+
+_EXPANDED = _expanded(85)
 _CATALOG = """cat AS (SELECT min(p_partkey) AS cid, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS alt_name, min(p_brand) AS brand, min(p_type) AS kind FROM part GROUP BY p_name)"""
 
 
@@ -150,6 +157,20 @@ ag AS (SELECT id1, max(id2) FILTER (rn = 1) AS main_cid, max(similarity_score) F
 SELECT p.p_partkey AS id, main_cid, main_similarity_score, other_candidates, coalesce(total_matches, 0) AS total_matches, all_match_ids FROM part p LEFT JOIN ag ON ag.id1 = p.p_partkey"""
 
 
+_TYPES = f"ty AS (SELECT a, b, {as_score(ratio('a', 'b'))} AS s FROM (SELECT DISTINCT p_type AS a FROM part), (SELECT DISTINCT p_type AS b FROM part))"
+_MATCH_FACTS = f"""WITH {_NAMES}, {_SORTED_PAIRS}, {_EXPANDED}, {_CATALOG},
+sn AS (SELECT * FROM {_cross('p_name', 'alt_name')} WHERE s >= 85), st AS (SELECT * FROM {_cross('p_type', 'alt_name')} WHERE s >= 85), ca AS (SELECT cid, {_NORM.format('alt_name')} AS r FROM cat),
+by_name AS (SELECT p_partkey, cid FROM part JOIN sn ON sn.l = {_TOKEN} JOIN ca USING (r) WHERE p_partkey % 10 <> 0),
+by_any AS (FROM by_name UNION SELECT p_partkey, cid FROM part JOIN st ON st.l = {_NORM.format('p_type')} JOIN ca USING (r)),
+c AS (SELECT (SELECT count(*) FROM part) AS n, (SELECT count(*) FROM part WHERE p_partkey % 10 <> 0 AND trim(p_name) <> '') AS named, (SELECT count(*) FROM cat) AS other)
+SELECT t.*, 85::DOUBLE AS threshold, 'token_sort_ratio' AS scorer, true AS lowercase FROM (
+  SELECT 'self' AS matching_type, named AS entities, NULL::BIGINT AS entities2, (SELECT count(*) FROM mp WHERE id1 % 10 <> 0 AND id2 % 10 <> 0) AS found, ceil(named / 64)::BIGINT AS batches, NULL::BIGINT AS combinations FROM c
+  UNION ALL SELECT 'cross_dataset', named, other, (SELECT count(*) FROM by_name), NULL, NULL FROM c
+  UNION ALL SELECT 'cross_dataset_multi_column', n, other, (SELECT count(*) FROM by_any), NULL, 4 FROM c) t"""
+_SAID = "printf('%.1f', similarity_score)"
+_JUDGED = f"jd AS (SELECT id1, id2, {_SAID}::DOUBLE >= 90 AS keep, 'at ' || {_SAID} AS validation_reason FROM mp)"
+
+
 ORACLES: dict[str, str] = {
     "normalize_names": f"""SELECT id, name, plain AS normalized, {sort_tokens('plain')} AS sorted_tokens FROM (SELECT id, name, {_SPACE.format(f"regexp_replace({_NORM.format('name')}, '[^\\w\\s]', '', 'g')")} AS plain
       FROM (SELECT p_partkey AS id, p_name AS name FROM part UNION ALL SELECT c_custkey, c_name FROM customer))""",
@@ -201,6 +222,7 @@ ORACLES: dict[str, str] = {
     "saved_groups": f"WITH RECURSIVE {_components(80)} SELECT * FROM g",
     "group_members": f"WITH RECURSIVE {_components(80)} SELECT entity_id, entity_name FROM g WHERE entity_id = 1 OR group_id > 0 AND group_id = (SELECT group_id FROM g WHERE entity_id = 1)",
     "entities_kept": f"WITH RECURSIVE {_components(80)} SELECT entity_id FROM g WHERE group_id = 0 UNION ALL SELECT max(entity_id) FROM g WHERE group_id > 0 GROUP BY group_id",
+    "saved_pairs": f"WITH {_NAMES}, {_SORTED_PAIRS}, {_expanded(80)} SELECT id1, id2, name1, name2, similarity_score, count(*) OVER () AS duplicate_pairs FROM mp",
     "saved_cross_matches": f"WITH {_CROSS} SELECT id1 AS df1_id, id2 AS df2_id, name1 AS df1_name, name2 AS df2_name, similarity_score, 'No validation' AS validation_reason FROM cm",
     "matches_of_part": f"WITH {_CROSS} SELECT id2 AS df2_id, name2 AS df2_name, similarity_score FROM cm WHERE id1 = 1",
     "matches_of_catalog_entry": f"WITH {_CROSS} SELECT id1 AS df1_id, name1 AS df1_name, similarity_score FROM cm WHERE id2 = 1",
@@ -221,4 +243,17 @@ ORACLES: dict[str, str] = {
     "checked_sides": f"SELECT 'df1' AS side, count(*) AS n FROM documents WHERE {_CHECKS} IS NULL UNION ALL SELECT 'df2', count(*) FROM supplier WHERE s_suppkey IS NOT NULL AND trim(s_name) <> ''",
     "sanitized_columns": f"SELECT event_id, {_sanitize('event_type')} AS event_type, {_sanitize('props')} AS props FROM events",
     "reply_json": "SELECT event_id, props AS json FROM events",
+    "match_metadata": _MATCH_FACTS,
+    "judged_pairs": f"WITH {_NAMES}, {_SORTED_PAIRS}, {_EXPANDED}, {_JUDGED} SELECT * FROM jd",
+    "judged_consolidation": f"""WITH {_CROSS}, rk AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY id2) AS rn FROM cm),
+      ag AS (SELECT id1, (max(id2) FILTER (rn = 1))::VARCHAR AS main_cid, max(similarity_score) FILTER (rn = 1) AS main_similarity_score, count(*) AS total_matches, 'of ' || count(*) AS llm_reasoning,
+        string_agg(id2::VARCHAR, ', ' ORDER BY similarity_score DESC, id2::VARCHAR) FILTER (rn <> 1) AS other_candidates FROM rk GROUP BY id1)
+      SELECT p_partkey AS id, main_cid, main_similarity_score, coalesce(total_matches, 0) AS total_matches, llm_reasoning, other_candidates FROM part LEFT JOIN ag ON id1 = p_partkey""",
+    "validation_metadata": f"""WITH {_NAMES}, {_SORTED_PAIRS}, {_EXPANDED}, {_TYPES}, {_RULES}, {_JUDGED}
+      SELECT *, validated_count::DOUBLE / (validated_count + removed_count)::DOUBLE AS validation_rate FROM (
+        SELECT 'rules' AS kind, count(*) FILTER (reasons = 0) AS validated_count, count(*) FILTER (reasons > 0) AS removed_count, 90::DOUBLE AS min_score, 3::BIGINT AS metadata_rules_count, 1::BIGINT AS custom_rules_count,
+          NULL::VARCHAR AS model, NULL::BOOLEAN AS custom_rules_applied, NULL::BIGINT AS batches_from_checkpoint FROM w
+        UNION ALL SELECT 'judge', count(*) FILTER (keep), count(*) FILTER (NOT keep), NULL, NULL, NULL, 'by-score', true, 0 FROM jd)""",
+    "input_metadata": f"""SELECT 'self' AS kind, count(*) AS original_rows, count(*) FILTER ({_CHECKS} IS NULL) AS final_rows, NULL::BIGINT AS original_rows2, NULL::BIGINT AS final_rows2, 'id, name, lang' AS columns_validated FROM documents
+      UNION ALL SELECT 'cross', count(*), count(*) FILTER ({_CHECKS} IS NULL), (SELECT count(*) FROM supplier), (SELECT count(*) FROM supplier WHERE s_suppkey IS NOT NULL AND trim(s_name) <> ''), NULL FROM documents""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from samewise.operators import groups as G
 from samewise.operators import inputs as I
 from samewise.operators import pairs as P
 from samewise.operators.cap import degree_cap
+from samewise.operators.judge import LLMValidator, consolidate_by_judge
 from samewise.operators.match import FuzzyMatcher
 from samewise.operators.rules import RuleBasedValidator
 from samewise.plans import resolve as R
@@ -206,11 +209,12 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _saved(spark: SparkSession, sf_dir: str) -> G.DedupResult:
-    """The groups of parts as a result, saved and loaded."""
-    groups = materialize(_groups(spark, sf_dir), "groups")
-    pairs = spark.createDataFrame([], "id1 long, id2 long, name1 string, name2 string, similarity_score double")
+    """The groups of parts and the pairs that make them as a result, saved and loaded."""
+    parts = _parts(spark, sf_dir)
+    pairs = FuzzyMatcher(threshold=80.0).find_matches(parts).stored().pairs
+    groups = materialize(G.cluster(parts, pairs), "groups")
     path = new_path(spark, "result")
-    R.save_dedup(G.DedupResult(groups, pairs, G.statistics(groups)), path)
+    R.save_dedup(G.DedupResult(groups, pairs, G.statistics(groups, pairs=pairs)), path)
     return R.load_dedup(spark, path)
 
 
@@ -219,6 +223,12 @@ def saved_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _saved(spark, sf_dir).entity_groups
 
 
+def saved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a result that was saved and loaded, and how many its statistics speak of."""
+    result = _saved(spark, sf_dir)
+    return result.duplicate_pairs.select("id1", "id2", "name1", "name2", "similarity_score", F.lit(result.statistics.first().duplicate_pairs).cast("long").alias("duplicate_pairs"))
+
+
 def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of part 1."""
     return _saved(spark, sf_dir).get_group(1).select("entity_id", "entity_name")
@@ -335,6 +345,79 @@ def reply_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", N.extract_json(around).alias("json"))
 
 
+def match_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of three matches, as the jobs that wrote their tables and pairs observed them: parts with parts, parts with
+    the catalog by name, and by two columns each, one of the catalog's and one that no table has."""
+    parts, catalog = _parts(spark, sf_dir), _catalog(spark, sf_dir)
+    named = parts.withColumn("name", F.when(F.col("id") % 10 != 0, F.col("name")))
+    matcher = FuzzyMatcher(threshold=85.0, batch_size=64)
+    runs = (
+        matcher.find_matches(named),
+        matcher.find_cross_matches(named, catalog, "id", "cid", "name", "alt_name"),
+        matcher.find_cross_matches(named, catalog, "id", "cid", ["name", "p_type"], ["alt_name", "absent"]),
+    )
+    rows = []
+    for m in (r.stored().metadata for r in runs):
+        found = m["matches_found"] if "total_entities" in m else m["cross_matches_found"]
+        rows.append((m.get("matching_type", "self"), m["threshold"], m["scorer"], m.get("total_entities", m.get("df1_entities")), m.get("df2_entities"), found, m.get("batches_processed"), m.get("total_combinations_tried"), m["preprocessing"]["lowercase"]))
+    return spark.createDataFrame(rows, "matching_type string, threshold double, scorer string, entities long, entities2 long, found long, batches long, combinations long, lowercase boolean")
+
+
+class _ByScore:
+    """A stand-in for a model in the judge's queries. It reads the prompt and answers by the scores in it, in a fenced block
+    with talk around it: a pair is a duplicate from 90 on; of an entity's candidates it takes the one of least id."""
+
+    model, provider = "by-score", "none"
+
+    def __call__(self):
+        return self.reply
+
+    @staticmethod
+    def reply(prompt: str) -> str:
+        pairs = [(int(i), float(s)) for i, s in re.findall(r"^(\d+)\. .*, score (\d+\.\d)", prompt, re.M)]
+        said: dict = {"decisions": [{"pair_index": i, "is_duplicate": "yes" if s >= 90 else "no", "reason": f"at {s}"} for i, s in pairs]}
+        if not pairs:
+            parts = re.split(r"^Entity (\S+) \(", prompt, flags=re.M)[1:]
+            ids = [(e, re.findall(r"^  \d+\. id (\d+):", t, re.M)) for e, t in zip(parts[::2], parts[1::2], strict=True)]
+            said = {"selections": [{"entity_id": e, "selected_candidate_id": min(c, key=int), "reasoning": f"of {len(c)}"} for e, c in ids]}
+        return f"I {{looked}} at them.\n```json\n{json.dumps(said)}\n```\nThat is all."
+
+
+def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of parts as a judge decides them that goes by the score it is told."""
+    parts = _parts(spark, sf_dir)
+    pairs = FuzzyMatcher(threshold=85.0).find_matches(parts).pairs
+    return LLMValidator(_ByScore(), metadata_columns=["p_brand"]).validate(pairs, parts).annotated.select("id1", "id2", "keep", "validation_reason")
+
+
+def judged_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog entry of every part that a judge chooses which takes the candidate of least id."""
+    matches = P.cross_matches(_cross(spark, sf_dir))
+    out = consolidate_by_judge(matches, _parts(spark, sf_dir), "id", _ByScore(), "cid", df2=_catalog(spark, sf_dir), df2_key="cid", metadata_columns=("brand",))
+    return out.select("id", "main_cid", "main_similarity_score", "total_matches", "llm_reasoning", "other_candidates")
+
+
+def validation_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules and the judge tell of their pairs, observed by the jobs that write them."""
+    parts = _parts(spark, sf_dir)
+    pairs = FuzzyMatcher(threshold=85.0).find_matches(parts).stored().pairs
+    ruled = _validator().validate(pairs, parts).stored().metadata
+    judged = LLMValidator(_ByScore(), instructions="Mind the brand.", metadata_columns=["p_brand"]).validate(pairs, parts).stored().metadata
+    rows = [("rules", ruled["validated_count"], ruled["removed_count"], ruled["validation_rate"], ruled["min_score"], ruled["metadata_rules_count"], ruled["custom_rules_count"], None, None, None)]
+    rows.append(("judge", judged["validated_count"], judged["removed_count"], judged["validation_rate"], None, None, None, judged["model"], judged["custom_rules_applied"], judged["batches_from_checkpoint"]))
+    return spark.createDataFrame(rows, "kind string, validated_count long, removed_count long, validation_rate double, min_score double, metadata_rules_count long, custom_rules_count long, model string, custom_rules_applied boolean, batches_from_checkpoint long")
+
+
+def input_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checks of documents, and of documents and suppliers as two tables, tell of their rows."""
+    one = I.DeduplicationInput(additional_columns=["lang"]).check(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), "lang")).metadata
+    right = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("title"))
+    two = I.cross_input_metadata(*I.CrossDatasetInput(("id", "key"), ["name"], ["title"]).check(_entities(spark, sf_dir), right))
+    rows = [("self", one["original_row_count"], one["final_row_count"], None, None, ", ".join(one["columns_validated"]))]
+    rows.append(("cross", two["df1_original_rows"], two["df1_final_rows"], two["df2_original_rows"], two["df2_final_rows"], None))
+    return spark.createDataFrame(rows, "kind string, original_rows long, final_rows long, original_rows2 long, final_rows2 long, columns_validated string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_names": normalize_names,
     **{f"{k.lower()}_pairs": _pairs_of(k) for k in THRESHOLDS},
@@ -365,6 +448,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_round_trip": csv_round_trip,
     "json_round_trip": json_round_trip,
     "saved_groups": saved_groups,
+    "saved_pairs": saved_pairs,
     "group_members": group_members,
     "entities_kept": entities_kept,
     "saved_cross_matches": saved_cross_matches,
@@ -384,4 +468,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "checked_sides": checked_sides,
     "sanitized_columns": sanitized_columns,
     "reply_json": reply_json,
+    "match_metadata": match_metadata,
+    "judged_pairs": judged_pairs,
+    "judged_consolidation": judged_consolidation,
+    "validation_metadata": validation_metadata,
+    "input_metadata": input_metadata,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from samewise.errors import ConfigurationError
 
@@ -45,3 +45,14 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     df = df.withColumns(voids) if voids else df
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, name: str, facts: dict[str, Column], path: str | None = None) -> tuple[DataFrame, dict]:
+    """materialize, and the values of these aggregates over df, observed by the job that writes it.
+
+    The observation stands right above the write, so it belongs to the last stage, where a partition counts once even if
+    its task is repeated after a loss. Tables without a row give 0 for counts, null for other aggregates.
+    """
+    seen = Observation()
+    stored = materialize(df.observe(seen, *[c.alias(k) for k, c in facts.items()]), name, path)
+    return stored, dict(seen.get)

@@ -217,3 +217,21 @@ def test_names_that_differ_by_case_only_raise(spark):
     for run in (lambda m: m.find_matches(df), lambda m: m.find_cross_matches(df, df)):
         with pytest.raises(DataValidationError, match="2 columns"):
             run(M.FuzzyMatcher())
+
+
+def test_facts_are_observed_by_the_jobs_that_write(spark, entities):
+    found = M.FuzzyMatcher(batch_size=4).find_matches(entities)
+    assert (found.metadata["total_entities"], found.metadata["batches_processed"]) == (6, 2) and "matches_found" not in found.metadata
+    stored = found.stored()
+    assert stored.metadata == {**found.metadata, "matches_found": 2} and stored.pairs.count() == 2
+    assert stored.counts().first().asDict() == found.counts().first().asDict() == {"total_entities": 6, "matches_found": 2}
+    for few in (entities.limit(0), entities.where("id in ('E1', 'E6', 'E7')")):
+        none = M.FuzzyMatcher().find_matches(few).stored()
+        assert none.metadata["matches_found"] == 0 and none.metadata["message"] and none.pairs.count() == 0
+    right = spark.createDataFrame([("R1", "apple inc.", None), ("R2", None, "tesla inc."), ("R3", None, None)], "rid string, title string, other string")
+    one = M.FuzzyMatcher().find_cross_matches(entities, right, "id", "rid", "name", "title").stored().metadata
+    assert [one[k] for k in ("df1_entities", "df2_entities", "cross_matches_found", "matching_type")] == [6, 1, 2, "cross_dataset"]
+    many = M.FuzzyMatcher().find_cross_matches(entities, right, "id", "rid", ["name"], ["title", "other", "absent"]).stored().metadata
+    assert [many[k] for k in ("df1_entities", "df2_entities", "cross_matches_found", "total_combinations_tried")] == [8, 3, 3, 3]
+    empty = M.FuzzyMatcher().find_cross_matches(entities, right.limit(0), "id", "rid", ["name"], ["title", "other"]).stored()
+    assert empty.metadata["cross_matches_found"] == empty.metadata["df2_entities"] == empty.pairs.count() == 0 and empty.metadata["message"]

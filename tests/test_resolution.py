@@ -301,3 +301,50 @@ def test_python_predicates(spark, df):
         assert said.keep == (start and known)
         assert ("Failed custom rule: start" in said.validation_reason) == (not start) and ("Failed custom rule: bad" in said.validation_reason) == (not known)
     assert out.metadata["rule_errors"].get == {"start": 0, "bad": sum(countries[r.id1] is not None for r in rows)} and rows
+
+
+def test_facts_of_validation_are_observed_by_the_job_that_writes(spark, df):
+    pairs = FuzzyMatcher(threshold=60).find_matches(df).stored().pairs
+    out = RuleBasedValidator(90, custom_rules={"fails": lambda pair: 1 / 0}).validate(pairs, df)
+    stored = out.stored()
+    kept, n = out.validated_pairs.count(), pairs.count()
+    want = {"min_score": 90, "metadata_rules_count": 0, "custom_rules_count": 1, "rule_errors": {"fails": n}, "validated_count": kept, "removed_count": n - kept, "validation_rate": kept / n}
+    assert stored.metadata == want and 0 < kept < n and stored.removed_pairs.count() == n - kept
+    nothing = RuleBasedValidator(90).validate(pairs.limit(0), df).stored()
+    assert [nothing.metadata[k] for k in ("validated_count", "removed_count", "validation_rate")] == [0, 0, 0.0] and nothing.annotated.count() == 0
+
+
+def test_batches_of_the_judge_are_counted(spark, df, tmp_path):
+    class Model:
+        model, provider = "m", "p"
+
+        def __call__(self):
+            return lambda prompt: '{"decisions": [{"pair_index": 0, "is_duplicate": false, "reason": "no"}]}'
+
+    rows = [(i, i + 100, "a", f"b{i}", 90.0) for i in range(7)]
+    pairs = spark.createDataFrame(rows, "id1 long, id2 long, name1 string, name2 string, similarity_score double")
+    none = spark.createDataFrame([], "id long, name string")
+    judge = J.LLMValidator(Model(), batch_size=3, n_workers=1, instructions="x")
+    out = judge.validate(pairs, none).stored().metadata
+    assert [out[k] for k in ("model", "provider", "batches_processed", "batches_from_checkpoint", "custom_rules_applied")] == ["m", "p", 3, 0, True]
+    assert [out[k] for k in ("validated_count", "removed_count")] == [4, 3]
+    judge.progress_groups = 1
+    folder = str(tmp_path / "progress")
+    first = judge.validate(pairs.where("id1 < 3"), none, progress=folder).metadata
+    assert (first["batches_processed"], first["batches_from_checkpoint"]) == (1, 0)
+    second = judge.validate(pairs, none, progress=folder).stored().metadata
+    assert (second["batches_processed"], second["batches_from_checkpoint"], second["validated_count"] + second["removed_count"]) == (3, 1, 7)
+    assert J.LLMValidator(_judge("?"), max_retries=1).validate(pairs.limit(0), none).metadata["batches_processed"] == 0
+
+
+def test_facts_of_inputs(spark):
+    raw = spark.createDataFrame([("1", " a ", None), ("2", None, "x"), ("1", "b", "x"), ("4", "y" * 10_001, "x")], "id string, name string, tier string")
+    one = I.DeduplicationInput(additional_columns=["tier"]).check(raw)
+    assert (one.metadata["original_row_count"], one.metadata["final_row_count"], one.metadata["columns_validated"]) == (4, 2, ["id", "name", "tier"])
+    assert any("tier" in w for w in one.warnings)
+    two = I.CrossDatasetInput().check(raw, raw.limit(1))
+    both = I.cross_input_metadata(*two)
+    assert [both[f"df{i}_{k}"] for k in ("original_rows", "final_rows") for i in (1, 2)] == [4, 1, 2, 1]
+    assert both["df2_quality_score"] == two[1].metadata["data_quality_score"] and both["validation_warnings"] == two[0].warnings + two[1].warnings
+    with pytest.raises(DataValidationError):
+        I.DeduplicationInput(additional_columns=["absent"]).check(raw)
