@@ -20,12 +20,14 @@ from samewise.functions import normalize as N
 from samewise.functions import scorers as S
 from samewise.operators.cap import degree_cap
 from samewise.operators.grid import grid_pairs
-from samewise.operators.order import spread
+from samewise.operators.order import join_dealt, spread
 from samewise.operators.segments import SegmentJoin
 from samewise.sources.shared import materialize, materialize_counted
 
 #: Most names in a tile.
 TILE = 16_384
+#: Rows of a name in one deal; a name of more rows is cut into several, about equal ones.
+DEAL = 512
 #: The index of segments is asked from so many pairs in reach on, and taken if it has so many times fewer candidates.
 MANY, GAIN = 4_000_000_000, 20
 
@@ -94,6 +96,24 @@ def _order(order_by: str, id_column: str, *more: Column) -> Column:
     return F.struct(F.col(order_by).alias("by"), F.col(id_column).alias("id"), *[c.alias(f"more{i}") for i, c in enumerate(more)], F.monotonically_increasing_id().alias("row")).alias("_ord")
 
 
+def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with a deal, and (name, deals) of the names that have several."""
+    hot = rows.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > DEAL).select("name", F.ceil(F.col("n") / DEAL).cast("int").alias("deals"))
+    hot = materialize(hot, "deals")
+    return join_dealt(rows, hot, "name", "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("_ord"), F.col("deals")).cast("int"), F.lit(0))).drop("deals"), hot
+
+
+def _expand(a: DataFrame, b: DataFrame, edges: DataFrame, hot_a: DataFrame, hot_b: DataFrame) -> DataFrame:
+    """Rows of a (name_a, deal_a) and of b (name_b, deal_b) whose names edges links. A pair of names is a grid of deals, so no
+    key holds more than about DEAL rows of b, and the names of many rows are the work of many tasks, whose number is
+    fixed since few bytes mean many pairs."""
+    cells = edges
+    for side, hot in (("a", hot_a), ("b", hot_b)):
+        counts = hot.select(F.col("name").alias(f"name_{side}"), "deals")
+        cells = cells.join(counts, f"name_{side}", "left").withColumn(f"deal_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
+    return spread(a.join(cells, ["name_a", "deal_a"]), "name_b", "deal_b").join(b, ["name_b", "deal_b"])
+
+
 @dataclass
 class FuzzyMatcher:
     """Finds pairs of rows whose names are alike. Options as in the reference: see the README."""
@@ -146,9 +166,10 @@ class FuzzyMatcher:
         alike = different.select("name_a", "name_b", "similarity_score").union(different.select(F.col("name_b"), F.col("name_a"), "similarity_score"))
         same = rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.col("name").alias("name_a"), F.col("name").alias("name_b"), self._same().alias("similarity_score"))
         edges = materialize(alike.union(same.where(F.col("similarity_score") >= self.threshold)), "names")
-        a = spread(rows, "_ord").select(F.col("id").alias("id1"), F.col("raw").alias("name1"), F.col("_ord").alias("o1"), F.col("name").alias("name_a"))
-        b = rows.select(F.col("id").alias("id2"), F.col("raw").alias("name2"), F.col("_ord").alias("o2"), F.col("name").alias("name_b"))
-        pairs = a.join(edges, "name_a").join(b, "name_b").where("o1 < o2").select("id1", "id2", "name1", "name2", "similarity_score", "o1", "o2")
+        dealt, hot = _dealt(rows)
+        a = dealt.select(F.col("id").alias("id1"), F.col("raw").alias("name1"), F.col("_ord").alias("o1"), F.col("name").alias("name_a"), F.col("deal").alias("deal_a"))
+        b = dealt.select(F.col("id").alias("id2"), F.col("raw").alias("name2"), F.col("_ord").alias("o2"), F.col("name").alias("name_b"), F.col("deal").alias("deal_b"))
+        pairs = _expand(a, b, edges, hot, hot).where("o1 < o2").select("id1", "id2", "name1", "name2", "similarity_score", "o1", "o2")
         if self.max_matches_per_entity is not None:
             pairs = degree_cap(pairs, self.max_matches_per_entity, [F.col("o1.row")], [F.col("o2.row")], F.struct(-F.col("similarity_score"), "o1", "o2"))
         n, size = seen["total_entities"], self.batch_size or TILE
@@ -170,9 +191,10 @@ class FuzzyMatcher:
         long1, seen1 = self._long(df1, id_column1, here1, order_by1, single)
         long2, seen2 = self._long(df2, id_column2, here2, order_by2, single)
         alike = materialize(self._name_pairs(long1, long2), "names")
-        a = spread(long1, "_ord", "at").select(F.col("id").alias("id1"), F.col("raw").alias("name1"), F.col("_ord").alias("o1"), F.col("name").alias("name_a"), F.col("col").alias("matched_column1"), F.col("at").alias("at1"))
-        b = long2.select(F.col("id").alias("id2"), F.col("raw").alias("name2"), F.col("_ord").alias("o2"), F.col("name").alias("name_b"), F.col("col").alias("matched_column2"), F.col("at").alias("at2"))
-        pairs = a.join(alike, "name_a").join(b, "name_b")
+        (dealt1, hot1), (dealt2, hot2) = _dealt(long1), _dealt(long2)
+        a = dealt1.select(F.col("id").alias("id1"), F.col("raw").alias("name1"), F.col("_ord").alias("o1"), F.col("name").alias("name_a"), F.col("col").alias("matched_column1"), F.col("at").alias("at1"), F.col("deal").alias("deal_a"))
+        b = dealt2.select(F.col("id").alias("id2"), F.col("raw").alias("name2"), F.col("_ord").alias("o2"), F.col("name").alias("name_b"), F.col("col").alias("matched_column2"), F.col("at").alias("at2"), F.col("deal").alias("deal_b"))
+        pairs = _expand(a, b, alike, hot1, hot2)
         if single:
             pairs = pairs.withColumn("matched_column1", F.lit("name")).withColumn("matched_column2", F.lit("name"))
             if self.max_matches_per_entity is not None:

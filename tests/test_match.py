@@ -235,3 +235,14 @@ def test_facts_are_observed_by_the_jobs_that_write(spark, entities):
     assert [many[k] for k in ("df1_entities", "df2_entities", "cross_matches_found", "total_combinations_tried")] == [8, 3, 3, 3]
     empty = M.FuzzyMatcher().find_cross_matches(entities, right.limit(0), "id", "rid", ["name"], ["title", "other"]).stored()
     assert empty.metadata["cross_matches_found"] == empty.metadata["df2_entities"] == empty.pairs.count() == 0 and empty.metadata["message"]
+
+
+def test_names_of_many_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(M, "DEAL", 3)
+    rows = [(i, "red bolt" if i % 3 else "red bolts" if i % 2 else f"gear {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, name string")
+    got = {(r.id1, r.id2): r.similarity_score for r in M.FuzzyMatcher(threshold=80, scorer="ratio").find_matches(df).pairs.collect()}
+    assert got == brute(rows, "ratio", 80.0)
+    cross = M.FuzzyMatcher(threshold=80, scorer="ratio").find_cross_matches(df, df).pairs.collect()
+    want = {(i, i) for i, _ in rows} | {*got} | {(j, i) for i, j in got}
+    assert {(r.id1, r.id2) for r in cross} == want and len(cross) == len(want)
