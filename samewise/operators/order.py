@@ -23,8 +23,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def join_dealt(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined to facts, which holds each value of key at most once. Rows of one value are dealt to many tasks, however
-    many they are: only the distinct (value, deal) meet facts by the value alone. rows are stored for that."""
+    """rows joined to facts. Rows of one value of key are dealt to many tasks, however many they are: only the distinct
+    (value, deal) meet facts by the value alone, and what facts hold of a value goes along to each of its deals. rows
+    are stored for that. A null key meets nothing."""
     stored = materialize(rows.withColumn(_DEAL, F.pmod(F.monotonically_increasing_id(), F.lit(_DEALS))), "dealt")
     met = stored.select(key, _DEAL).distinct().join(facts, key)
     return stored.join(met, [key, _DEAL], how).drop(_DEAL)
