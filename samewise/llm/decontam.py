@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.text import fresh, let
+from samewise.operators.order import join_dealt
 from samewise.sources.shared import materialize
 
 WORDS = 5
 #: SHARE as a fraction of whole numbers: 4 / 5.
 SHARE = (4, 5)
-#: A side of at most so many rows or characters is broadcast; beyond it Spark shuffles both sides.
+#: A side of at most so many rows or characters is broadcast; beyond it Spark shuffles both sides, dealing out the documents
+#: of one hash, which may be that of a passage in very many of them.
 BROADCAST_ROWS, BROADCAST_CHARS = 500_000, 8_000_000
 
 
@@ -73,7 +75,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     chars = cut.agg(F.sum(F.length(F.array_join("item", "")))).first()[0] or 0
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     low = own.select("doc_id", "text_hash", F.explode(F.filter(_hashes(F.col("text")), lambda h: h <= F.lit(most if most is not None else -(2**63)))).alias("h"))
-    hits = low.join(_small(sketch, n <= BROADCAST_ROWS), "h").groupBy("doc_id", "text_hash", "item_id", "row", "need").agg(F.count_distinct("h").alias("hits"))
+    met = low.join(F.broadcast(sketch), "h") if n <= BROADCAST_ROWS else join_dealt(low, sketch, "h")
+    hits = met.groupBy("doc_id", "text_hash", "item_id", "row", "need").agg(F.count_distinct("h").alias("hits"))
     found = materialize(hits.where("hits >= need").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("item_id").alias("item_id_"), F.col("row").alias("row_")), "candidates")
     pairs = found.join(own, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")))
     checked = pairs.join(_small(cut, chars <= BROADCAST_CHARS), (F.col("row") == F.col("row_")) & F.col("item_id").eqNullSafe(F.col("item_id_")))

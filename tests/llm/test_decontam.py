@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from samewise.llm import decontam as D
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -11,7 +13,11 @@ def grams(text):
     return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_against_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:  # as with a large benchmark: both sides are shuffled, the documents of a hash dealt out
+        monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(D, "BROADCAST_CHARS", 0)
     rnd = random.Random(4)
     say = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n))
     items = [(i, say(rnd.randint(5, 70))) for i in range(60)] + [(60, "too short item"), (61, None), (62, ""), (None, say(30)), (5, say(20)), (7, "W1, w2; w3! w4 w5? W6")]
