@@ -13,8 +13,9 @@ than MAX_DEPTH in a pre-token is computed without being kept. Neither changes a
 Scores: a sentencepiece model file gives pieces and scores. Files of BPE kind hold merge ranks in place of
 log probabilities; for these, rank r is scored as ln(1 / (r + 2)) (Zipf's law).
 
-Edge cases: null and blank texts have 0 tokens; repeated rows are counted each; empty tables give empty
-results.
+Edge cases: null and blank texts have 0 tokens; repeated rows are counted each; other columns are ignored; of segmentations
+with equal scores that with the longest last piece counts; a very long word takes memory in proportion to its length, as
+a text does; empty tables give empty results.
 """
 
 from __future__ import annotations
