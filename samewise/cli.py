@@ -87,7 +87,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "show-group":
         result = R.load_dedup(spark, args.folder)
         kind = dict(result.entity_groups.dtypes)["entity_id"]
-        for r in result.get_group(int(args.entity_id) if kind in ("bigint", "int") else args.entity_id).collect():
+        for r in result.get_group(int(args.entity_id) if kind in ("bigint", "int") else args.entity_id).toLocalIterator():  # a part at a time
             print(f"{r.entity_id}\t{r.entity_name}")
     elif args.command == "remove":
         df = files.load_data(spark, args.input)

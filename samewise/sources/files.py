@@ -61,9 +61,13 @@ def save_data(df: DataFrame, path: str, mode: str = "overwrite", **options) -> N
 
 
 def save_sheets(sheets: dict[str, DataFrame], path: str, clean: bool = True) -> None:
-    """An Excel file of several sheets, cleaned of control characters. A sheet holds at most 1,048,575 rows; more raise."""
+    """An Excel file of several sheets, cleaned of control characters. A sheet holds at most 1,048,575 rows, and its name 31
+    characters, of which none is told by case; more rows, longer names and names that clash raise."""
     import pandas as pd
 
+    if max(map(len, sheets), default=0) > 31 or len({n.lower() for n in sheets}) < len(sheets):
+        raise DataValidationError("names of sheets differ in more than case and have 31 characters at most", sheets=list(sheets))
+
     if parent := os.path.dirname(path):
         os.makedirs(parent, exist_ok=True)
     with pd.ExcelWriter(path) as writer:
@@ -71,7 +75,7 @@ def save_sheets(sheets: dict[str, DataFrame], path: str, clean: bool = True) ->
             rows = (clean_for_excel(df) if clean else df).limit(1_048_576).toPandas()
             if len(rows) > 1_048_575:
                 raise DataValidationError("too many rows for a sheet", sheet=name)
-            rows.to_excel(writer, sheet_name=name[:31], index=False)
+            rows.to_excel(writer, sheet_name=name, index=False)
 
 
 def load_config(path: str) -> dict:

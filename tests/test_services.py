@@ -256,3 +256,10 @@ def test_a_local_folder_on_a_cluster_raises(spark, tmp_path):
     inside.write("a.json", "ü")
     inside.write("a.json", "{}")
     assert inside.names() == ["a.json"] and inside.read("a.json") == "{}" and inside.size("a.json") == 2
+
+
+def test_clashing_sheet_names(spark, tmp_path):
+    df = spark.range(2)
+    for names in (("a", "A"), ("x" * 32,)):
+        with pytest.raises(E.DataValidationError, match="names of sheets"):
+            files.save_sheets(dict.fromkeys(names, df), str(tmp_path / "s.xlsx"))
