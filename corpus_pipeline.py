@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return
 the columns of documents; the last returns each kept document with its place in the mix. Rows are dropped
 for what they are, so repeated rows, nulls and extra columns pass as the operators' docstrings say.
+
+Edge cases: an empty table stays empty in every stage; without labels only the base rules reject, without benchmark items
+nothing leaks; null and empty texts fail the base rules; of near-duplicates with one doc_id a single row stays; texts equally
+near to two languages have no margin and go; very long texts are read whole; columns that bear names which operators use
+inside are carried along unharmed.
 """
 
 from __future__ import annotations
