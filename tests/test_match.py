@@ -246,3 +246,15 @@ def test_names_of_many_rows_are_dealt(spark, monkeypatch):
     cross = M.FuzzyMatcher(threshold=80, scorer="ratio").find_cross_matches(df, df).pairs.collect()
     want = {(i, i) for i, _ in rows} | {*got} | {(j, i) for i, j in got}
     assert {(r.id1, r.id2) for r in cross} == want and len(cross) == len(want)
+
+
+def test_pairs_of_many_equal_names_are_counted_without_expanding_them(spark):
+    # 60,000 rows of two linked names: 1.8 thousand million pairs, which would not be counted one by one in a test
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, "large ring").otherwise("large rings").alias("name"))
+    found = M.FuzzyMatcher(threshold=80, scorer="ratio").find_matches(rows)
+    assert found.counts().first().matches_found == found.counted().metadata["matches_found"] == 60_000 * 59_999 // 2
+    few = rows.where("id < 40")
+    found = M.FuzzyMatcher(threshold=99, scorer="ratio").find_matches(few)
+    assert found.count() == found.pairs.count() == 14 * 13 // 2 + 26 * 25 // 2
+    cross = M.FuzzyMatcher(threshold=80, scorer="ratio").find_cross_matches(few, few.limit(7))
+    assert cross.counted().metadata["cross_matches_found"] == cross.pairs.count() == 280
