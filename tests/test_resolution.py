@@ -348,3 +348,16 @@ def test_facts_of_inputs(spark):
     assert both["df2_quality_score"] == two[1].metadata["data_quality_score"] and both["validation_warnings"] == two[0].warnings + two[1].warnings
     with pytest.raises(DataValidationError):
         I.DeduplicationInput(additional_columns=["absent"]).check(raw)
+
+
+def test_a_result_of_many_equal_names_is_saved_as_classes(spark, tmp_path):
+    # 40,000 rows of two linked names: 800 million pairs, which are counted and saved without being expanded
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 3 == 0, "large ring").otherwise("large rings").alias("name"))
+    matcher = FuzzyMatcher(threshold=80)
+    classes = matcher.find_matches(rows).classes
+    groups = G.cluster_by_name(rows.withColumn("n", matcher.normalised(F.col("name"))), classes.links, "n")
+    R.save_dedup(G.DedupResult(groups, None, G.statistics(groups, n_pairs=classes.count()), classes), str(tmp_path / "out"))
+    loaded = R.load_dedup(spark, str(tmp_path / "out"))
+    assert loaded.statistics.first().duplicate_pairs == 40_000 * 39_999 // 2
+    assert [r.entity_id for r in loaded.get_entities_to_keep("last").collect()] == [39_999]
+    assert loaded.classes.links.count() == 1 and loaded.classes.rows.count() == 40_000
