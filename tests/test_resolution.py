@@ -361,3 +361,17 @@ def test_a_result_of_many_equal_names_is_saved_as_classes(spark, tmp_path):
     assert loaded.statistics.first().duplicate_pairs == 40_000 * 39_999 // 2
     assert [r.entity_id for r in loaded.get_entities_to_keep("last").collect()] == [39_999]
     assert loaded.classes.links.count() == 1 and loaded.classes.rows.count() == 40_000
+
+
+def test_rules_count_classes_as_they_judge_pairs(spark):
+    rows = [(i, ["large ring", "large rings"][i % 2], [None, "x", "y"][i % 3], float(i % 4 * 20 + 40), i % 5) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, name string, brand string, price double, size int")
+    rules = {"brand": {"operator": "exact"}, "price": {"operator": "inequality", "max_diff_percent": 40.0}, "name": {"operator": "fuzzy", "threshold": 90.0}}
+    found = FuzzyMatcher(threshold=80).find_matches(df)
+    for custom, told in ((lambda: F.abs(F.col("size_1") - F.col("size_2")) <= 2, True), (lambda: F.col("size_1") <= F.col("size_2"), False)):
+        judge = RuleBasedValidator(90, rules, {"size": custom})
+        out, plain = judge.validate(found, df), judge.validate(found.pairs, df)
+        assert (out.tally() is not None) == told
+        want = plain.annotated.agg(F.count("*"), F.count_if("keep")).first()
+        assert out.counts().first()[:2] == want and want[0] == 435
+        assert out.flags.where("keep").count() == want[1]
