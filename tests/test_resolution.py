@@ -375,3 +375,14 @@ def test_rules_count_classes_as_they_judge_pairs(spark):
         want = plain.annotated.agg(F.count("*"), F.count_if("keep")).first()
         assert out.counts().first()[:2] == want and want[0] == 435
         assert out.flags.where("keep").count() == want[1]
+
+
+def test_judge_is_asked_once_about_rows_that_it_is_told_the_same_of(spark):
+    rows = [(i, ["Large ring", "large rings"][i % 2], [None, "x"][i // 2 % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, name string, country string")
+    found = FuzzyMatcher(threshold=80).find_matches(df)
+    said = '{"decisions": [{"pair_index": 0, "is_duplicate": false, "reason": "r"}]}'
+    out = J.LLMValidator(_judge(said), batch_size=1, metadata_columns=["country"]).validate(found, df)
+    assert out.metadata["batches_processed"] <= 16  # of 780 pairs: four kinds of rows in either order
+    got = out.annotated.agg(F.count("*"), F.count_if("keep"), F.count_distinct("id1", "id2")).first()
+    assert tuple(got) == (780, 0, 780) and out.tally() == (780, 0)
