@@ -69,31 +69,58 @@ def _main_rank(config: ConsolidationConfig, matches: DataFrame) -> DataFrame:
     raise ConfigurationError("priority_mode is strict or threshold", priority_mode=config.priority_mode)
 
 
+def _frames(rows: pa.Table, starts: list[int]) -> Iterator[pd.DataFrame]:
+    """rows from each of starts to the next as a frame of their own. All are converted at once, which costs far less than one by one,
+    but for columns whose type in pandas hangs on which rows are converted together: those with nulls, and nested ones."""
+    alone = [i for i, c in enumerate(rows.columns) if pa.types.is_nested(c.type) or c.null_count and (pa.types.is_integer(c.type) or pa.types.is_boolean(c.type))]
+    frame = rows.to_pandas()
+    for start, stop in zip(starts, starts[1:], strict=False):
+        part = frame.iloc[start:stop].copy()
+        part.index = pd.RangeIndex(stop - start)
+        for i in alone:
+            part.isetitem(i, rows.column(i).slice(start, stop - start).to_pandas())
+        yield part
+
+
 def _selected(pick: Callable[[pd.DataFrame], pd.Series]):
     """Adds _rn, 1 for the row that pick chooses of the rows of one df1_id. These come together; a task holds those of one
     id and of one batch."""
 
-    def judged(rows: pa.Table) -> pa.Table:
-        chosen = pick(rows.to_pandas()).name
-        return rows.append_column("_rn", pa.array([1 if i == chosen else 2 for i in range(rows.num_rows)], pa.int32()))
+    def judged(rows: pa.Table, starts: list[int]) -> pa.Table:
+        ranks: list[int] = []
+        for part in _frames(rows, starts):
+            chosen = pick(part).name
+            ranks += [1 if i == chosen else 2 for i in range(len(part))]
+        return rows.append_column("_rn", pa.array(ranks, pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []  # of the last id so far, whose rows may go on
+
+        def release() -> pa.Table:
+            rows = pa.concat_tables(held)
+            held.clear()
+            return judged(rows, [0, rows.num_rows])
+
         for batch in batches:
             rows, done = pa.Table.from_batches([batch]), []
             ids = rows["df1_id"].to_pylist()
             if not ids:
                 continue
             starts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
-            for start, stop in zip(starts, starts[1:], strict=False):
-                if held and ids[start] != held[0]["df1_id"][0].as_py():
-                    done.append(judged(pa.concat_tables(held)))
-                    held = []
-                held.append(rows.slice(start, stop - start))
+            if held and ids[0] == held[0]["df1_id"][0].as_py():
+                held.append(rows.slice(0, starts[1]))
+                starts = starts[1:]
+            if len(starts) > 1:
+                if held:
+                    done.append(release())
+                first, last = starts[0], starts[-2]
+                if first < last:
+                    done.append(judged(rows.slice(first, last - first), [i - first for i in starts[:-1]]))
+                held.append(rows.slice(last))
             if done:
                 yield from pa.concat_tables(done).combine_chunks().to_batches()
         if held:
-            yield from judged(pa.concat_tables(held)).combine_chunks().to_batches()
+            yield from release().combine_chunks().to_batches()
 
     return run
 

@@ -116,6 +116,27 @@ def test_selected_rows_over_batches():
     assert [*C._selected(lambda g: g.iloc[0])(iter(()))] == []
 
 
+def test_selection_converts_rows_together_not_one_by_one():
+    import time
+
+    n = 2000
+    table = pa.table({"df1_id": range(n), "name": ["a"] * n, "df2_id": range(n), "score": [90.0] * n, "reason": ["b"] * n})
+    start = time.perf_counter()
+    for i in range(n):
+        table.slice(i, 1).to_pandas()
+    alone, start = time.perf_counter() - start, time.perf_counter()
+    got = pa.Table.from_batches(C._selected(lambda g: g.iloc[0])(iter(table.to_batches())))
+    assert got["_rn"].to_pylist() == [1] * n and time.perf_counter() - start < 0.7 * alone
+
+
+def test_selection_sees_the_types_of_its_rows_alone():
+    table = pa.table({"df1_id": [1, 1, 2, 3], "v": pa.array([2**60 + 1, 3, None, 4], pa.int64()), "b": pa.array([True, False, None, True]), "l": pa.array([[2**60 + 1], [2], [None], [3]], pa.list_(pa.int64()))})
+    starts = [0, 2, 3, 4]
+    for got, i, j in zip(C._frames(table, starts), starts, starts[1:], strict=False):
+        pd.testing.assert_frame_equal(got, table.slice(i, j - i).to_pandas())
+        got["v"] = 0  # a frame of its own, which may be written to
+
+
 def _judge(reply):
     return lambda: (lambda prompt: reply)
 
