@@ -170,6 +170,26 @@ def test_judge(spark, df):
     assert rich["C1"].main_eid == "E2" and rich["C1"].other_candidates == "E1" and rich["C3"].other_candidates is None
 
 
+def test_answers_of_the_judge_leave_by_the_batch(spark, monkeypatch):
+    frame = pd.DataFrame({"_pair": [str(i) for i in range(25)], "name1": "a", "name2": "b", "similarity_score": 90.0})
+    said = _judge('{"decisions": [{"pair_index": 0, "is_duplicate": false, "reason": "no"}]}')
+    (out,) = J.LLMValidator(said, batch_size=10)._judge()(iter([frame]))
+    assert [*out._pair] == [*frame._pair] and [i for i, f in enumerate(out._first) if f] == [0, 10, 20] == [i for i, k in enumerate(out.keep) if not k]
+    seen = {}
+    monkeypatch.setattr(J, "_answers", lambda todo, key, run, *more, **how: seen.update(todo=todo, run=run) or (todo.select(F.col("df1_id").alias("_of"), F.lit(1).cast("long").alias("total_matches")), 0, 0))
+    matches = spark.createDataFrame([(i, "a", 1, "x", 90.0) for i in range(12)], "df1_id long, df1_name string, df2_id long, df2_name string, similarity_score double")
+    J.consolidate_by_judge(matches, spark.range(12), "id", _judge('{"selections": []}'))
+    (got,) = seen["run"](iter(seen["todo"].coalesce(1).toArrow().combine_chunks().to_batches()))
+    assert got.num_rows == 12 and sum(got["_first"].to_pylist()) == 3
+
+
+def test_judge_is_told_whole_ids_beside_a_null(spark):
+    matches = spark.createDataFrame([(1, "a", 5, "x", 90.0), (None, "b", 6, "y", 95.0)], "df1_id long, df1_name string, df2_id long, df2_name string, similarity_score double").coalesce(1)
+    said = _judge('{"selections": [{"entity_id": 1, "selected_candidate_id": 5}]}')
+    got = J.consolidate_by_judge(matches, spark.range(1, 2), "id", said, n_workers=1).first()
+    assert got.main_df2_id == "5" and got.total_matches == 1
+
+
 class Counting:
     """A client that notes its prompts in a folder and fails where a marker is set."""
 
