@@ -258,3 +258,15 @@ def test_pairs_of_many_equal_names_are_counted_without_expanding_them(spark):
     assert found.count() == found.pairs.count() == 14 * 13 // 2 + 26 * 25 // 2
     cross = M.FuzzyMatcher(threshold=80, scorer="ratio").find_cross_matches(few, few.limit(7))
     assert cross.counted().metadata["cross_matches_found"] == cross.pairs.count() == 280
+
+
+def test_many_rows_that_match_one_name_are_the_work_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "DEAL", 4)
+    monkeypatch.setitem(M.FuzzyMatcher.find_cross_matches.__globals__, "spread", lambda df, *keys: df.repartition(8, *keys))
+    left = spark.range(400).select("id", F.lit("large ring").alias("name"), F.lit("STEEL").alias("kind"))
+    right = spark.createDataFrame([(1, "large rings", "STEEL"), (2, "gear", "STEEL")], "id long, name string, kind string")
+    found = M.FuzzyMatcher(threshold=80, scorer="ratio").find_cross_matches(left, right).pairs
+    per = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 400 and max(per) < 200
+    best = M.FuzzyMatcher(threshold=80, scorer="ratio").find_cross_matches(left, right, name_columns1=["name", "kind"], name_columns2=["name", "kind"]).pairs.collect()
+    assert {(r.id1, r.id2, r.matched_column1) for r in best} == {(i, j, "kind") for i in range(400) for j in (1, 2)} and len(best) == 800
