@@ -270,3 +270,15 @@ def test_many_rows_that_match_one_name_are_the_work_of_many_tasks(spark, monkeyp
     assert sum(per) == 400 and max(per) < 200
     best = M.FuzzyMatcher(threshold=80, scorer="ratio").find_cross_matches(left, right, name_columns1=["name", "kind"], name_columns2=["name", "kind"]).pairs.collect()
     assert {(r.id1, r.id2, r.matched_column1) for r in best} == {(i, j, "kind") for i in range(400) for j in (1, 2)} and len(best) == 800
+
+
+def test_copies_of_rows_for_cells_grow_with_rows_not_with_pairs(spark, monkeypatch):
+    monkeypatch.setattr(M, "DEAL", 4)
+    monkeypatch.setattr(M, "CELLS", 8, raising=False)
+    copies = []
+    monkeypatch.setattr(M, "spread", lambda df, *keys: copies.append(df) or df)
+    for n in (100, 400):
+        rows = [(i, "large ring" if i % 2 else "large rings" if i < n // 2 else "gear") for i in range(n)]
+        got = [(r.id1, r.id2) for r in M.FuzzyMatcher(threshold=80, scorer="ratio").find_matches(spark.createDataFrame(rows, "id long, name string")).pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == {*brute(rows, "ratio", 80.0)}
+        assert copies[-1].count() <= 8 * n  # 18 and 71 a row when deals did not grow and met in both orders
