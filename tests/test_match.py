@@ -282,3 +282,11 @@ def test_copies_of_rows_for_cells_grow_with_rows_not_with_pairs(spark, monkeypat
         got = [(r.id1, r.id2) for r in M.FuzzyMatcher(threshold=80, scorer="ratio").find_matches(spark.createDataFrame(rows, "id long, name string")).pairs.collect()]
         assert len(got) == len(set(got)) and set(got) == {*brute(rows, "ratio", 80.0)}
         assert copies[-1].count() <= 8 * n  # 18 and 71 a row when deals did not grow and met in both orders
+
+
+def test_pairs_are_expanded_when_asked_for(spark, monkeypatch):
+    asked, real = [], M.expand_classes
+    monkeypatch.setattr(M, "expand_classes", lambda *a: asked.append(1) or real(*a))
+    found = M.FuzzyMatcher(threshold=80, scorer="ratio").find_matches(spark.range(30).select("id", F.lit("large ring").alias("name")))
+    assert found.counts().first().matches_found == 435 and not asked
+    assert found.pairs.count() == found.stored().pairs.count() == 435 and len(asked) == 1
